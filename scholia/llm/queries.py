@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from scholia.llm import chat, licenses, sharding
+from scholia.llm import chat, licenses, neardup, sharding
 
 QUERIES = {
     "op1_kd_shards": sharding.op1,
     "op2_license_scan": licenses.op2,
     "op3_chat_windows": chat.op3,
+    "op4_superminhash": neardup.op4,
 }
 
 ORACLE_SQL: dict[str, str] = {}
