@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from scholia.llm import chat, licenses, neardup, sharding
+from scholia.llm import chat, licenses, neardup, quality, sharding
 
 QUERIES = {
     "op1_kd_shards": sharding.op1,
     "op2_license_scan": licenses.op2,
     "op3_chat_windows": chat.op3,
     "op4_superminhash": neardup.op4,
+    "op5_decision_list": quality.op5,
 }
 
 ORACLE_SQL: dict[str, str] = {}
