@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import chat, licenses, neardup, quality, sharding, toxicity
+from scholia.llm import chat, licenses, neardup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_kd_shards": sharding.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_windows": chat.op3,
     "op4_superminhash": neardup.op4,
     "op5_decision_list": quality.op5,
+    "op6_shortest_pack_first": packing.op6,
     "op8_weak_supervision": toxicity.op8,
 }
 
