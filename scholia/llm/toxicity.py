@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from scholia.llm.common import LOWER, U64, mix, slices_by_bytes, span_hashes, table, text_bytes, word_spans
 
 #: Most labelled rows of each class that a fit looks at.
-SAMPLE = 8_000
+SAMPLE = 3_000
 #: Most features that a model has.
 FEATURES = 4_096
 THRESHOLD = 0.3
