@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import chat, licenses, neardup, packing, quality, sharding, tokenfile, toxicity
+from scholia.llm import chat, licenses, linededup, neardup, packing, quality, sharding, tokenfile, toxicity
 
 QUERIES = {
     "op1_kd_shards": sharding.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decision_list": quality.op5,
     "op6_shortest_pack_first": packing.op6,
     "op8_weak_supervision": toxicity.op8,
+    "op9_line_similarity_join": linededup.op9,
     "op10_token_files": tokenfile.op10,
 }
 
