@@ -61,9 +61,11 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _with_tokens(lines: DataFrame) -> DataFrame:
-    words = lines.withColumn("_w", F.split("line", " "))
-    made = F.transform(F.sequence(F.lit(0), F.size("_w") - WIDTH), lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(WIDTH)]))
-    return words.withColumn("items", F.array_distinct(made)).drop("_w", "line")
+    """``items``: the distinct shingle hashes of a line. The words are bound by
+    an outer lambda, so that they are split once however the plan is rewritten."""
+    made = F.transform(F.array(F.split("line", " ")), lambda w: F.array_distinct(
+        F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WIDTH)]))))
+    return lines.withColumn("items", F.get(made, F.lit(0))).drop("line")
 
 
 def _need(n: Column) -> Column:
@@ -96,7 +98,7 @@ def later_lines(docs: DataFrame) -> DataFrame:
     firsts = lines.join(small, ["k1", "k2"], "left").filter("first is null or ord = first")
     # rarity
     sets = _with_tokens(firsts.select("ord", "k1", "k2", "line"))
-    counted = sets.select(F.explode("items").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).count()
+    counted = sets.select(F.explode_outer("items").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).count()
     counts = [0] * BUCKETS
     for b, c in counted.collect():  # BUCKETS rows at most
         counts[b] = c
@@ -107,9 +109,9 @@ def later_lines(docs: DataFrame) -> DataFrame:
     n = F.size("items")
     prefix = sets.withColumn("_rank", rank).select("ord", n.alias("n"), F.slice(F.transform(F.array_sort(keyed), lambda x: x["t"]), 1, F.least(n, n - _need(n) + _ell(n))).alias("p"))
     prefix = materialize(prefix, "line-prefixes")
-    shared = prefix.select(F.explode("p").alias("t")).groupBy("t").count().filter("count > 1").select("t")
+    shared = prefix.select(F.explode_outer("p").alias("t")).groupBy("t").count().filter("count > 1").select("t")
     shared = _small(materialize(shared, "shared-tokens"))
-    rows = prefix.select("ord", "n", F.posexplode("p").alias("i", "t")).join(shared, "t")
+    rows = prefix.select("ord", "n", F.posexplode_outer("p").alias("i", "t")).join(shared, "t")
     enough = rows.groupBy("ord", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= _ell(F.col("n"))).select("ord")
     enough = materialize(enough, "lines-with-partners")
     few = _small(enough)
