@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import chat, licenses, linededup, neardup, packing, quality, sharding, tokenfile, toxicity
+from scholia.llm import chat, decontam, licenses, linededup, neardup, packing, quality, sharding, tokenfile, toxicity
 
 QUERIES = {
     "op1_kd_shards": sharding.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_superminhash": neardup.op4,
     "op5_decision_list": quality.op5,
     "op6_shortest_pack_first": packing.op6,
+    "op7_template_leaks": decontam.op7,
     "op8_weak_supervision": toxicity.op8,
     "op9_line_similarity_join": linededup.op9,
     "op10_token_files": tokenfile.op10,
