@@ -78,7 +78,10 @@ def template(column: pa.Array):
     s, e, rows = word_spans(seen, offsets, _BREAKS)
     if not len(s):
         return none
-    value = span_hashes(LOWER[raw], s, e)
+    low = LOWER[raw]
+    latin = np.flatnonzero((raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97) & (raw[:-1] == 0xC3)) + 1
+    low[latin] += 32  # the capitals from U+00C0 to U+00DE
+    value = span_hashes(low, s, e)
     kind = np.full(len(s), PLAIN)
     number = _DIGIT[raw[s]] | np.isin(value, _NUMBER_WORDS)
     kind[number] = NUMBER
