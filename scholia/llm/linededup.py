@@ -1,6 +1,6 @@
 """Line de-duplication [native]: an exact set-similarity join over lines.
 
-A line's set is its distinct 5-word shingles (A-Z lower-cased); lines with
+A line's set is its distinct 5-word shingles (lower-cased); lines with
 fewer than ``width`` words are left alone. A line is removed when an earlier
 line, in order of (doc_id, line number), has an equal set, or one with
 100 * intersection >= percent * union. The first of similar lines always stays.
@@ -36,13 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.common import materialize, table
-from scholia.llm.licenses import LOWER, UPPER
 
 WIDTH, PERCENT, ELL = 5, 75, 4
 BUCKETS = 1 << 16
 #: Rows up to which a list is broadcast (at most 40 bytes each).
 SMALL = 1_500_000
-BREAKS = "[ \\t\\n\\x0B\\f\\r]+"
+BREAKS = "[ \\t\\x0B\\f\\r]+"
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -51,21 +50,22 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """ord, k1, k2, line of every line with ``WIDTH`` words or more."""
-    split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    line = F.trim(F.regexp_replace(F.translate("line", UPPER, LOWER), BREAKS, " "))
-    split = split.select("doc_id", "line_no", line.alias("line"))
+    """ord, k1, k2 (a key of the words), items (the distinct shingle hashes) of
+    every line with ``WIDTH`` words or more. White space is made single spaces
+    only in texts that have any other; the words are bound by an outer lambda,
+    so that they are split once however the plan is rewritten."""
+    text = F.lower(F.col("text").cast("string"))
+    odd = text.contains("  ")
+    for c in "\t\x0b\f\r":
+        odd = odd | text.contains(c)
+    clean = F.when(odd, F.regexp_replace(text, BREAKS, " ")).otherwise(text)
+    split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.posexplode(F.split(clean, "\n", -1)).alias("line_no", "line"))
+    split = split.select("doc_id", "line_no", F.trim("line").alias("line"))
     split = split.filter(F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) >= WIDTH - 1)
     order = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(14,0)") + F.col("line_no")
-    return split.select(order.cast("decimal(38,0)").alias("ord"), F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), "line")
-
-
-def _with_tokens(lines: DataFrame) -> DataFrame:
-    """``items``: the distinct shingle hashes of a line. The words are bound by
-    an outer lambda, so that they are split once however the plan is rewritten."""
     made = F.transform(F.array(F.split("line", " ")), lambda w: F.array_distinct(
         F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WIDTH)]))))
-    return lines.withColumn("items", F.get(made, F.lit(0))).drop("line")
+    return split.select(order.cast("decimal(38,0)").alias("ord"), F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), F.get(made, F.lit(0)).alias("items"))
 
 
 def _need(n: Column) -> Column:
@@ -90,24 +90,24 @@ def _could(nx, ny, i, j) -> Column:
 
 def later_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of the lines to remove; null ids are the least long."""
-    lines = _lines(docs)
+    lines = materialize(_lines(docs), "lines")
     # equal lines
     again = materialize(lines.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter("c > 1").select("k1", "k2", "first"), "equal-lines")
     small = _small(again)
     copies = lines.select("ord", "k1", "k2").join(small, ["k1", "k2"]).filter("ord > first").select("ord")
     firsts = lines.join(small, ["k1", "k2"], "left").filter("first is null or ord = first")
     # rarity
-    sets = _with_tokens(firsts.select("ord", "k1", "k2", "line"))
-    counted = sets.select(F.explode_outer("items").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).count()
+    counted = firsts.select(F.explode_outer("items").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).count()
     counts = [0] * BUCKETS
     for b, c in counted.collect():  # BUCKETS rows at most
         counts[b] = c
     order = {c: i for i, c in enumerate(sorted(set(counts)))}
     rank = F.split(F.lit(",".join(str(order[c]) for c in counts)), ",").cast("array<int>")
     # prefixes
-    keyed = F.transform("items", lambda t: F.struct(F.element_at(F.col("_rank"), (F.pmod(t, F.lit(BUCKETS)) + 1).cast("int")).alias("r"), t.alias("t")))
+    # a prefix token is one long: its bucket's rank, then 46 of its bits that aren't the bucket's
+    packed = F.transform("items", lambda t: F.shiftleft(F.element_at(F.col("_rank"), (F.pmod(t, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), 46) + F.shiftrightunsigned(t, 18))
     n = F.size("items")
-    prefix = sets.withColumn("_rank", rank).select("ord", n.alias("n"), F.slice(F.transform(F.array_sort(keyed), lambda x: x["t"]), 1, F.least(n, n - _need(n) + _ell(n))).alias("p"))
+    prefix = firsts.withColumn("_rank", rank).select("ord", n.alias("n"), F.slice(F.sort_array(packed), 1, F.least(n, n - _need(n) + _ell(n))).alias("p"))
     prefix = materialize(prefix, "line-prefixes")
     shared = prefix.select(F.explode_outer("p").alias("t")).groupBy("t").count().filter("count > 1").select("t")
     shared = _small(materialize(shared, "shared-tokens"))
@@ -116,7 +116,7 @@ def later_lines(docs: DataFrame) -> DataFrame:
     enough = materialize(enough, "lines-with-partners")
     few = _small(enough)
     rows = materialize(rows.join(few, "ord"), "prefix-tokens")
-    full = materialize(_with_tokens(lines.join(few, "ord")).select("ord", "items").dropDuplicates(["ord"]), "line-sets")
+    full = materialize(lines.select("ord", "items").join(few, "ord").dropDuplicates(["ord"]), "line-sets")
     # hubs
     hubs = materialize(rows.groupBy("t").agg(F.min("ord").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("t", "hub"), "hubs")
     hub_of = rows.select(F.col("ord").alias("hub"), F.col("n").alias("hn"), F.col("i").alias("hi"), "t").join(hubs, ["t", "hub"])
