@@ -1 +1,6 @@
 """Named queries over the driver tables, with their SQL."""
+
+from scholia.plans import papers_queries, text_queries  # noqa: F401
+from scholia.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
