@@ -17,8 +17,10 @@ line, in order of (doc_id, line number), has an equal set, or one with
    prefix tokens and pass the length and positional filters are verified on
    full sets; a line that matches its hub is done.
 5. Lines that no hub explains are compared with *all* earlier lines under their
-   tokens by a left semi join whose condition is the filters and the Jaccard
-   test itself: the join returns the line or nothing, never pairs.
+   tokens. Where at most ``CROWD`` lines have a token, pairs that share enough
+   such tokens are verified; a pair that misses that count shares a token that
+   more lines have, and those are compared by a left semi join whose condition
+   is the filters and the Jaccard test itself: it returns lines, never pairs.
 
 Only DataFrame expressions; a family of thousands of variants costs rows in
 proportion to its lines. Small lists (checked by count) are broadcast, larger
@@ -39,6 +41,8 @@ from scholia.llm.common import materialize, table
 
 WIDTH, PERCENT, ELL = 5, 75, 4
 BUCKETS = 1 << 16
+#: Lines of one token up to which they are paired.
+CROWD = 32
 #: Rows up to which a list is broadcast (at most 40 bytes each).
 SMALL = 1_500_000
 BREAKS = "[ \\t\\x0B\\f\\r]+"
@@ -50,10 +54,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """ord, k1, k2 (a key of the words), items (the distinct shingle hashes) of
-    every line with ``WIDTH`` words or more. White space is made single spaces
-    only in texts that have any other; the words are bound by an outer lambda,
-    so that they are split once however the plan is rewritten."""
+    """ord and line (single spaces, lower case) of every line with ``WIDTH``
+    words or more. White space is rewritten only in texts that have any other
+    than spaces and line ends."""
     text = F.lower(F.col("text").cast("string"))
     odd = text.contains("  ")
     for c in "\t\x0b\f\r":
@@ -63,9 +66,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     split = split.select("doc_id", "line_no", F.trim("line").alias("line"))
     split = split.filter(F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) >= WIDTH - 1)
     order = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(14,0)") + F.col("line_no")
-    made = F.transform(F.array(F.split("line", " ")), lambda w: F.array_distinct(
+    return split.select(order.cast("decimal(38,0)").alias("ord"), "line")
+
+
+def _shingles(line: Column) -> Column:
+    """The distinct shingle hashes of a line. The words are bound by an outer
+    lambda, so that they are split once however the plan is rewritten."""
+    made = F.transform(F.array(F.split(line, " ")), lambda w: F.array_distinct(
         F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WIDTH)]))))
-    return split.select(order.cast("decimal(38,0)").alias("ord"), F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), F.get(made, F.lit(0)).alias("items"))
+    return F.get(made, F.lit(0))
 
 
 def _need(n: Column) -> Column:
@@ -90,24 +99,27 @@ def _could(nx, ny, i, j) -> Column:
 
 def later_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of the lines to remove; null ids are the least long."""
-    lines = materialize(_lines(docs), "lines")
+    lines = _lines(docs)
+    # t: 32 bits of each token, as many as there are tokens; sets are compared on all 64 later
+    half = F.transform(_shingles(F.col("line")), lambda t: F.shiftright(t, 32).cast("int"))
+    known = materialize(lines.select("ord", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), half.alias("t")), "lines")
     # equal lines
-    again = materialize(lines.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter("c > 1").select("k1", "k2", "first"), "equal-lines")
+    again = materialize(known.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter("c > 1").select("k1", "k2", "first"), "equal-lines")
     small = _small(again)
-    copies = lines.select("ord", "k1", "k2").join(small, ["k1", "k2"]).filter("ord > first").select("ord")
-    firsts = lines.join(small, ["k1", "k2"], "left").filter("first is null or ord = first")
+    copies = known.select("ord", "k1", "k2").join(small, ["k1", "k2"]).filter("ord > first").select("ord")
+    firsts = known.join(small, ["k1", "k2"], "left").filter("first is null or ord = first").select("ord", "t")
     # rarity
-    counted = firsts.select(F.explode_outer("items").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).count()
+    bucket = lambda t: F.pmod(t, F.lit(BUCKETS)).cast("int")
+    counted = firsts.select(F.explode_outer("t").alias("t")).groupBy(bucket(F.col("t")).alias("b")).count()
     counts = [0] * BUCKETS
     for b, c in counted.collect():  # BUCKETS rows at most
         counts[b] = c
     order = {c: i for i, c in enumerate(sorted(set(counts)))}
     rank = F.split(F.lit(",".join(str(order[c]) for c in counts)), ",").cast("array<int>")
-    # prefixes
-    # a prefix token is one long: its bucket's rank, then 46 of its bits that aren't the bucket's
-    packed = F.transform("items", lambda t: F.shiftleft(F.element_at(F.col("_rank"), (F.pmod(t, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), 46) + F.shiftrightunsigned(t, 18))
-    n = F.size("items")
-    prefix = firsts.withColumn("_rank", rank).select("ord", n.alias("n"), F.slice(F.sort_array(packed), 1, F.least(n, n - _need(n) + _ell(n))).alias("p"))
+    # prefixes: sorted as one long, the bucket's rank above the token
+    ranked = F.sort_array(F.transform("t", lambda t: F.shiftleft(F.element_at(F.col("_rank"), bucket(t) + 1).cast("long"), 32) + F.pmod(t.cast("long"), F.lit(1 << 32))))
+    n = F.size("t")
+    prefix = firsts.withColumn("_rank", rank).select("ord", n.alias("n"), F.transform(F.slice(ranked, 1, F.least(n, n - _need(n) + _ell(n))), lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("p"))
     prefix = materialize(prefix, "line-prefixes")
     shared = prefix.select(F.explode_outer("p").alias("t")).groupBy("t").count().filter("count > 1").select("t")
     shared = _small(materialize(shared, "shared-tokens"))
@@ -116,7 +128,8 @@ def later_lines(docs: DataFrame) -> DataFrame:
     enough = materialize(enough, "lines-with-partners")
     few = _small(enough)
     rows = materialize(rows.join(few, "ord"), "prefix-tokens")
-    full = materialize(lines.select("ord", "items").join(few, "ord").dropDuplicates(["ord"]), "line-sets")
+    full = lines.join(few, "ord").select("ord", _shingles(F.col("line")).alias("items"))
+    full = materialize(full.dropDuplicates(["ord"]), "line-sets")
     # hubs
     hubs = materialize(rows.groupBy("t").agg(F.min("ord").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("t", "hub"), "hubs")
     hub_of = rows.select(F.col("ord").alias("hub"), F.col("n").alias("hn"), F.col("i").alias("hi"), "t").join(hubs, ["t", "hub"])
@@ -126,15 +139,24 @@ def later_lines(docs: DataFrame) -> DataFrame:
     pairs = materialize(pairs, "hub-pairs")
     checked = pairs.join(full, "ord").join(full.select(F.col("ord").alias("hub"), F.col("items").alias("theirs")), "hub")
     explained = materialize(checked.filter(similar(F.col("items"), F.col("theirs"), F.size("items"), F.size("theirs"))).select("ord").distinct(), "explained")
-    # the rest: all earlier lines under their tokens
-    tokens_left = rows.join(_small(explained), "ord", "left_anti")
-    open_rows = tokens_left.join(hubs, "t").filter("ord <> hub").select("t", "ord", "n", "i")
-    open_rows = materialize(open_rows.join(full, "ord"), "open-lines")
-    live = materialize(open_rows.select("t").distinct(), "open-tokens")
-    theirs = materialize(rows.join(_small(live), "t").join(full, "ord").select(F.col("t").alias("ty"), F.col("ord").alias("oy"), F.col("n").alias("ny"), F.col("i").alias("j"), F.col("items").alias("theirs")), "earlier-lines")
-    test = (F.col("t") == F.col("ty")) & (F.col("oy") < F.col("ord")) & _could(F.col("n"), F.col("ny"), F.col("i"), F.col("j")) & similar(F.col("items"), F.col("theirs"), F.col("n"), F.col("ny"))
-    more = open_rows.join(theirs, test, "left_semi").select("ord").distinct()
-    near = materialize(explained.unionByName(more), "near-lines")
+    # the rest, under tokens that few lines have: pairs that share enough of them
+    left = materialize(rows.join(_small(explained), "ord", "left_anti"), "unexplained")
+    sizes = rows.groupBy("t").agg(F.count("*").alias("m")).filter("m > 1")
+    sizes = materialize(sizes.join(left.select("t").distinct(), "t", "left_semi"), "token-sizes")
+    rare, common = (_small(materialize(sizes.filter(f"m {op} {CROWD}").select("t"), name)) for op, name in (("<=", "rare-tokens"), (">", "common-tokens")))
+    theirs = rows.select(F.col("ord").alias("oy"), F.col("n").alias("ny"), F.col("i").alias("j"), F.col("t").alias("ty"))
+    could = (F.col("oy") < F.col("ord")) & _could(F.col("n"), F.col("ny"), F.col("i"), F.col("j"))
+    ours = left.select("t", "ord", "n", "i")
+    met = ours.join(rare, "t").join(theirs.join(rare.withColumnRenamed("t", "ty"), "ty"), (F.col("t") == F.col("ty")) & could)
+    pairs = met.groupBy("ord", "oy", "n", "ny").agg(F.count("*").alias("m")).filter(F.col("m") >= F.least(_ell(F.col("n")), _ell(F.col("ny")))).select("ord", "oy")
+    pairs = materialize(pairs, "line-pairs")
+    checked = pairs.join(full, "ord").join(full.select(F.col("ord").alias("oy"), F.col("items").alias("theirs")), "oy")
+    some = materialize(checked.filter(similar(F.col("items"), F.col("theirs"), F.size("items"), F.size("theirs"))).select("ord").distinct(), "explained-by-pairs")
+    # under tokens that many lines have: a semi join that tests as it joins
+    ours = materialize(ours.join(common, "t").join(_small(some), "ord", "left_anti").join(full, "ord"), "open-lines")
+    theirs = materialize(theirs.join(common.withColumnRenamed("t", "ty"), "ty").join(full.select(F.col("ord").alias("oy"), F.col("items").alias("theirs")), "oy"), "earlier-lines")
+    more = ours.join(theirs, (F.col("t") == F.col("ty")) & could & similar(F.col("items"), F.col("theirs"), F.col("n"), F.col("ny")), "left_semi").select("ord")
+    near = materialize(explained.unionByName(some).unionByName(more).distinct(), "near-lines")
     # a near line's later copies have gone as copies already
     gone = copies.unionByName(near).distinct()
     line_no = F.pmod("ord", F.lit(1 << 40).cast("decimal(38,0)"))

@@ -379,7 +379,9 @@ def brute_lines(rows):
     return out
 
 
-def test_line_join(spark, empty):
+@pytest.mark.parametrize("crowd", [2, 32])
+def test_line_join(spark, empty, monkeypatch, crowd):
+    monkeypatch.setattr(linededup, "CROWD", crowd)
     rng = np.random.default_rng(4)
     lines = [prose(i, int(rng.integers(3, 40))) for i in range(30)]
     rows = []
