@@ -57,6 +57,6 @@ def promote_identifiers(papers: DataFrame) -> DataFrame:
     filled = {c: F.when(empty[c], F.coalesce(F.get(records(k), F.lit(0))["data"]["identifier_value"], F.col(c))).otherwise(F.col(c)) for c, k in names.items()}
     placed = F.array_compact(F.array(*[F.when(empty[c], F.lit(k)) for c, k in names.items()]))
     rest = F.filter("identifiers", lambda x: ~F.array_contains(placed, x["data"]["identifier_type"]))
-    pairs = F.transform(rest, lambda x: F.struct(x["data"]["identifier_type"], x["data"]["identifier_value"]))
-    grouped = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p[0]), F.create_map(p[0], p[1])))
+    pairs = F.transform(rest, lambda x: F.struct(x["data"]["identifier_type"].alias("k"), x["data"]["identifier_value"].alias("v")))
+    grouped = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
     return papers.withColumns(filled | {"discovered": F.coalesce(grouped, F.create_map().cast("map<string,string>"))})
