@@ -177,4 +177,4 @@ def without_later_lines(docs: DataFrame) -> DataFrame:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     out = without_later_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))

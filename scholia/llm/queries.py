@@ -17,4 +17,27 @@ QUERIES = {
     "op10_token_files": tokenfile.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+
+#: Whole tables, exact: links by shared shingles, groups by reach.
+_OP4 = rf"""with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+ sets as (select doc_id, case when len(w) >= 5 then list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+ n as (select doc_id, len(s) as n from sets), sh as (select doc_id, unnest(s) as s from sets),
+ pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+ links as (select x, y from pairs join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 75 * (nx.n + ny.n - c)),
+ arcs as (select x, y from links union all select y, x from links),
+ reach(d, r) as (select doc_id, doc_id from n union select d, y from reach join arcs on x = r)
+ select doc_id, n::bigint as n_shingles, least_id as component_id, doc_id = least_id as kept from n join (select d, min(r) as least_id from reach group by 1) on d = doc_id"""
+
+_OP9 = r"""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i, unnest(string_split(text, chr(10))) as line from documents where text is not null),
+ w as (select doc_id, i, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') as w from l),
+ sets as (select doc_id, i, row_number() over (order by doc_id, i) as o, list_distinct([array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)]) as s from w where len(w) >= 5),
+ sh as (select o, len(s) as n, unnest(s) as s from sets),
+ dup as (select distinct x from (select a.o as x, b.o as y, any_value(a.n) as nx, any_value(b.n) as ny, count(*) as c from sh a join sh b on a.s = b.s and b.o < a.o group by 1, 2) where 100 * c >= 75 * (nx + ny - c)),
+ gone as (select doc_id, i from sets join dup on x = o),
+ kept as (select l.doc_id, count(g.i) as n, coalesce(string_agg(line, chr(10) order by l.i) filter (g.i is null), '') as t from l left join gone g on g.doc_id = l.doc_id and g.i = l.i group by 1)
+ select doc_id, n::bigint as n_removed, length(t)::bigint as n_chars, md5(t) as text_md5 from kept"""
+
+#: The others rest on learned models, tokenizers or encodings, which SQL doesn't
+#: have; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op4_superminhash": _OP4.replace("\\\\", "\\"), "op9_line_similarity_join": _OP9.replace("\\\\", "\\")}
