@@ -456,10 +456,10 @@ def overlap(spark, d):
     return rounded(joins.overlap(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k"))
 
 
-@query("venue_merge", "with {papers}, n as (select venue, count(*) as n, sum(citations)::bigint as citations from papers group by 1) select case when venue in ('CHINA', 'INDIA', 'JAPAN') then 'ASIA' else venue end as venue, sum(n)::bigint as n, sum(citations)::bigint as citations from n group by 1")
+@query("venue_merge", "with {papers}, n as (select venue, count(*) as n, sum(citations)::bigint as citations from papers group by 1) select case when venue in ('NATION_1', 'NATION_2', 'NATION_3') then 'ASIA' else venue end as venue, sum(n)::bigint as n, sum(citations)::bigint as citations from n group by 1")
 def venue_merge(spark, d):
     n = papers(spark, d).groupBy("venue").agg(F.count("*").alias("n"), F.sum("citations").alias("citations"))
-    mapping = spark.createDataFrame([(x, "ASIA") for x in ("CHINA", "INDIA", "JAPAN")], "venue string, canonical string")
+    mapping = spark.createDataFrame([(x, "ASIA") for x in ("NATION_1", "NATION_2", "NATION_3")], "venue string, canonical string")
     return joins.merge_by_mapping(n, mapping, "venue", "canonical", ["n", "citations"])
 
 
