@@ -53,7 +53,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, packed: bool) -> DataFrame:
     """ord and line (single spaces, lower case) of every line with ``WIDTH``
     words or more. White space is rewritten only in texts that have any other
     than spaces and line ends."""
@@ -65,8 +65,27 @@ def _lines(docs: DataFrame) -> DataFrame:
     split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.posexplode(F.split(clean, "\n", -1)).alias("line_no", "line"))
     split = split.select("doc_id", "line_no", F.trim("line").alias("line"))
     split = split.filter(F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) >= WIDTH - 1)
-    order = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(14,0)") + F.col("line_no")
-    return split.select(order.cast("decimal(38,0)").alias("ord"), "line")
+    return split.select(_place(packed).alias("ord"), "line")
+
+
+def _packed(docs: DataFrame) -> bool:
+    """Whether (doc_id, line number) fits one long; else it is a decimal."""
+    low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    return low is None or low >= 0 and high < (1 << 32) - 1
+
+
+def _place(packed: bool) -> Column:
+    if packed:  # a null id, the least long, becomes 0
+        return F.shiftleft(F.greatest(F.col("doc_id"), F.lit(-1)) + 1, 31) + F.col("line_no")
+    return (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(14,0)") + F.col("line_no")).cast("decimal(38,0)")
+
+
+def _document(packed: bool) -> list[Column]:
+    """doc_id and line_no of a place."""
+    if packed:
+        doc = F.shiftrightunsigned("ord", 31) - 1
+        return [F.when(doc < 0, F.lit(-(1 << 63))).otherwise(doc).alias("doc_id"), F.col("ord").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no")]
+    return [F.expr(f"(ord - pmod(ord, cast({1 << 40} as decimal(38,0)))) div {1 << 40}").cast("long").alias("doc_id"), F.pmod("ord", F.lit(1 << 40).cast("decimal(38,0)")).cast("int").alias("line_no")]
 
 
 def _shingles(line: Column) -> Column:
@@ -99,7 +118,8 @@ def _could(nx, ny, i, j) -> Column:
 
 def later_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of the lines to remove; null ids are the least long."""
-    lines = _lines(docs)
+    packed = _packed(docs)
+    lines = _lines(docs, packed)
     # t: 32 bits of each token, as many as there are tokens; sets are compared on all 64 later
     half = F.transform(_shingles(F.col("line")), lambda t: F.shiftright(t, 32).cast("int"))
     known = materialize(lines.select("ord", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), half.alias("t")), "lines")
@@ -129,7 +149,9 @@ def later_lines(docs: DataFrame) -> DataFrame:
     few = _small(enough)
     rows = materialize(rows.join(few, "ord"), "prefix-tokens")
     full = lines.join(few, "ord").select("ord", _shingles(F.col("line")).alias("items"))
-    full = materialize(full.dropDuplicates(["ord"]), "line-sets")
+    full = materialize(full, "line-sets")
+    if full.count() != enough.count():  # rows that share a doc_id
+        full = materialize(full.dropDuplicates(["ord"]), "line-sets")
     # hubs
     hubs = materialize(rows.groupBy("t").agg(F.min("ord").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("t", "hub"), "hubs")
     hub_of = rows.select(F.col("ord").alias("hub"), F.col("n").alias("hn"), F.col("i").alias("hi"), "t").join(hubs, ["t", "hub"])
@@ -159,8 +181,7 @@ def later_lines(docs: DataFrame) -> DataFrame:
     near = materialize(explained.unionByName(some).unionByName(more).distinct(), "near-lines")
     # a near line's later copies have gone as copies already
     gone = copies.unionByName(near).distinct()
-    line_no = F.pmod("ord", F.lit(1 << 40).cast("decimal(38,0)"))
-    return materialize(gone.select(F.expr(f"(ord - pmod(ord, cast({1 << 40} as decimal(38,0)))) div {1 << 40}").cast("long").alias("doc_id"), line_no.cast("int").alias("line_no")), "later-lines")
+    return materialize(gone.select(*_document(packed)), "later-lines")
 
 
 def without_later_lines(docs: DataFrame) -> DataFrame:

@@ -393,7 +393,7 @@ def test_line_join(spark, empty, monkeypatch, crowd):
                 w[int(rng.integers(0, len(w)))] = f"z{rng.integers(0, 50)}"
             mine.append(("  " if i % 7 == 0 else " ").join(w) + rng.choice(["", " ", "\t"]))
         rows.append((i, "\n".join(mine)))
-    rows += [(1000, ""), (None, lines[0])]
+    rows += [(1000, ""), (None, lines[0])] + ([(1 << 40, lines[1])] if crowd == 2 else [])
     docs = spark.createDataFrame([*rows, (1001, None)], "doc_id long, text string").withColumn("k1", F.lit(1)).withColumn("_gone", F.lit(1)).drop("_gone")
     got = {r["doc_id"]: r["text"] for r in linededup.without_later_lines(docs).collect()}
     assert got.pop(1001) is None
