@@ -185,3 +185,37 @@ def test_rules_are_checked(spark):
     with pytest.raises(ValueError):
         alerts.rule("__import__('os')")
     assert values(spark, alerts.eta_hours(F.col("d"), F.col("t"), F.col("r")), [(1, 3, 5.0), (1, 3, 0.0)], "d int, t int, r double") == [pytest.approx(100 / 300), None]
+
+
+def test_sessions_and_cache(spark, tmp_path):
+    from scholia.sources import state
+    root, df = str(tmp_path / "s"), state.mock_papers(spark, 50)
+    state.save(df, root, "one", "collect")
+    state.save(df, root, "one", "collect", "done")
+    state.save(df.limit(3), root, "two", "collect", "failed")
+    assert {(r["session"], r["status"]) for r in state.sessions(spark, root).collect()} == {("one", "done"), ("two", "failed")}
+    assert state.load(spark, root, "one", "collect").count() == 50
+    assert len(state.clean(spark, root, ["failed"], dry_run=False)) == 1
+    with pytest.raises(Exception):
+        state.load(spark, root, "two", "collect").count()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/x.bin").write_bytes(b"abc")
+    found = state.blobs(spark, str(tmp_path / "b"))
+    want = found.select("path", F.lit("0").alias("sha256")).unionByName(spark.createDataFrame([("gone", "1")], "path string, sha256 string"))
+    assert {r["error"] for r in state.blob_errors(found, want).collect()} == {"missing", "damaged"}
+    assert state.mock_papers(spark, 40, kind="corrupted").filter("title is null").count() > 0
+
+
+def test_notifications(spark, tmp_path):
+    from scholia.sources import state
+    spark.createDataFrame([(1, "warning"), (2, "critical")], "k int, severity string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = []
+    q = state.notify(alerts.stream_files(spark, str(tmp_path / "in"), "k int, severity string"), {"critical": got.extend}, str(tmp_path / "c"))
+    q.awaitTermination()
+    assert [json.loads(x)["k"] for x in got] == [2]
+
+
+def test_parse_affiliation(spark):
+    from scholia.functions import prose
+    row = spark.createDataFrame([("Dept of Physics, Stanford University, Palo Alto 94305, USA a@cs.stanford.edu",)], "a string").select(prose.parse_affiliation()("a").alias("p")).first()["p"]
+    assert (row["organisation"], row["department"], row["country"], row["email_domain"]) == ("Stanford University", "Dept of Physics", "USA", "cs.stanford.edu")
