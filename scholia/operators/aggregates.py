@@ -119,7 +119,7 @@ def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 def pivot_by_year(rows: DataFrame, year: str, category: str, values: list[str], row: str | None = None) -> DataFrame:
     """Year x category counts (of distinct ``row`` if given); empty cells are 0."""
-    what = F.countDistinct(row) if row else F.count("*")
+    what = F.countDistinct(row) if row else F.count(F.lit(1))
     return rows.groupBy(year).pivot(category, values).agg(what).na.fill(0)
 
 
