@@ -141,7 +141,7 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     if not len(starts):
         return np.zeros(0, np.uint64)
     out = np.empty(len(starts), np.uint64)
-    step = 1 << 22  # bytes at a time, so that the tables of powers stay small
+    step = 1 << 20  # bytes at a time, so that the tables of powers stay small
     lo = 0
     while lo < len(starts):
         base = starts[lo]
@@ -210,7 +210,7 @@ def text_shingles(column: pa.Array, width: int = 5):
     return h[fresh], r[fresh]
 
 
-def slices_by_bytes(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
+def slices_by_bytes(batch: pa.RecordBatch, text: str, limit: int = 2 << 20):
     """The batch in runs of whole rows of about ``limit`` bytes of text."""
     col = batch.column(batch.schema.get_field_index(text))
     _, offsets = text_bytes(col)
