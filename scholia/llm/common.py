@@ -9,6 +9,7 @@ words.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -23,7 +24,12 @@ U64 = np.uint64
 # ---------------------------------------------------------------- tables
 
 
+#: Bytes of rows that go to a Python worker at a time.
+ARROW_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,12 +62,26 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     columns, and its size is known to the planner. The files go when the
     process ends."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     path = f"{scratch_dir(spark)}/scholia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, weakref.ref(spark), path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(function):
+    """``function`` for mapInArrow, giving freed memory back at a task's end:
+    workers are kept for later tasks, and what they hold counts."""
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

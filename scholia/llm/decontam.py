@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import LOWER, U64, mix, shingle_hashes, slices_by_bytes, span_hashes, table, text_bytes, word_spans
+from scholia.llm.common import LOWER, U64, mix, shingle_hashes, slices_by_bytes, span_hashes, table, text_bytes, tidy, word_spans
 
 WIDTH = 5
 #: Windows of the benchmark that are broadcast at a time.
@@ -192,7 +192,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     out = None
     for ids, texts in _blocks(benchmark.select("item_id", text)):
         sent = spark.sparkContext.broadcast((ids, texts))
-        found = base.mapInArrow(_matcher(sent, share), schema)
+        found = base.mapInArrow(tidy(_matcher(sent, share)), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import (U64, components, long_lists, materialize, mix, shuffle_partitions, slices_by_bytes, table, text_shingles)
+from scholia.llm.common import (U64, components, long_lists, materialize, mix, shuffle_partitions, slices_by_bytes, table, text_shingles, tidy)
 
 REGISTERS, BANDS = 128, 32
 GOLD = U64(0x9E3779B97F4A7C15)
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("loc"), text.alias("text"))
-    sig = materialize(base.mapInArrow(_signed, "doc_id long, loc long, n long, h1 long, h2 long, bands array<long>"), "signatures")
+    sig = materialize(base.mapInArrow(tidy(_signed), "doc_id long, loc long, n long, h1 long, h2 long, bands array<long>"), "signatures")
     worded = sig.filter("n > 0")
     reps = worded.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.min("loc").alias("loc"))
     reps = materialize(reps.withColumn("v", F.monotonically_increasing_id()), "sets")
@@ -216,11 +216,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # exact verification, block against block
     few = member.count() <= BROADCAST_ROWS
     texts = base.select("loc", "text").join(F.broadcast(member) if few else member, "loc")
-    sets = texts.select("root", "block", "blocks", "v", "h1", "h2", "text").mapInArrow(_sets, "root long, block int, blocks int, v long, items array<long>")
+    sets = texts.select("root", "block", "blocks", "v", "h1", "h2", "text").mapInArrow(tidy(_sets), "root long, block int, blocks int, v long, items array<long>")
     other = sets.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     other = other.select("root", F.least("block", "_j").alias("bi"), F.greatest("block", "_j").alias("bj"), "block", "v", "items")
     dealt = other.repartition(shuffle_partitions(spark), "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "v")
-    links = materialize(dealt.mapInArrow(_verify(percent), "a long, b long"), "links")
+    links = materialize(dealt.mapInArrow(tidy(_verify(percent)), "a long, b long"), "links")
     found = materialize(components(links), "groups")
     named = found.join(reps.select(F.col("v").alias("node"), "id"), "node")
     names = materialize(named.groupBy("root").agg(F.min("id").alias("cid")), "group-names")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.llm.common import materialize, slices_by_bytes, table
+from scholia.llm.common import materialize, slices_by_bytes, table, tidy
 from scholia.llm.tokens import vocabulary
 
 MAX_TOKENS = 2048
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, style: str = "words", max_toke
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part long, place long" + (", ids array<int>" if keep_ids else "")
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return docs.select("doc_id", text).mapInArrow(tidy(run), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], max_tokens: int = MAX_TOKENS):
@@ -163,7 +163,7 @@ def assign(ranked: DataFrame, runs: dict[str, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(r["sequence"][at] + rank - r["rank"][at]), pa.array(r["offset"][at])], names=[*keep, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(run, fields + ", sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), fields + ", sequence_id long, offset long")
 
 
 def pack(cut: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:

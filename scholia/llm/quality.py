@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import U64, WORD_BREAKS, materialize, mix, shingle_hashes, slices_by_bytes, span_hashes, table, text_bytes, word_spans
+from scholia.llm.common import U64, WORD_BREAKS, materialize, mix, shingle_hashes, slices_by_bytes, span_hashes, table, text_bytes, tidy, word_spans
 
 #: Most labelled rows that a fit looks at.
 SAMPLE = 20_000
@@ -116,7 +116,7 @@ def _run(batches):
 def with_stats(docs: DataFrame) -> DataFrame:
     """doc_id and the counts of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(tidy(_run), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _per(a: str, b: str) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import LOWER, U64, mix, slices_by_bytes, span_hashes, table, text_bytes, word_spans
+from scholia.llm.common import LOWER, U64, mix, slices_by_bytes, span_hashes, table, text_bytes, tidy, word_spans
 
 #: Most labelled rows of each class that a fit looks at.
 SAMPLE = 3_000
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     pick = marked.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(marked.filter("toxic = 0").orderBy(*order).limit(sample))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(pick), "doc_id").select("doc_id", "toxic", "text")
-    got = rows.dropDuplicates(["doc_id"]).select("toxic", "text").mapInArrow(_featured, "toxic int, f array<long>").toArrow().combine_chunks()
+    got = rows.dropDuplicates(["doc_id"]).select("toxic", "text").mapInArrow(tidy(_featured), "toxic int, f array<long>").toArrow().combine_chunks()
     if not got.num_rows:
         return _list_model()
     y = got.column("toxic").to_numpy() == 1
@@ -285,7 +285,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(mine.score(batch.column("text")))], names=["doc_id", "score"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", text).mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
