@@ -53,9 +53,9 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _lines(docs: DataFrame, packed: bool) -> DataFrame:
+def _lines(docs: DataFrame, packed: bool, only: DataFrame | None = None) -> DataFrame:
     """ord and line (single spaces, lower case) of every line with ``WIDTH``
-    words or more. White space is rewritten only in texts that have any other
+    words or more, or of those in ``only``. White space is rewritten only in texts that have any other
     than spaces and line ends."""
     text = F.lower(F.col("text").cast("string"))
     odd = text.contains("  ")
@@ -63,11 +63,23 @@ def _lines(docs: DataFrame, packed: bool) -> DataFrame:
         odd = odd | text.contains(c)
     clean = F.when(odd, F.regexp_replace(text, BREAKS, " ")).otherwise(text)
     split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.posexplode(F.split(clean, "\n", -1)).alias("line_no", "line"))
+    if only is not None:
+        return split.select(_place(packed).alias("ord"), "line").join(only, "ord").select("ord", F.trim("line").alias("line"))
     split = split.select("doc_id", "line_no", F.trim("line").alias("line"))
     split = split.filter(F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) >= WIDTH - 1)
     return split.select(_place(packed).alias("ord"), "line")
 
 
+def _checked(pairs: DataFrame, full: DataFrame, other: str) -> DataFrame:
+    """Both sets of written ``pairs`` (ord, other). Sets are wide and pairs are
+    not: where their count allows, the pairs go to the sets, and only the sets
+    that occur are dealt out."""
+    keys = _small(materialize(pairs.select(other).distinct(), "pair-keys"))
+    theirs = full.select(F.col("ord").alias(other), F.col("items").alias("theirs")).join(keys, other, "left_semi")
+    both = full.join(_small(pairs), "ord").join(theirs, other)
+    return both.filter(similar(F.col("items"), F.col("theirs"), F.size("items"), F.size("theirs"))).select("ord").distinct()
+
+
 def _packed(docs: DataFrame) -> bool:
     """Whether (doc_id, line number) fits one long; else it is a decimal."""
     low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
@@ -148,7 +160,7 @@ def later_lines(docs: DataFrame) -> DataFrame:
     enough = materialize(enough, "lines-with-partners")
     few = _small(enough)
     rows = materialize(rows.join(few, "ord"), "prefix-tokens")
-    full = lines.join(few, "ord").select("ord", _shingles(F.col("line")).alias("items"))
+    full = _lines(docs, packed, few).select("ord", _shingles(F.col("line")).alias("items"))
     full = materialize(full, "line-sets")
     if full.count() != enough.count():  # rows that share a doc_id
         full = materialize(full.dropDuplicates(["ord"]), "line-sets")
@@ -159,8 +171,7 @@ def later_lines(docs: DataFrame) -> DataFrame:
     met = rows.join(hub_of, "t").filter("hub < ord").filter(_could(F.col("n"), F.col("hn"), F.col("i"), F.col("hi")))
     pairs = met.groupBy("ord", "hub", "n", "hn").agg(F.count("*").alias("m")).filter(F.col("m") >= F.least(_ell(F.col("n")), _ell(F.col("hn")))).select("ord", "hub")
     pairs = materialize(pairs, "hub-pairs")
-    checked = pairs.join(full, "ord").join(full.select(F.col("ord").alias("hub"), F.col("items").alias("theirs")), "hub")
-    explained = materialize(checked.filter(similar(F.col("items"), F.col("theirs"), F.size("items"), F.size("theirs"))).select("ord").distinct(), "explained")
+    explained = materialize(_checked(pairs, full, "hub"), "explained")
     # the rest, under tokens that few lines have: pairs that share enough of them
     left = materialize(rows.join(_small(explained), "ord", "left_anti"), "unexplained")
     sizes = rows.groupBy("t").agg(F.count("*").alias("m")).filter("m > 1")
@@ -172,11 +183,12 @@ def later_lines(docs: DataFrame) -> DataFrame:
     met = ours.join(rare, "t").join(theirs.join(rare.withColumnRenamed("t", "ty"), "ty"), (F.col("t") == F.col("ty")) & could)
     pairs = met.groupBy("ord", "oy", "n", "ny").agg(F.count("*").alias("m")).filter(F.col("m") >= F.least(_ell(F.col("n")), _ell(F.col("ny")))).select("ord", "oy")
     pairs = materialize(pairs, "line-pairs")
-    checked = pairs.join(full, "ord").join(full.select(F.col("ord").alias("oy"), F.col("items").alias("theirs")), "oy")
-    some = materialize(checked.filter(similar(F.col("items"), F.col("theirs"), F.size("items"), F.size("theirs"))).select("ord").distinct(), "explained-by-pairs")
+    some = materialize(_checked(pairs, full, "oy"), "explained-by-pairs")
     # under tokens that many lines have: a semi join that tests as it joins
-    ours = materialize(ours.join(common, "t").join(_small(some), "ord", "left_anti").join(full, "ord"), "open-lines")
-    theirs = materialize(theirs.join(common.withColumnRenamed("t", "ty"), "ty").join(full.select(F.col("ord").alias("oy"), F.col("items").alias("theirs")), "oy"), "earlier-lines")
+    ours = materialize(ours.join(common, "t").join(_small(some), "ord", "left_anti"), "open-places")
+    ours = materialize(full.join(_small(ours), "ord"), "open-lines")
+    theirs = materialize(theirs.join(common.withColumnRenamed("t", "ty"), "ty"), "earlier-places")
+    theirs = materialize(full.select(F.col("ord").alias("oy"), F.col("items").alias("theirs")).join(_small(theirs), "oy"), "earlier-lines")
     more = ours.join(theirs, (F.col("t") == F.col("ty")) & could & similar(F.col("items"), F.col("theirs"), F.col("n"), F.col("ny")), "left_semi").select("ord")
     near = materialize(explained.unionByName(some).unionByName(more).distinct(), "near-lines")
     # a near line's later copies have gone as copies already
