@@ -55,8 +55,14 @@ def promote_identifiers(papers: DataFrame) -> DataFrame:
     names = {"doi": "doi", "arxiv_id": "arxiv", "openalex_id": "openalex"}
     empty = {c: F.coalesce(F.length(F.trim(c)) == 0, F.lit(True)) for c in names}
     filled = {c: F.when(empty[c], F.coalesce(F.get(records(k), F.lit(0))["data"]["identifier_value"], F.col(c))).otherwise(F.col(c)) for c, k in names.items()}
-    placed = F.array_compact(F.array(*[F.when(empty[c], F.lit(k)) for c, k in names.items()]))
-    rest = F.filter("identifiers", lambda x: ~F.array_contains(placed, x["data"]["identifier_type"]))
+
+    def taken(kind):  # its place was filled before
+        known = [empty[c] & (kind == k) for c, k in names.items()]
+        return ~(known[0] | known[1] | known[2])
+
+    rest = F.filter("identifiers", lambda x: taken(x["data"]["identifier_type"]))
     pairs = F.transform(rest, lambda x: F.struct(x["data"]["identifier_type"].alias("k"), x["data"]["identifier_value"].alias("v")))
     grouped = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
-    return papers.withColumns(filled | {"discovered": F.coalesce(grouped, F.create_map().cast("map<string,string>"))})
+    # first, for a name inside a lambda may be taken for the new column of that name
+    told = papers.withColumn("discovered", F.coalesce(grouped, F.create_map().cast("map<string,string>")))
+    return told.withColumns(filled)
