@@ -9,6 +9,10 @@ consistently: where an item repeats a value, the text must repeat the one that
 stands for it. An item has leaked into a text when consistent runs cover
 ``share`` of the item's windows; numbers or names may all have been changed.
 
+An item has leaked as well where its whole sequence of words (lower-cased, no
+placeholders) stands anywhere in a text. This finds items with few template
+tokens or plain words, and copies whose capitals read otherwise in the text.
+
 The benchmark is the stated query set. It is joined in blocks of at most
 ``BLOCK`` windows (12 bytes each, checked before it is broadcast); each block
 meets every document in one map over the whole texts, so no window of the
@@ -16,8 +20,9 @@ corpus is shuffled, and windows that very many texts share cost nothing extra.
 
 Results for special input: null and empty texts and items hold no windows and
 match nothing; fewer than five tokens are one window; windows with fewer than
-three plain words say nothing and are left out; repeated rows give repeated
-results; an empty table on either side gives an empty result; other columns
+three plain words say nothing as templates, and an item without others is found
+word for word only (one window, if it has none that tells); an item of one word
+is found in each text that has the word; repeated rows give repeated results; an empty table on either side gives an empty result; other columns
 are not read.
 """
 
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import LOWER, U64, mix, shingle_hashes, slices_by_bytes, span_hashes, table, text_bytes, tidy, word_spans
+from scholia.llm.common import _ODD, LOWER, U64, _inverse, mix, shingle_hashes, slices_by_bytes, span_hashes, table, text_bytes, tidy, word_spans
 
 WIDTH = 5
 #: Windows of the benchmark that are broadcast at a time.
@@ -54,6 +59,7 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".?!:;\n\"(")] = True
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _KIND = mix(np.arange(101, 105, dtype=np.uint64))
+_GATE = U64((1 << 22) - 1)
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -66,14 +72,17 @@ _NUMBER_WORDS, _UNITS = _hashes(NUMBER_WORDS), _hashes(UNITS)
 
 
 def template(column: pa.Array):
-    """(template hash, value hash, kind, row) of each template token."""
+    """(template hash, value hash, kind, row) of each template token, and (value
+    hash, row) of each word."""
     raw, offsets = text_bytes(column)
     n = len(column)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not len(raw):
         return none
     inner = np.zeros(len(raw), bool)
     inner[1:-1] = _POINT[raw[1:-1]] & _DIGIT[raw[:-2]] & _DIGIT[raw[2:]]
+    bounds = offsets[(offsets > 0) & (offsets < len(raw))]
+    inner[bounds] = inner[bounds - 1] = False  # digits of two texts
     seen = np.where(inner, np.uint8(48), raw)
     s, e, rows = word_spans(seen, offsets, _BREAKS)
     if not len(s):
@@ -103,16 +112,82 @@ def template(column: pa.Array):
     kind[capital & inside & (kind == PLAIN) & ~loud[rows]] = NAME
     run = (kind == NAME) & np.concatenate(([False], kind[:-1] == NAME)) & same
     keep = ~run
+    words, word_rows = value, rows
     kind, value, rows = kind[keep], value[keep], rows[keep]
-    return np.where(kind == PLAIN, value, _KIND[kind]), value, kind, rows
+    return np.where(kind == PLAIN, value, _KIND[kind]), value, kind, rows, words, word_rows
+
+
+class Words:
+    """The words of some texts; hashes of any runs of them from running sums."""
+
+    def __init__(self, words: np.ndarray, rows: np.ndarray, n: int):
+        self.row = rows
+        self.count = np.bincount(rows, minlength=n)
+        self.first = np.cumsum(self.count) - self.count
+        power, self.inverse = (np.multiply.accumulate(np.append(U64(1), np.full(len(words), x, np.uint64))) for x in (_ODD, _inverse(_ODD)))
+        self.total = np.append(U64(0), np.cumsum(mix(words) * power[:-1], dtype=np.uint64))
+
+    def hashes(self, at: np.ndarray, size) -> np.ndarray:
+        return mix((self.total[at + size] - self.total[at]) * self.inverse[at] + np.asarray(size).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+
+
+class Verbatim:
+    """The items' whole word sequences, to be found under their first words:
+    each length that items under one such anchor have is looked up once."""
+
+    def __init__(self, items: Words):
+        self.item = np.flatnonzero(items.count)
+        size = items.count[self.item]
+        anchor = items.hashes(items.first[self.item], np.minimum(size, WIDTH))
+        whole = items.hashes(items.first[self.item], size)
+        order = np.argsort(whole, kind="stable")
+        self.item, self.whole = self.item[order], whole[order]
+        order = np.lexsort((size, anchor))
+        anchor, size = anchor[order], size[order]
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (size[1:] != size[:-1])
+        self.anchor, self.size = anchor[new], size[new]
+        self.widths = np.unique(np.minimum(size, WIDTH)).tolist()
+        self.gate = _gate(self.anchor)
+
+    def found(self, docs: Words) -> np.ndarray:
+        """(row, item) of the items that stand in the texts, sorted, once each."""
+        parts = [np.zeros((2, 0), np.int64)]
+        ends = (docs.first + docs.count)[docs.row]
+        for k in self.widths:
+            at = np.flatnonzero(np.arange(len(ends)) + k <= ends)
+            h = docs.hashes(at, k)
+            near = self.gate[(h & _GATE).astype(np.int64)]
+            at, h = at[near], h[near]
+            which, place = _matches(self.anchor, h)
+            at, size = at[which], self.size[place]
+            fits = at + size <= ends[at]
+            at, size = at[fits], size[fits]
+            which, place = _matches(self.whole, docs.hashes(at, size))
+            parts.append(np.unique(np.stack((docs.row[at[which]], self.item[place])), axis=1))
+        return np.unique(np.concatenate(parts, axis=1), axis=1)
+
+
+def _gate(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << 22, bool)
+    out[(hashes & _GATE).astype(np.int64)] = True
+    return out
+
+
+def _matches(known: np.ndarray, h: np.ndarray):
+    """Places (in h, in sorted ``known``) of equal hashes."""
+    lo = np.searchsorted(known, h, side="left")
+    n = np.searchsorted(known, h, side="right") - lo
+    return np.repeat(np.arange(len(h)), n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 class Windows:
     """The windows of some texts: hash, row, and place of the first token."""
 
     def __init__(self, column: pa.Array):
-        self.token, self.value, self.kind, self.row_of = template(column)
         n = len(column)
+        self.token, self.value, self.kind, self.row_of, words, word_rows = template(column)
+        self.words = Words(words, word_rows, n)
         self.h, self.row = shingle_hashes(self.token, self.row_of, n, WIDTH)
         count = np.bincount(self.row_of, minlength=n) if len(self.row_of) else np.zeros(n, np.int64)
         self.first = np.cumsum(count) - count
@@ -219,20 +294,27 @@ def _matcher(sent, share: float):
         order = usable[np.argsort(items.h[usable], kind="stable")]
         known = items.h[order]
         totals = np.bincount(items.row[usable], minlength=len(ids))
-        gate = np.zeros(1 << 22, bool)
-        gate[(known & U64((1 << 22) - 1)).astype(np.int64)] = True
+        least = np.maximum(totals, 1)
+        gate = _gate(known)
+        verbatim = Verbatim(items.words)
+        item_slots = np.bincount(items.row_of[items.kind != PLAIN], minlength=len(ids))
         item_ids = pa.array(ids)
         for whole in batches:
             for batch in slices_by_bytes(whole, "text"):
                 w = Windows(batch.column("text"))
-                w.telling &= gate[(w.h & U64((1 << 22) - 1)).astype(np.int64)]
+                w.telling &= gate[(w.h & _GATE).astype(np.int64)]
                 near = np.flatnonzero(w.telling)
                 for name in ("h", "row", "pos", "start", "size", "telling"):
                     setattr(w, name, getattr(w, name)[near])
                 row, item, count, slots, changed = _shares(w, items, (known, order), totals, share)
+                r, i = verbatim.found(w.words)
+                more = ~np.isin(r * len(ids) + i, row * len(ids) + item)
+                r, i = r[more], i[more]
+                row, item, count = np.append(row, r), np.append(item, i), np.append(count, least[i])
+                slots, changed = np.append(slots, item_slots[i]), np.append(changed, np.zeros(len(i), np.int64))
                 if len(row):
                     yield pa.RecordBatch.from_arrays([
-                        batch.column("doc_id").take(pa.array(row)), item_ids.take(pa.array(item)), pa.array(count), pa.array(totals[item]), pa.array(slots), pa.array(changed)],
+                        batch.column("doc_id").take(pa.array(row)), item_ids.take(pa.array(item)), pa.array(count), pa.array(least[item]), pa.array(slots), pa.array(changed)],
                         names=["doc_id", "item_id", "windows", "item_windows", "slots", "changed_slots"])
     return run
 

@@ -327,6 +327,32 @@ def test_leaks(spark, empty):
     assert decontam.leaks(empty, bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_leak_word_for_word(spark):
+    items = ["How Many Moons Does Jupiter Have", "Who wrote Hamlet?", "Solve 2x + 3 = 7", "the answer is 3.", "5 plums", "Who wrote", "WHAT IS THE BOILING POINT OF PURE WATER", "9 8 7", "Who wrote Hamlet?", None, "?!"]
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(120):
+        parts = [prose(i, int(rng.integers(0, 30)))]
+        for k in rng.choice(9, int(rng.integers(0, 3)), replace=False):
+            parts += [str(rng.choice([items[k], items[k].lower(), items[k].upper(), items[k][:-2]])), prose(1000 + i, int(rng.integers(0, 9)))]
+        texts.append(" ".join(parts))
+    texts += ["x who wrote", "hamlet x", "", None, "9 8", "7", "the answer is 3", "5 plums"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1)
+    split = lambda t: re.findall(r"\d+(?:[.,]\d+)+|[0-9A-Za-z\u0080-\uffff]+", (t or "").lower())
+    want = set()
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            w, x = split(t), split(item)
+            if x and any(w[p:p + len(x)] == x for p in range(len(w))):
+                want.add((d, k))
+    rows = decontam.leaks(docs, bench).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert len(got) == len(rows) and got >= want and {k for _, k in want} == set(range(9))
+    templates = {k for _, k in got - want}  # a template may match with other words
+    assert templates <= {0, 3, 4, 6} and all(r["windows"] <= r["item_windows"] and r["item_windows"] > 0 for r in rows)
+
+
 # ---------------------------------------------------------------- 8
 
 
