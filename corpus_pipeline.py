@@ -7,52 +7,76 @@ packed pieces. Between stages the rows are written as Parquet and read again.
 
 Nulls, empty and very long texts, repeated rows, empty tables and further
 columns are handled as each operator's docstring says; a stage that filters
-drops rows by doc_id, so rows that share an id share their fate, and rows
-without an id are judged like others where the operator judges rows (toxicity)
-and stay where it judges ids.
+drops rows by doc_id, so rows that share an id share their fate. A row without
+an id is named by its text, so each stage judges it like any other: in the line
+stage it comes before all rows with an id, and of near duplicates it stays only
+if no other has an id (below 2^62), then as one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.llm import decontam, linededup, neardup, packing, toxicity
-from scholia.llm.common import materialize, table
+from scholia.llm.common import free_name, materialize, table
 
 #: Ids up to which a list of documents to drop is broadcast (16 bytes each).
 SMALL = 2_000_000
+#: What near duplicates count as a word; texts without any are linked with nothing.
+WORD = "[^ \\t\\n\\x0B\\f\\r]"
+
+
+def _key(least: int = 1 << 62) -> Column:
+    """doc_id, or for a row without one a hash of its text from ``least`` on."""
+    named = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND((1 << 62) - 1) + F.lit(least)
+    return F.coalesce(F.col("doc_id").cast("long"), named)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_key().alias("doc_id"), "text")
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without those whose key is a doc_id of ``ids``."""
     ids = materialize(ids.select(F.col("doc_id").alias("_gone")).distinct(), "documents-to-drop")
     ids = F.broadcast(ids) if ids.count() <= SMALL else ids
-    return docs.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(ids, _key() == F.col("_gone"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the linear model scores at the threshold or above go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    bad = toxicity.scored(docs.select("doc_id", "text"), model).filter(F.col("score") >= toxicity.THRESHOLD)
+    bad = toxicity.scored(_keyed(docs), model).filter(F.col("score") >= toxicity.THRESHOLD)
     return _without(docs, bad)
 
 
 def drop_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat or nearly repeat an earlier line go; documents stay."""
-    out = linededup.without_later_lines(docs).drop("n_removed")
+    own = free_name(docs, "_own_id")
+    named = docs.withColumn(own, F.col("doc_id")).withColumn("doc_id", _key(-(1 << 63)))
+    out = linededup.without_later_lines(named).withColumn("doc_id", F.col(own))
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id stays."""
-    return _without(docs, neardup.near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")))
+    """Of each group of near duplicates the document of smallest id stays; of
+    equal texts without ids one row."""
+    found = materialize(neardup.near_duplicates(_keyed(docs)).filter(~F.col("kept")), "near-duplicates")
+    left = _without(docs, found)
+    bare = F.col("doc_id").isNull() & F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
+    if docs.filter("doc_id is null").isEmpty():
+        return left
+    name = free_name(docs, "_name")
+    once = left.filter(bare).withColumn(name, _key()).dropDuplicates([name]).select(*docs.columns)
+    return left.filter(~bare).unionByName(once)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which a benchmark item has leaked go."""
     benchmark = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return _without(docs, decontam.leaks(docs.select("doc_id", "text"), benchmark))
+    return _without(docs, decontam.leaks(_keyed(docs), benchmark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -448,3 +448,29 @@ def test_pipeline(spark, tmp_path, rows, paths):
     assert 400 in left["near_dedup"] and 400 not in left["decontamination"]
     packed = cp.run(spark, str(tmp_path)).toPandas()
     assert set(packed.doc_id.dropna()) == {x for x in left["decontamination"] if x is not None}
+
+
+def test_pipeline_judges_rows_without_id(spark, tmp_path):
+    import corpus_pipeline as cp
+    toxic = [prose(300 + i, 50) + " idiot moron idiot scum you idiot" for i in range(24)]
+    copy, own, leak = prose(500, 60), prose(501, 60), "intro words here now. " + prose(999, 30)
+    two = [prose(600, 20) + "\n" + prose(601, 20), prose(602, 20) + "\n" + prose(600, 20), prose(603, 20) + "\n" + prose(604, 20)]
+    docs = [(i, prose(i, 60), "en", "s", 1) for i in range(60)] + [(200 + i, toxic[i], "en", "s", 1) for i in range(20)] + [(7000, copy, "en", "s", 1)]
+    bare = [*toxic[20:], *[copy + " tail"] * 3, *[own] * 4, own + " tail", leak, *two, "", "", None]
+    spark.createDataFrame(docs + [(None, x, "en", "s", 1) for x in bare], SCHEMA).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(200 + i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, prose(999, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    read, d = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    texts = lambda df: collections.Counter(r["text"] for r in df.filter("doc_id is null").collect())
+    all_, ids = collections.Counter(bare), {x[0] for x in docs}
+    assert texts(cp.drop_toxic(spark, read, d)) == all_ - collections.Counter(toxic)
+    assert texts(cp.drop_leaks(spark, read, d)) == all_ - collections.Counter([leak])
+    near = cp.drop_near_duplicates(spark, read, d).collect()
+    left = collections.Counter(r["text"] for r in near if r["doc_id"] is None)
+    assert left[own] + left[own + " tail"] == 1 and left[copy + " tail"] == 0 and left[""] == 2 and left[None] == 1
+    assert {r["doc_id"] for r in near} == ids | {None} and all(left[x] == 1 for x in [leak, *two, *toxic[20:]])
+    # lines go by row: the three texts share one line, and nothing else goes
+    lines = cp.drop_later_lines(spark, read, d)
+    kept = [x for t in texts(lines) if t for x in t.split("\n")]
+    assert lines.columns == read.columns and lines.count() == read.count()
+    assert kept.count(prose(600, 20)) == 1 and all(kept.count(prose(k, 20)) == 1 for k in (601, 602, 603, 604))
