@@ -1,12 +1,14 @@
 """Line de-duplication [native]: an exact set-similarity join over lines.
 
-A line's set is its distinct 5-word shingles (lower-cased); lines with
-fewer than ``width`` words are left alone. A line is removed when an earlier
+A line's set is its distinct 5-word shingles (lower-cased). A line with fewer
+words is one token, its whole sequence, with ``short`` (the pipeline), so that
+it goes where it equals an earlier line; else (the query op9, whose SQL says so)
+such lines are left alone. A line is removed when an earlier
 line, in order of (doc_id, line number), has an equal set, or one with
 100 * intersection >= percent * union. The first of similar lines always stays.
 
 1. Lines with equal words are counted by key with a partial aggregate; only one
-   of them, the first, takes part in the join.
+   of them, the first, takes part in the join. Short lines end here.
 2. Tokens are ordered by rarity: how many tokens of the whole corpus share the
    token's bucket of ``BUCKETS`` (an exact count, of bounded size), then hash.
 3. Prefix filter: two lines that match share ``ELL`` tokens or more among their
@@ -26,8 +28,7 @@ Only DataFrame expressions; a family of thousands of variants costs rows in
 proportion to its lines. Small lists (checked by count) are broadcast, larger
 ones are joined by shuffling.
 
-Results for special input: null text stays null; empty lines and short lines
-stay; repeated rows and rows that share a doc_id are one document (same
+Results for special input: null text stays null; empty lines stay; repeated rows and rows that share a doc_id are one document (same
 verdicts); a null doc_id counts as the smallest; very long lines are ordinary;
 an empty table gives an empty result; other columns pass through.
 """
@@ -53,8 +54,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _lines(docs: DataFrame, packed: bool, only: DataFrame | None = None) -> DataFrame:
-    """ord and line (single spaces, lower case) of every line with ``WIDTH``
+def _lines(docs: DataFrame, packed: bool, only: DataFrame | None = None, least: int = WIDTH) -> DataFrame:
+    """ord and line (single spaces, lower case) of every line with ``least``
     words or more, or of those in ``only``. White space is rewritten only in texts that have any other
     than spaces and line ends."""
     text = F.lower(F.col("text").cast("string"))
@@ -66,10 +67,14 @@ def _lines(docs: DataFrame, packed: bool, only: DataFrame | None = None) -> Data
     if only is not None:
         return split.select(_place(packed).alias("ord"), "line").join(only, "ord").select("ord", F.trim("line").alias("line"))
     split = split.select("doc_id", "line_no", F.trim("line").alias("line"))
-    split = split.filter(F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) >= WIDTH - 1)
+    split = split.filter((F.col("line") != "") & (_spaces(F.col("line")) >= least - 1))
     return split.select(_place(packed).alias("ord"), "line")
 
 
+def _spaces(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+
+
 def _checked(pairs: DataFrame, full: DataFrame, other: str) -> DataFrame:
     """Both sets of written ``pairs`` (ord, other). Sets are wide and pairs are
     not: where their count allows, the pairs go to the sets, and only the sets
@@ -128,18 +133,21 @@ def _could(nx, ny, i, j) -> Column:
     return (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)) & (F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1) >= least)
 
 
-def later_lines(docs: DataFrame) -> DataFrame:
+def later_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, line_no) of the lines to remove; null ids are the least long."""
     packed = _packed(docs)
-    lines = _lines(docs, packed)
+    lines = _lines(docs, packed, least=1 if short else WIDTH)
     # t: 32 bits of each token, as many as there are tokens; sets are compared on all 64 later
     half = F.transform(_shingles(F.col("line")), lambda t: F.shiftright(t, 32).cast("int"))
+    if short:
+        half = F.when(_spaces(F.col("line")) >= WIDTH - 1, half).otherwise(F.array().cast("array<int>"))
     known = materialize(lines.select("ord", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), half.alias("t")), "lines")
     # equal lines
     again = materialize(known.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter("c > 1").select("k1", "k2", "first"), "equal-lines")
     small = _small(again)
     copies = known.select("ord", "k1", "k2").join(small, ["k1", "k2"]).filter("ord > first").select("ord")
     firsts = known.join(small, ["k1", "k2"], "left").filter("first is null or ord = first").select("ord", "t")
+    firsts = firsts.filter(F.size("t") > 0) if short else firsts
     # rarity
     bucket = lambda t: F.pmod(t, F.lit(BUCKETS)).cast("int")
     counted = firsts.select(F.explode_outer("t").alias("t")).groupBy(bucket(F.col("t")).alias("b")).count()
@@ -196,9 +204,10 @@ def later_lines(docs: DataFrame) -> DataFrame:
     return materialize(gone.select(*_document(packed)), "later-lines")
 
 
-def without_later_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with its text's later lines taken out, and their number."""
-    gone = later_lines(docs.select("doc_id", "text"))
+def without_later_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """``docs`` with its text's later lines taken out, and their number;
+    ``short``: lines under ``WIDTH`` words too."""
+    gone = later_lines(docs.select("doc_id", "text"), short)
     lists = materialize(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id"), "lines-to-remove")
     lists = F.broadcast(lists) if lists.count() <= SMALL // 4 else lists
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))

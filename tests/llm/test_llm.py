@@ -427,6 +427,24 @@ def test_line_join(spark, empty, monkeypatch, crowd):
     assert linededup.without_later_lines(empty).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    import corpus_pipeline as cp
+    rng = np.random.default_rng(9)
+    pool = [prose(i, int(rng.integers(1, 8)), 8) for i in range(40)] + ["", "  ", "Yes", "yes ", "one\ttwo", "one  TWO"]
+    rows = [(i, "\n".join(rng.choice(pool, int(rng.integers(1, 6))))) for i in range(80)] + [(500, ""), (501, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    want, seen = {}, []
+    for i, t in rows:
+        kept = []
+        for line in (t or "").split("\n"):
+            s = shingles(line)
+            if not s or not any(100 * len(s & o) >= 75 * len(s | o) for o in seen):
+                kept.append(line)
+            seen += [s] if s else []
+        want[i] = None if t is None else "\n".join(kept)
+    assert {r["doc_id"]: r["text"] for r in cp.drop_later_lines(spark, docs, str(tmp_path)).collect()} == want
+
+
 # ---------------------------------------------------------------- pipeline
 
 
