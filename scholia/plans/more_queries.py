@@ -125,8 +125,8 @@ def venue_scores(spark, d):
 
 @query("first_by_any_key")
 def first_by_any_key(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"), F.md5(F.lower(F.substring("text", 1, 60)).cast("binary")).alias("head"))
-    return dedup.first_by_any(x, ["hash", "head"], "doc_id").select("doc_id")
+    x = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"), F.md5(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")).cast("binary")).alias("words"))
+    return dedup.first_by_any(x, ["hash", "words"], "doc_id").select("doc_id")
 
 
 @query("fuzzy_duplicates")

@@ -219,3 +219,17 @@ def test_parse_affiliation(spark):
     from scholia.functions import prose
     row = spark.createDataFrame([("Dept of Physics, Stanford University, Palo Alto 94305, USA a@cs.stanford.edu",)], "a string").select(prose.parse_affiliation()("a").alias("p")).first()["p"]
     assert (row["organisation"], row["department"], row["country"], row["email_domain"]) == ("Stanford University", "Dept of Physics", "USA", "cs.stanford.edu")
+
+
+def test_first_by_any_key_reads_whole_texts(spark, tmp_path):
+    from scholia.plans import QUERIES
+    head = "a shared header of more than sixty characters, the same in all of these texts: "
+    texts = [head + "one", head + "two", head.upper() + " ONE\n", head + "two", None, None, "short", "Short ", "\tshort", head + "three", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = set(), []
+    for i, t in enumerate(texts):
+        keys = set() if t is None else {("hash", t), ("words", " ".join(t.lower().split()))}
+        if not keys & seen:
+            seen |= keys
+            want.append(i)
+    assert sorted(r["doc_id"] for r in QUERIES["first_by_any_key"](spark, str(tmp_path)).collect()) == want == [0, 1, 4, 5, 6, 9, 10]
