@@ -9,6 +9,7 @@ words.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -66,9 +67,34 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{scratch_dir(spark)}/scholia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, weakref.ref(spark), path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialize`` writes inside the block go at its end; only
+    tables given to ``keep`` may be read afterwards."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _remove(weakref.ref(spark), path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df``, which ``materialize`` made last, stays after the block."""
+    path = _SCRATCH[-1].pop()
+    if len(_SCRATCH) > 1:
+        _SCRATCH[-2].append(path)
+    return df
+
+
 def tidy(function):
     """``function`` for mapInArrow, giving freed memory back at a task's end:
     workers are kept for later tasks, and what they hold counts."""

@@ -1,10 +1,9 @@
 """Line de-duplication [native]: an exact set-similarity join over lines.
 
-A line's set is its distinct 5-word shingles (lower-cased). A line with fewer
-words is one token, its whole sequence, with ``short`` (the pipeline), so that
-it goes where it equals an earlier line; else (the query op9, whose SQL says so)
-such lines are left alone. A line is removed when an earlier
-line, in order of (doc_id, line number), has an equal set, or one with
+A line's set is its distinct 5-word shingles (lower-cased, all of Unicode). A
+line with fewer words is one token, its whole sequence, so it goes where it
+equals an earlier line. A line is removed when an earlier line, in order of
+(doc_id, hash of the text, line number), has an equal set, or one with
 100 * intersection >= percent * union. The first of similar lines always stays.
 
 1. Lines with equal words are counted by key with a partial aggregate; only one
@@ -28,9 +27,11 @@ Only DataFrame expressions; a family of thousands of variants costs rows in
 proportion to its lines. Small lists (checked by count) are broadcast, larger
 ones are joined by shuffling.
 
-Results for special input: null text stays null; empty lines stay; repeated rows and rows that share a doc_id are one document (same
-verdicts); a null doc_id counts as the smallest; very long lines are ordinary;
-an empty table gives an empty result; other columns pass through.
+Results for special input: null text stays null; empty lines stay; rows that
+share a doc_id, or have none, are documents of their own, in order of their
+texts' hashes; rows that repeat another wholly get its verdicts; a null doc_id
+is the smallest; very long lines are ordinary; an empty table gives an empty
+result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import materialize, table
+from scholia.llm.common import keep, materialize, scratch, table
 
 WIDTH, PERCENT, ELL = 5, 75, 4
 BUCKETS = 1 << 16
@@ -54,63 +55,76 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _lines(docs: DataFrame, packed: bool, only: DataFrame | None = None, least: int = WIDTH) -> DataFrame:
-    """ord and line (single spaces, lower case) of every line with ``least``
-    words or more, or of those in ``only``. White space is rewritten only in texts that have any other
-    than spaces and line ends."""
+class _Rows:
+    """How a line is named. ``ord`` orders lines by (doc_id, hash of the text,
+    line number), nulls first, and is unique but for repeated rows: one long
+    where ids are unique and below 2^32, else a struct of the three."""
+
+    def __init__(self, docs: DataFrame):
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+        low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+        self.packed = (low is None or low >= 0 and high < (1 << 32) - 1) and ids.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+    def key(self) -> Column:
+        """What names a row of documents; line 0 of it, so to speak."""
+        doc = F.col("doc_id").cast("long")
+        if self.packed:
+            return F.coalesce(doc + 1, F.lit(0))
+        return F.struct(doc.alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
+
+    def place(self, key: str, line_no: str) -> Column:
+        if self.packed:
+            return F.shiftleft(key, 31) + F.col(line_no)
+        return F.struct(F.col(key)["doc"].alias("doc"), F.col(key)["tie"].alias("tie"), F.col(line_no).alias("line_no"))
+
+    def parts(self, ord: str = "ord") -> list[Column]:
+        """key and line_no of a place."""
+        if self.packed:
+            return [F.shiftrightunsigned(ord, 31).alias("key"), F.col(ord).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no")]
+        return [F.struct(F.col(ord)["doc"].alias("doc"), F.col(ord)["tie"].alias("tie")).alias("key"), F.col(ord)["line_no"].alias("line_no")]
+
+
+def _split_lines() -> Column:
+    """The lower-cased lines of a text, with single spaces for runs of white
+    space; rewritten only in texts that have any other than spaces and line ends."""
     text = F.lower(F.col("text").cast("string"))
     odd = text.contains("  ")
     for c in "\t\x0b\f\r":
         odd = odd | text.contains(c)
-    clean = F.when(odd, F.regexp_replace(text, BREAKS, " ")).otherwise(text)
-    split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.posexplode(F.split(clean, "\n", -1)).alias("line_no", "line"))
-    if only is not None:
-        return split.select(_place(packed).alias("ord"), "line").join(only, "ord").select("ord", F.trim("line").alias("line"))
-    split = split.select("doc_id", "line_no", F.trim("line").alias("line"))
-    split = split.filter((F.col("line") != "") & (_spaces(F.col("line")) >= least - 1))
-    return split.select(_place(packed).alias("ord"), "line")
+    return F.split(F.when(odd, F.regexp_replace(text, BREAKS, " ")).otherwise(text), "\n", -1)
 
 
 def _spaces(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
 
 
-def _checked(pairs: DataFrame, full: DataFrame, other: str) -> DataFrame:
-    """Both sets of written ``pairs`` (ord, other). Sets are wide and pairs are
-    not: where their count allows, the pairs go to the sets, and only the sets
-    that occur are dealt out."""
-    keys = _small(materialize(pairs.select(other).distinct(), "pair-keys"))
-    theirs = full.select(F.col("ord").alias(other), F.col("items").alias("theirs")).join(keys, other, "left_semi")
-    both = full.join(_small(pairs), "ord").join(theirs, other)
-    return both.filter(similar(F.col("items"), F.col("theirs"), F.size("items"), F.size("theirs"))).select("ord").distinct()
-
-
-def _packed(docs: DataFrame) -> bool:
-    """Whether (doc_id, line number) fits one long; else it is a decimal."""
-    low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
-    return low is None or low >= 0 and high < (1 << 32) - 1
+def _bound(value: Column, function) -> Column:
+    """``function`` of a value that is evaluated once, however often it is used
+    and however the plan is rewritten."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
 
 
-def _place(packed: bool) -> Column:
-    if packed:  # a null id, the least long, becomes 0
-        return F.shiftleft(F.greatest(F.col("doc_id"), F.lit(-1)) + 1, 31) + F.col("line_no")
-    return (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(14,0)") + F.col("line_no")).cast("decimal(38,0)")
+def _with_words(lines: DataFrame, line: str, *columns) -> DataFrame:
+    """``columns`` and ``h``, the hashes of each line's words. The generator is a
+    barrier: nothing above it evaluates the words again."""
+    return lines.select(*columns, F.explode(F.array(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))).alias("h"))
 
 
-def _document(packed: bool) -> list[Column]:
-    """doc_id and line_no of a place."""
-    if packed:
-        doc = F.shiftrightunsigned("ord", 31) - 1
-        return [F.when(doc < 0, F.lit(-(1 << 63))).otherwise(doc).alias("doc_id"), F.col("ord").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no")]
-    return [F.expr(f"(ord - pmod(ord, cast({1 << 40} as decimal(38,0)))) div {1 << 40}").cast("long").alias("doc_id"), F.pmod("ord", F.lit(1 << 40).cast("decimal(38,0)")).cast("int").alias("line_no")]
+def _shingles(hash_) -> Column:
+    """The distinct shingles, as ``hash_`` of the hashes ``h`` of their words;
+    none for fewer than ``WIDTH`` words."""
+    made = F.transform("h", lambda x, i: hash_(x, *[F.get("h", i + j) for j in range(1, WIDTH)]))
+    return F.array_distinct(F.slice(made, 1, F.greatest(F.size("h") - (WIDTH - 1), F.lit(0))))
 
 
-def _shingles(line: Column) -> Column:
-    """The distinct shingle hashes of a line. The words are bound by an outer
-    lambda, so that they are split once however the plan is rewritten."""
-    made = F.transform(F.array(F.split(line, " ")), lambda w: F.array_distinct(
-        F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WIDTH)]))))
-    return F.get(made, F.lit(0))
+def _checked(pairs: DataFrame, full: DataFrame, other: str) -> DataFrame:
+    """The lines of written ``pairs`` (ord, other) whose sets are similar. Sets
+    are wide and pairs are not: where their count allows, the pairs go to the
+    sets, and only the sets that occur are dealt out."""
+    keys = _small(materialize(pairs.select(other).distinct(), "pair-keys"))
+    theirs = full.select(F.col("ord").alias(other), F.col("items").alias("theirs")).join(keys, other, "left_semi")
+    both = full.join(_small(pairs), "ord").join(theirs, other)
+    return both.filter(similar(F.col("items"), F.col("theirs"), F.size("items"), F.size("theirs"))).select("ord").distinct()
 
 
 def _need(n: Column) -> Column:
@@ -133,88 +147,88 @@ def _could(nx, ny, i, j) -> Column:
     return (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)) & (F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1) >= least)
 
 
-def later_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(doc_id, line_no) of the lines to remove; null ids are the least long."""
-    packed = _packed(docs)
-    lines = _lines(docs, packed, least=1 if short else WIDTH)
+def later_lines(docs: DataFrame, rows: _Rows, least_words: int = 1) -> DataFrame:
+    """(key, line_no) of the lines to remove, as ``rows`` names them."""
+    found = docs.select(rows.key().alias("_key"), F.posexplode(_split_lines()).alias("_no", "_line"))
+    lines = found.select(rows.place("_key", "_no").alias("ord"), F.trim("_line").alias("line")).filter("line <> ''")
+    if least_words > 1:
+        lines = lines.filter(_spaces(F.col("line")) >= least_words - 1)
     # t: 32 bits of each token, as many as there are tokens; sets are compared on all 64 later
-    half = F.transform(_shingles(F.col("line")), lambda t: F.shiftright(t, 32).cast("int"))
-    if short:
-        half = F.when(_spaces(F.col("line")) >= WIDTH - 1, half).otherwise(F.array().cast("array<int>"))
-    known = materialize(lines.select("ord", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"), half.alias("t")), "lines")
+    worded = _with_words(lines, "line", "ord", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
+    known = materialize(worded.select("ord", "k1", "k2", _shingles(F.hash).alias("t")), "lines")
     # equal lines
     again = materialize(known.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter("c > 1").select("k1", "k2", "first"), "equal-lines")
     small = _small(again)
     copies = known.select("ord", "k1", "k2").join(small, ["k1", "k2"]).filter("ord > first").select("ord")
-    firsts = known.join(small, ["k1", "k2"], "left").filter("first is null or ord = first").select("ord", "t")
-    firsts = firsts.filter(F.size("t") > 0) if short else firsts
-    # rarity
-    bucket = lambda t: F.pmod(t, F.lit(BUCKETS)).cast("int")
-    counted = firsts.select(F.explode_outer("t").alias("t")).groupBy(bucket(F.col("t")).alias("b")).count()
+    firsts = known.filter(F.size("t") > 0).join(small, ["k1", "k2"], "left").filter("first is null or ord = first").select("ord", "t")
+    # rarity: the rank of a token's bucket, above the token's own 32 bits
+    counted = firsts.select(F.explode_outer("t").alias("t")).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).count()
     counts = [0] * BUCKETS
     for b, c in counted.collect():  # BUCKETS rows at most
         counts[b] = c
     order = {c: i for i, c in enumerate(sorted(set(counts)))}
-    rank = F.split(F.lit(",".join(str(order[c]) for c in counts)), ",").cast("array<int>")
-    # prefixes: sorted as one long, the bucket's rank above the token
-    ranked = F.sort_array(F.transform("t", lambda t: F.shiftleft(F.element_at(F.col("_rank"), bucket(t) + 1).cast("long"), 32) + F.pmod(t.cast("long"), F.lit(1 << 32))))
+    rank = F.split(F.lit(",".join(str(order[c] << 33) for c in counts)), ",").cast("array<bigint>")
+    # prefixes
     n = F.size("t")
-    prefix = firsts.withColumn("_rank", rank).select("ord", n.alias("n"), F.transform(F.slice(ranked, 1, F.least(n, n - _need(n) + _ell(n))), lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("p"))
-    prefix = materialize(prefix, "line-prefixes")
-    shared = prefix.select(F.explode_outer("p").alias("t")).groupBy("t").count().filter("count > 1").select("t")
-    shared = _small(materialize(shared, "shared-tokens"))
-    rows = prefix.select("ord", "n", F.posexplode_outer("p").alias("i", "t")).join(shared, "t")
-    enough = rows.groupBy("ord", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= _ell(F.col("n"))).select("ord")
+    ranked = F.sort_array(F.transform("t", lambda t: F.coalesce(F.get("_rank", t.bitwiseAND(BUCKETS - 1)) + t, F.lit(0))))
+    prefix = firsts.withColumn("_rank", rank).select("ord", n.alias("n"), F.posexplode_outer(F.slice(ranked, 1, F.least(n, n - _need(n) + _ell(n)))).alias("i", "_t"))
+    prefix = materialize(prefix.select("ord", "n", "i", F.shiftright(F.shiftleft("_t", 32), 32).cast("int").alias("t")), "line-prefixes")
+    shared = prefix.groupBy("t").count().filter("count > 1").select("t")
+    places = prefix.join(_small(materialize(shared, "shared-tokens")), "t")
+    enough = places.groupBy("ord", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= _ell(F.col("n"))).select("ord")
     enough = materialize(enough, "lines-with-partners")
-    few = _small(enough)
-    rows = materialize(rows.join(few, "ord"), "prefix-tokens")
-    full = _lines(docs, packed, few).select("ord", _shingles(F.col("line")).alias("items"))
-    full = materialize(full, "line-sets")
-    if full.count() != enough.count():  # rows that share a doc_id
-        full = materialize(full.dropDuplicates(["ord"]), "line-sets")
-    # hubs
-    hubs = materialize(rows.groupBy("t").agg(F.min("ord").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("t", "hub"), "hubs")
-    hub_of = rows.select(F.col("ord").alias("hub"), F.col("n").alias("hn"), F.col("i").alias("hi"), "t").join(hubs, ["t", "hub"])
-    hub_of = materialize(hub_of, "hub-places")
-    met = rows.join(hub_of, "t").filter("hub < ord").filter(_could(F.col("n"), F.col("hn"), F.col("i"), F.col("hi")))
+    places = materialize(places.join(_small(enough), "ord"), "prefix-tokens")
+    # hubs: the first line of each token that has others
+    hubs = materialize(places.groupBy("t").agg(F.min("ord").alias("hub"), F.count("*").alias("m")).filter("m > 1"), "hubs")
+    places = materialize(places.join(_small(hubs), "t"), "places")
+    hub_of = places.filter("ord = hub").select("t", F.col("n").alias("hn"), F.col("i").alias("hi"))
+    met = places.filter("hub < ord").join(hub_of, "t").filter(_could(F.col("n"), F.col("hn"), F.col("i"), F.col("hi")))
     pairs = met.groupBy("ord", "hub", "n", "hn").agg(F.count("*").alias("m")).filter(F.col("m") >= F.least(_ell(F.col("n")), _ell(F.col("hn")))).select("ord", "hub")
     pairs = materialize(pairs, "hub-pairs")
+    # whole sets of the lines that have partners, from their documents
+    wanted = materialize(enough.select(*rows.parts()).groupBy("key").agg(F.collect_list("line_no").alias("_wanted")).withColumnRenamed("key", "_of"), "documents-with-partners")
+    texts = docs.select(rows.key().alias("_key"), "text").join(_small(wanted), F.col("_key") == F.col("_of"))
+    texts = texts.select("_key", F.inline(_bound(_split_lines(), lambda x: F.transform("_wanted", lambda i: F.struct(i.alias("_no"), F.trim(F.get(x, i)).alias("_line"))))))
+    full = materialize(_with_words(texts, "_line", rows.place("_key", "_no").alias("ord")).select("ord", _shingles(F.xxhash64).alias("items")), "line-sets")
+    if full.count() != enough.count():  # repeated rows
+        full = materialize(full.dropDuplicates(["ord"]), "line-sets")
     explained = materialize(_checked(pairs, full, "hub"), "explained")
     # the rest, under tokens that few lines have: pairs that share enough of them
-    left = materialize(rows.join(_small(explained), "ord", "left_anti"), "unexplained")
-    sizes = rows.groupBy("t").agg(F.count("*").alias("m")).filter("m > 1")
-    sizes = materialize(sizes.join(left.select("t").distinct(), "t", "left_semi"), "token-sizes")
-    rare, common = (_small(materialize(sizes.filter(f"m {op} {CROWD}").select("t"), name)) for op, name in (("<=", "rare-tokens"), (">", "common-tokens")))
-    theirs = rows.select(F.col("ord").alias("oy"), F.col("n").alias("ny"), F.col("i").alias("j"), F.col("t").alias("ty"))
-    could = (F.col("oy") < F.col("ord")) & _could(F.col("n"), F.col("ny"), F.col("i"), F.col("j"))
-    ours = left.select("t", "ord", "n", "i")
-    met = ours.join(rare, "t").join(theirs.join(rare.withColumnRenamed("t", "ty"), "ty"), (F.col("t") == F.col("ty")) & could)
+    left = materialize(places.join(_small(explained), "ord", "left_anti").select("t", "ord", "n", "i", "m"), "unexplained")
+    theirs = places.select(F.col("ord").alias("oy"), F.col("n").alias("ny"), F.col("i").alias("j"), F.col("t").alias("ty"), "m")
+    rare, common = theirs.filter(F.col("m") <= CROWD).drop("m"), theirs.filter(F.col("m") > CROWD).drop("m")
+    could = (F.col("t") == F.col("ty")) & (F.col("oy") < F.col("ord")) & _could(F.col("n"), F.col("ny"), F.col("i"), F.col("j"))
+    met = left.filter(F.col("m") <= CROWD).drop("m").join(rare, could)
     pairs = met.groupBy("ord", "oy", "n", "ny").agg(F.count("*").alias("m")).filter(F.col("m") >= F.least(_ell(F.col("n")), _ell(F.col("ny")))).select("ord", "oy")
     pairs = materialize(pairs, "line-pairs")
     some = materialize(_checked(pairs, full, "oy"), "explained-by-pairs")
     # under tokens that many lines have: a semi join that tests as it joins
-    ours = materialize(ours.join(common, "t").join(_small(some), "ord", "left_anti"), "open-places")
+    ours = materialize(left.filter(F.col("m") > CROWD).drop("m").join(_small(some), "ord", "left_anti"), "open-places")
+    asked = _small(materialize(ours.select(F.col("t").alias("ty")).distinct(), "open-tokens"))
+    theirs = materialize(common.join(asked, "ty"), "earlier-places")
     ours = materialize(full.join(_small(ours), "ord"), "open-lines")
-    theirs = materialize(theirs.join(common.withColumnRenamed("t", "ty"), "ty"), "earlier-places")
     theirs = materialize(full.select(F.col("ord").alias("oy"), F.col("items").alias("theirs")).join(_small(theirs), "oy"), "earlier-lines")
-    more = ours.join(theirs, (F.col("t") == F.col("ty")) & could & similar(F.col("items"), F.col("theirs"), F.col("n"), F.col("ny")), "left_semi").select("ord")
+    more = ours.join(theirs, could & similar(F.col("items"), F.col("theirs"), F.col("n"), F.col("ny")), "left_semi").select("ord")
     near = materialize(explained.unionByName(some).unionByName(more).distinct(), "near-lines")
     # a near line's later copies have gone as copies already
     gone = copies.unionByName(near).distinct()
-    return materialize(gone.select(*_document(packed)), "later-lines")
-
-
-def without_later_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """``docs`` with its text's later lines taken out, and their number;
-    ``short``: lines under ``WIDTH`` words too."""
-    gone = later_lines(docs.select("doc_id", "text"), short)
-    lists = materialize(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id"), "lines-to-remove")
+    return materialize(gone.select(*rows.parts()), "later-lines")
+
+
+def without_later_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
+    """``docs`` with its texts' later lines taken out, and ``n_removed``, their
+    number; lines under ``least_words`` words are left alone."""
+    pair = docs.select("doc_id", "text")
+    rows = _Rows(pair)
+    with scratch(docs.sparkSession):
+        gone = later_lines(pair, rows, least_words)
+        lists = gone.groupBy("key").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("key", "_of")
+        lists = keep(materialize(lists, "lines-to-remove"))
     lists = F.broadcast(lists) if lists.count() <= SMALL // 4 else lists
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    out = docs.drop("n_removed").withColumn("_key", key).join(lists, F.col("_key") == F.col("_id"), "left")
+    out = docs.drop("n_removed").withColumn("_key", rows.key()).join(lists, F.col("_key") == F.col("_of"), "left")
     kept = F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.withColumn("text", text).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_key", "_id", "_gone")
+    return out.withColumn("text", text).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_key", "_of", "_gone")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ _OP4 = rf"""with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^
 
 _OP9 = r"""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i, unnest(string_split(text, chr(10))) as line from documents where text is not null),
  w as (select doc_id, i, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') as w from l),
- sets as (select doc_id, i, row_number() over (order by doc_id, i) as o, list_distinct([array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)]) as s from w where len(w) >= 5),
+ sets as (select doc_id, i, row_number() over (order by doc_id, i) as o, case when len(w) >= 5 then list_distinct([array_to_string(w[k:k + 4], ' ') for k in range(1, len(w) - 3)]) else [array_to_string(w, ' ')] end as s from w where len(w) > 0),
  sh as (select o, len(s) as n, unnest(s) as s from sets),
  dup as (select distinct x from (select a.o as x, b.o as y, any_value(a.n) as nx, any_value(b.n) as ny, count(*) as c from sh a join sh b on a.s = b.s and b.o < a.o group by 1, 2) where 100 * c >= 75 * (nx + ny - c)),
  gone as (select doc_id, i from sets join dup on x = o),

@@ -389,11 +389,12 @@ def test_label_model_rates_voters():
 
 
 def brute_lines(rows):
-    out, seen, index = {}, [], collections.defaultdict(list)
-    for d, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0])):
+    """Texts without later lines, for rows (doc_id, text) in their order."""
+    out, seen, index = [], [], collections.defaultdict(list)
+    for _, t in rows:
         kept = []
         for line in (t or "").split("\n"):
-            s = shingles(line) if len(lowered(line)) >= 5 else frozenset()
+            s = shingles(line)
             c = collections.Counter(j for g in s for j in index[g])
             if not any(100 * n >= 75 * (len(s) + len(seen[j]) - n) for j, n in c.items()):
                 kept.append(line)
@@ -401,48 +402,48 @@ def brute_lines(rows):
                 for g in s:
                     index[g].append(len(seen))
                 seen.append(s)
-        out[d] = "\n".join(kept)
+        out.append(None if t is None else "\n".join(kept))
     return out
 
 
-@pytest.mark.parametrize("crowd", [2, 32])
-def test_line_join(spark, empty, monkeypatch, crowd):
-    monkeypatch.setattr(linededup, "CROWD", crowd)
-    rng = np.random.default_rng(4)
-    lines = [prose(i, int(rng.integers(3, 40))) for i in range(30)]
-    rows = []
-    for i in range(150):
+def line_rows(seed, n, pool=30):
+    rng = np.random.default_rng(seed)
+    lines = [prose(i, int(rng.integers(1, 40))) for i in range(pool)] + ["Yes", "yes ", "one\ttwo", "one  TWO", "", "  "]
+    out = []
+    for i in range(n):
         mine = []
         for _ in range(int(rng.integers(1, 5))):
-            w = lines[int(rng.integers(0, 30))].split()
-            for _ in range(int(rng.integers(0, 4))):
+            w = lines[int(rng.integers(0, len(lines)))].split(" ")
+            for _ in range(int(rng.integers(0, 4)) if len(w) > 4 else 0):
                 w[int(rng.integers(0, len(w)))] = f"z{rng.integers(0, 50)}"
             mine.append(("  " if i % 7 == 0 else " ").join(w) + rng.choice(["", " ", "\t"]))
-        rows.append((i, "\n".join(mine)))
-    rows += [(1000, ""), (None, lines[0])] + ([(1 << 40, lines[1])] if crowd == 2 else [])
-    docs = spark.createDataFrame([*rows, (1001, None)], "doc_id long, text string").withColumn("k1", F.lit(1)).withColumn("_gone", F.lit(1)).drop("_gone")
+        out.append((i, "\n".join(mine)))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [2, 32])
+def test_line_join(spark, empty, monkeypatch, crowd):
+    monkeypatch.setattr(linededup, "CROWD", crowd)
+    rows = line_rows(4, 150) + [(1000, ""), (1001, None)] + ([(1 << 40, prose(1, 30))] if crowd == 2 else [])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k1", F.lit(1)).withColumn("_GONE", F.lit(1)).drop("_GONE")
     got = {r["doc_id"]: r["text"] for r in linededup.without_later_lines(docs).collect()}
-    assert got.pop(1001) is None
-    assert got == brute_lines(rows)
+    assert got == dict(zip([r[0] for r in rows], brute_lines(rows)))
     assert linededup.without_later_lines(empty).count() == 0
 
 
-def test_short_lines(spark, tmp_path):
-    import corpus_pipeline as cp
-    rng = np.random.default_rng(9)
-    pool = [prose(i, int(rng.integers(1, 8)), 8) for i in range(40)] + ["", "  ", "Yes", "yes ", "one\ttwo", "one  TWO"]
-    rows = [(i, "\n".join(rng.choice(pool, int(rng.integers(1, 6))))) for i in range(80)] + [(500, ""), (501, None)]
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
-    want, seen = {}, []
-    for i, t in rows:
-        kept = []
-        for line in (t or "").split("\n"):
-            s = shingles(line)
-            if not s or not any(100 * len(s & o) >= 75 * len(s | o) for o in seen):
-                kept.append(line)
-            seen += [s] if s else []
-        want[i] = None if t is None else "\n".join(kept)
-    assert {r["doc_id"]: r["text"] for r in cp.drop_later_lines(spark, docs, str(tmp_path)).collect()} == want
+def test_line_join_keeps_rows_apart(spark):
+    """Rows that share a doc_id, or have none, are judged one by one."""
+    rows = [(None if i % 5 == 0 else i // 4 - 3, t) for i, t in line_rows(8, 120)] + [(None, None), (3, None)]
+    tie = {r["text"]: r["tie"] for r in spark.createDataFrame([(t,) for _, t in rows if t is not None], "text string").select("text", F.xxhash64("text").alias("tie")).collect()}
+    rows = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, tie.get(r[1], 42)))
+    got = linededup.without_later_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("was", F.col("text"))).collect()
+    assert {(r["doc_id"], r["was"]): r["text"] for r in got} == dict(zip(rows, brute_lines(rows))) and len(got) == len(rows)
+
+
+def test_line_join_leaves_short_lines_if_told(spark):
+    docs = spark.createDataFrame([(1, "a b\na b\nw x y z v\nw x y z v")], "doc_id long, text string")
+    row, = linededup.without_later_lines(docs, least_words=5).collect()
+    assert row["text"] == "a b\na b\nw x y z v" and row["n_removed"] == 1
 
 
 # ---------------------------------------------------------------- pipeline
