@@ -54,9 +54,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat or nearly repeat an earlier line go, short ones too;
     documents stay."""
-    own = free_name(docs, "_own_id")
-    named = docs.withColumn(own, F.col("doc_id")).withColumn("doc_id", _key(-(1 << 63)))
-    out = linededup.without_later_lines(named, short=True).withColumn("doc_id", F.col(own))
+    out = linededup.without_later_lines(docs)
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
