@@ -2,13 +2,17 @@
 
 The tree is built over row *metadata* only (a few numbers a row, never the
 text). A node that has to become ``k`` shards is cut at the ``floor(k/2)/k``
-byte quantile of its widest dimension. The quantile is exact: every row has a
-coordinate of 48 bits per dimension (scaled value, then a hash of the row that
-parts ties), and some rounds of byte histograms per node, each a partial
-aggregate of at most 4096 bins a node, narrow the bin that holds it until it
-is one coordinate. All nodes of a level share their rounds, so the number of
-jobs depends on the tree's depth alone; the driver sees bins, never rows. A
-hot source or language is cut like any other run of rows, since ties are parted.
+byte quantile of its widest dimension: the one whose values in the node span
+most standard deviations of the whole table, so that dimensions of any scale
+can be compared. The quantile is exact: every row has a coordinate of 48 bits
+per dimension (scaled value, then a hash of the row that parts ties), and some
+rounds of byte histograms per node, each a partial aggregate of at most
+``BINS`` bins a node, narrow the bin that holds it until it is one coordinate.
+All nodes of a level share their rounds, so the number of jobs depends on the
+tree's depth alone. Cuts and bins are looked up by broadcast joins of one row a
+node (the number of shards bounds it), and a round sends one row a node to the
+driver. A hot source or language is cut like any other run of rows, since ties
+are parted.
 
 Results for special input: null text has size 1 and checksum 0; a null in a
 dimension sorts first; repeated rows are told apart by row number, so they
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.common import materialize, table
@@ -30,49 +34,53 @@ TIE_BITS = 22
 VALUE_BITS = 26
 
 
-def _scaled(df: DataFrame, dims: dict[str, object]) -> DataFrame:
-    """Per dimension a long: the value scaled to 26 bits, then 22 hash bits."""
-    low = df.agg(*[F.min(c).alias(f"lo_{d}") for d, c in dims.items()], *[F.max(c).alias(f"hi_{d}") for d, c in dims.items()]).first()
-    out = {}
-    for i, (d, c) in enumerate(dims.items()):
-        lo, hi = low[f"lo_{d}"], low[f"hi_{d}"]
-        span = (hi - lo) if lo is not None and hi > lo else 0
-        scaled = F.floor((c - F.lit(lo)) / F.lit(span) * F.lit(float((1 << VALUE_BITS) - 2))) + 1 if span else F.lit(1)
+class _Dimension:
+    """A dimension's range and spread over the whole table."""
+
+    def __init__(self, low, high, deviation):
+        self.low, self.span = low, (high - low) if low is not None and high > low else 0
+        self.deviation = deviation or 0
+
+    def coordinate(self, i: int, name: str) -> Column:
+        """A long: the value scaled to 26 bits, then 22 hash bits of the row."""
+        scaled = F.floor((F.col(name) - F.lit(self.low)) / F.lit(self.span) * F.lit(float((1 << VALUE_BITS) - 2))) + 1 if self.span else F.lit(1)
         tie = F.shiftrightunsigned(F.xxhash64("_row", F.lit(i)), 64 - TIE_BITS)
-        out[f"_x{i}"] = F.shiftleft(F.coalesce(scaled, F.lit(0)).cast("long"), TIE_BITS) + tie
-    return df.withColumns(out)
-
-
-def _cut(df: DataFrame, node: str, coord: str, weight: str, wants: dict[int, int]) -> dict[int, int]:
-    """For each node the coordinate up to which (it included) its rows hold
-    about ``wants[node]`` of weight: the nearer side of the row that crosses."""
-    lo = {n: 0 for n in wants}
-    width = {n: 1 << (VALUE_BITS + TIE_BITS) for n in wants}
-    before = {n: 0 for n in wants}
-    cut: dict[int, int] = {}
-    while any(w > 1 for w in width.values()):
-        step = {n: max(1, -(-w // BINS)) for n, w in width.items()}
-        at = lambda what: F.element_at(F.create_map(*[F.lit(x) for n, v in what.items() for x in (n, v)]), F.col(node))
-        inside = df.filter(F.col(node).isin(list(wants))).withColumns({"_lo": at(lo), "_w": at(width), "_s": at(step)})
-        inside = inside.filter((F.col(coord) >= F.col("_lo")) & (F.col(coord) < F.col("_lo") + F.col("_w")))
-        bins = inside.groupBy(node, F.expr(f"({coord} - _lo) div _s").alias("_b")).agg(F.sum(weight).alias("_m"))
-        found: dict[int, list] = {}
-        for n, b, m in bins.collect():  # at most BINS a node
-            found.setdefault(n, []).append((b, m))
-        for n in wants:
-            run, chosen = before[n], None
-            for b, m in sorted(found.get(n, [])):
-                if run + m >= wants[n]:
-                    chosen = (b, run, m)
-                    break
-                run += m
-            if chosen is None:
-                cut[n], width[n] = lo[n] + width[n] - 1, 1
+        return F.shiftleft(F.coalesce(scaled, F.lit(0)).cast("long"), TIE_BITS) + tie
+
+    def width(self, low: int, high: int) -> float:
+        """How many standard deviations of the table lie between two coordinates."""
+        return ((high >> TIE_BITS) - (low >> TIE_BITS)) / (1 << VALUE_BITS) * self.span / self.deviation if self.deviation else 0.0
+
+
+def _known(now: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """``rows``, at most one a node, ready to be joined by broadcast."""
+    return F.broadcast(now.sparkSession.createDataFrame(rows, schema).coalesce(1))
+
+
+def _cuts(now: DataFrame, wants: dict[int, tuple[int, int]]) -> dict[int, int]:
+    """wants: node -> (dimension, weight). For each node the coordinate up to
+    which (it included) its rows hold about that weight: the nearer side of the
+    row that crosses. A round tells one bin a node to the driver."""
+    lo, width, before, cut = dict.fromkeys(wants, 0), dict.fromkeys(wants, 1 << (VALUE_BITS + TIE_BITS)), dict.fromkeys(wants, 0), {}
+    while open_ := [n for n in wants if n not in cut]:
+        step = {n: max(1, -(-width[n] // BINS)) for n in open_}
+        state = [(n, wants[n][0] + 1, lo[n], lo[n] + width[n], step[n], wants[n][1] - before[n]) for n in open_]
+        inside = now.join(_known(now, state, "_at long, _dim int, _lo long, _hi long, _s long, _need long"), F.col("_node") == F.col("_at"))
+        inside = inside.withColumn("_c", F.element_at("_x", F.col("_dim"))).filter("_c >= _lo and _c < _hi")
+        bins = inside.groupBy("_node", F.expr("(_c - _lo) div _s").alias("_b")).agg(F.sum("_size").alias("_m"), F.first("_need").alias("_need"))
+        run = F.sum("_m").over(Window.partitionBy("_node").orderBy("_b"))  # at most BINS rows a node
+        hit = bins.withColumn("_run", run).filter("_run >= _need and _run - _m < _need").select("_node", "_b", "_m", "_run")
+        found = {n: (b, m, r) for n, b, m, r in hit.collect()}
+        for n in open_:
+            if n not in found:  # nothing weighs that much: all to the left, or nothing wanted
+                cut[n] = lo[n] + width[n] - 1 if wants[n][1] > before[n] else lo[n] - 1
                 continue
-            b, run, m = chosen
-            before[n], lo[n], width[n] = run, lo[n] + b * step[n], min(step[n], width[n] - b * step[n])
+            b, m, r = found[n]
+            need = wants[n][1] - before[n]
+            before[n] += r - m
+            lo[n], width[n] = lo[n] + b * step[n], min(step[n], width[n] - b * step[n])
             if width[n] == 1:
-                cut[n] = lo[n] if run + m - wants[n] <= wants[n] - run else lo[n] - 1
+                cut[n] = lo[n] if r - need <= need - (r - m) else lo[n] - 1
     return cut
 
 
@@ -85,32 +93,29 @@ def kd_shards(docs: DataFrame, size, dims: dict[str, object], shards: int | None
     cols = list(dims_)
     base = docs.select(F.struct(*[docs[c] for c in docs.columns if c.lower() not in ("shard", "slot")]).alias("_doc"), *[c.alias(n) for n, c in dims_.items()], size.cast("long").alias("_size"))
     base = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
-    total = base.agg(F.sum("_size")).first()[0] or 0
-    want = shards or max(1, round(total / target_bytes))
-    now = _scaled(base, {d: F.col(d) for d in cols}).withColumn("_node", F.lit(0).cast("long"))
-    k, first, rules = {0: want}, {0: 0}, []
-    while any(v > 1 for v in k.values()):
-        open_ = [n for n, v in k.items() if v > 1]
-        stats = now.filter(F.col("_node").isin(open_)).groupBy("_node").agg(
-            F.sum("_size").alias("w"), *[F.max(f"_x{i}").alias(f"h{i}") for i in range(len(cols))], *[F.min(f"_x{i}").alias(f"l{i}") for i in range(len(cols))]).collect()
-        wide = {s["_node"]: max(range(len(cols)), key=lambda i: (s[f"h{i}"] - s[f"l{i}"], -i)) for s in stats}
-        wants = {s["_node"]: math.floor(s["w"] * (k[s["_node"]] // 2) / k[s["_node"]] + 0.5) for s in stats}
-        along = F.lit(None).cast("long")
-        for i in set(wide.values()):
-            along = F.when(F.col("_node").isin([n for n, w in wide.items() if w == i]), F.col(f"_x{i}")).otherwise(along)
-        cuts = {n: (wide[n], c) for n, c in _cut(now.withColumn("_x", along), "_node", "_x", "_size", wants).items()} if wants else {}
-        kids, expr = {}, F.col("_node")
-        for n in open_:
-            left, fresh = k[n] // 2, max(max(k), max(kids, default=0)) + 1
-            kids[n], kids[fresh] = left, k[n] - left
-            first[fresh] = first[n] + left
-            if n in cuts:
-                i, c = cuts[n]
-                expr = F.when((F.col("_node") == n) & (F.col(f"_x{i}") > c), F.lit(fresh).cast("long")).otherwise(expr)
-        k |= kids
-        now = now.withColumn("_node", expr)
-    shard = F.element_at(F.create_map(*[F.lit(x) for n, s in first.items() for x in (n, s)]), F.col("_node"))
-    out = now.withColumn("shard", shard.cast("int"))
+    facts = base.agg(F.sum("_size"), *[f(c) for c in cols for f in (F.min, F.max, F.stddev_pop)]).first()
+    want = shards or max(1, round((facts[0] or 0) / target_bytes))
+    known = [_Dimension(*facts[1 + 3 * i:4 + 3 * i]) for i in range(len(cols))]
+    x = F.array(*[d.coordinate(i, c) for i, (d, c) in enumerate(zip(known, cols))])
+    now = base.select("_doc", "_row", "_size", x.alias("_x"), F.lit(0).cast("long").alias("_node"))
+    # a node is named by its first shard; what it becomes follows from how many it holds
+    nodes = {0: want}
+    while open_ := [n for n, k in nodes.items() if k > 1]:
+        asked = now.join(_known(now, [(n,) for n in open_], "_at long"), F.col("_node") == F.col("_at"))
+        ends = [f(F.col("_x")[i]) for i in range(len(cols)) for f in (F.min, F.max)]
+        wants, rows = {}, []
+        for s in asked.groupBy("_node").agg(F.sum("_size"), *ends).collect():
+            n, weight = s[0], s[1]
+            wide = max(range(len(cols)), key=lambda i: (known[i].width(s[2 + 2 * i], s[3 + 2 * i]), -i))
+            wants[n] = (wide, math.floor(weight * (nodes[n] // 2) / nodes[n] + 0.5))
+        for n, c in _cuts(now, wants).items():
+            rows.append((n, wants[n][0] + 1, c, n + nodes[n] // 2))
+        if rows:
+            found = _known(now, rows, "_at long, _dim int, _cut long, _right long")
+            right = F.element_at("_x", F.coalesce("_dim", F.lit(1))) > F.col("_cut")
+            now = now.join(found, F.col("_node") == F.col("_at"), "left").withColumn("_node", F.when(right, F.col("_right")).otherwise(F.col("_node"))).drop("_at", "_dim", "_cut", "_right")
+        nodes = {m: j for n, k in nodes.items() for m, j in ([(n, k // 2), (n + k // 2, k - k // 2)] if k > 1 else [(n, k)])}
+    out = now.withColumn("shard", F.col("_node").cast("int"))
     # slots: number rows inside small blocks, then add what the blocks before hold
     rows = base.count()
     blocks = max(1, rows // 200_000) * 16
