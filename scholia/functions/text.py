@@ -109,8 +109,10 @@ def occurrences(text: Column, word: str) -> Column:
 
 
 def word_count(text: Column, words: list[str]) -> Column:
-    """Whole-word occurrences of any of ``words``, without regard to case."""
-    return F.regexp_count(text, F.lit(rf"(?i)\b(?:{'|'.join(words)})\b")).cast("long")
+    """Whole-word occurrences of any of ``words``, without regard to case; ASCII
+    letters, digits, the underscore and all beyond ASCII are parts of words."""
+    inside = r"[\w\x{80}-\x{10FFFF}]"
+    return F.regexp_count(text, F.lit(rf"(?i)(?<!{inside})(?:{'|'.join(words)})(?!{inside})")).cast("long")
 
 
 def first_label(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
@@ -154,15 +156,44 @@ def venue_kind(venue: Column) -> Column:
     return first_label(F.lower(text_or_empty(venue)), VENUE_KINDS, "other")
 
 
-STOP_WORDS = ["the", "of", "on", "and", "for", "in", "a", "an"]
-LONG_FORMS = {"CONF": "CONFERENCE", "INT": "INTERNATIONAL", "INTL": "INTERNATIONAL", "PROC": "PROCEEDINGS", "SYMP": "SYMPOSIUM", "TRANS": "TRANSACTIONS", "J": "JOURNAL", "NATL": "NATIONAL"}
+# Venue abbreviations and what they stand for.
+VENUE_ABBREVIATIONS = {
+    "NIPS": "Neural Information Processing Systems", "NEURIPS": "Neural Information Processing Systems", "IJCAI": "International Joint Conference on Artificial Intelligence",
+    "AAAI": "Association for the Advancement of Artificial Intelligence", "SIGIR": "Special Interest Group on Information Retrieval", "SIGKDD": "Knowledge Discovery and Data Mining",
+    "KDD": "Knowledge Discovery and Data Mining", "WWW": "World Wide Web Conference", "CHI": "Computer Human Interaction", "CSCW": "Computer Supported Cooperative Work",
+    "UIST": "User Interface Software and Technology", "ICSE": "International Conference on Software Engineering", "FSE": "Foundations of Software Engineering",
+    "OOPSLA": "Object-Oriented Programming Systems Languages and Applications", "PLDI": "Programming Language Design and Implementation", "POPL": "Principles of Programming Languages",
+    "OSDI": "Operating Systems Design and Implementation", "SOSP": "Symposium on Operating Systems Principles", "NSDI": "Networked Systems Design and Implementation",
+    "VLDB": "Very Large Data Base", "SIGMOD": "Special Interest Group on Management of Data", "ICDE": "International Conference on Data Engineering",
+    "ML": "Machine Learning", "AI": "Artificial Intelligence", "CV": "Computer Vision", "NLP": "Natural Language Processing", "RL": "Reinforcement Learning", "DL": "Deep Learning",
+    "CONF": "Conference", "SYMP": "Symposium", "WORKSHOP": "Workshop", "PROC": "Proceedings", "INTL": "International", "NATL": "National", "ASSOC": "Association", "COMP": "Computer",
+    "SCI": "Science", "TECH": "Technology", "ENG": "Engineering", "MATH": "Mathematics", "STAT": "Statistics", "PHYS": "Physics"}
+# What is noise in a venue's name, and its stop words.
+VENUE_NOISE = [r"\s*\d{4}", r"\s*\'\d{2}", r"\s*\(.*\)", r"\s*-\s*\d{4}", r"\s*workshops?", r"\s*demos?", r"\s*tutorials?", r"\s*posters?", r"\s*extended\s*abstracts?", r"\s*short\s*papers?",
+               r"\s*long\s*papers?", r"\s*volume\s*\d+", r"\s*vol\.\s*\d+", r"\s*proceedings\s*of\s*the", r"\s*conference\s*papers?", r"\s*main\s*track", r"\s*findings"]
+VENUE_STOP_WORDS = ["THE", "OF", "ON", "IN", "FOR", "AND", "OR", "AT", "TO", "WITH", "BY", "PROCEEDINGS", "CONFERENCE", "JOURNAL", "TRANSACTIONS", "SYMPOSIUM", "WORKSHOP"]
 
 
 def venue_key(venue: Column) -> Column:
-    """Upper case without years and ordinals, short forms written out, stop
-    words dropped, the first word kept first and the rest sorted."""
-    bare = F.regexp_replace(F.upper(text_or_empty(venue)), r"\b(19|20)\d{2}\b|\b\d+(ST|ND|RD|TH)\b|[^A-Z0-9\s]", " ")
-    words = F.filter(F.split(collapsed(bare), " "), lambda w: (w != "") & ~F.lower(w).isin(*STOP_WORDS))
-    names = F.create_map(*[F.lit(x) for pair in LONG_FORMS.items() for x in pair])
-    words = F.transform(words, lambda w: F.coalesce(F.element_at(names, w), w))
+    """Upper case without noise, abbreviations written out, stop words dropped;
+    the first word stays first and the rest are sorted."""
+    bare = without(F.upper(stripped(text_or_empty(venue))), [f"(?i){p}" for p in VENUE_NOISE])
+    words = F.transform(F.split(collapsed(bare), " "), lambda w: F.regexp_replace(w, r"(?U)[^\w]", ""))
+    known = F.create_map(*[x for short, long in VENUE_ABBREVIATIONS.items() for x in (F.lit(short), F.array(*map(F.lit, long.upper().split())))])
+    words = F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), F.array(w))))
+    words = F.filter(words, lambda w: (w != "") & ~w.isin(*VENUE_STOP_WORDS))
     return F.array_join(F.concat(F.slice(words, 1, 1), F.array_sort(F.slice(words, 2, 10_000))), " ")
+
+
+def abbreviation_match(one: Column, two: Column) -> Column:
+    """Whether, by their keys, one venue holds an abbreviation that the other
+    writes out."""
+    known = F.array(*[F.struct(F.lit(short).alias("short"), F.lit(long.upper()).alias("long")) for short, long in VENUE_ABBREVIATIONS.items()])
+    keys = F.array(F.struct(venue_key(one).alias("a"), venue_key(two).alias("b")))
+    return F.exists(keys, lambda k: F.exists(known, lambda p: k["a"].contains(p["short"]) & k["b"].contains(p["long"]) | k["b"].contains(p["short"]) & k["a"].contains(p["long"])))
+
+
+def loose_title(title: Column) -> Column:
+    """For archives: no punctuation, no leading article, none of some last words."""
+    plain = F.regexp_replace(collapsed(F.lower(text_or_empty(title))), r"(?U)[^\w\s]", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"^(the|a|an)\s+", ""), r"\s+(paper|study|analysis|approach|method)$", "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +12,6 @@ from scholia.functions import fuzzy
 from scholia.functions.scores import match_confidence
 from scholia.functions.text import title_key
 from scholia.operators.graph import connected
-from scholia.operators.joins import blocked_pairs
 from scholia.operators.windows import first_of
 
 
@@ -40,15 +40,94 @@ def first_by_any(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return rows.join(comp.select(F.col("node").alias(ordinal)), ordinal, "left_anti").select(rows.columns).unionByName(kept.select(rows.columns))
 
 
-def fuzzy_pairs(papers: DataFrame, ident: str, title: str, authors: str, block, title_least: float = 0.95, author_least: float = 0.85, venue_year=None) -> DataFrame:
-    """a < b of one block whose titles, and then authors, are alike, with the
-    confidence of the match. Blocks replace a cap on the number of records."""
-    p = papers.withColumn("_t", title_key(F.col(title)))
-    pairs = blocked_pairs(p, ident, block)
-    pairs = pairs.withColumn("title_similarity", fuzzy.similarity("title")("_t_a", "_t_b")).filter(F.col("title_similarity") >= title_least)
-    pairs = pairs.withColumn("author_similarity", fuzzy.similarity("authors")(f"{authors}_a", f"{authors}_b")).filter(F.col("author_similarity") >= author_least)
-    same = F.lit(False) if venue_year is None else reduce(lambda a, b: a & b, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in venue_year])
-    return pairs.select(F.col(f"{ident}_a").alias("a"), F.col(f"{ident}_b").alias("b"), "title_similarity", "author_similarity", match_confidence(F.col("title_similarity"), F.col("author_similarity"), same).alias("confidence"))
+def _bigrams(names: DataFrame, name: str, least: float) -> DataFrame:
+    """(name, n, token) of the prefix of each name: its bigrams (the k-th of a
+    kind is a token of its own), rarest first, as many as any other name of an
+    indel ratio of ``least`` must share one of. An edit breaks two bigrams at
+    most, and the other name's length is bounded by the ratio."""
+    n = F.length(name)
+    rows = names.select(name, n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(F.col(name), i, F.lit(2)))).alias("g"))
+    rows = rows.groupBy(name, "n", "g").agg(F.count("*").alias("c")).select(name, "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda k: F.concat("g", F.lit("#"), k))).alias("token"))
+    rows = rows.withColumn("f", F.count("*").over(Window.partitionBy("token")))
+    keep = (F.col("n") - 1) - F.greatest(F.lit(1), F.floor(F.col("n") - 1 - 4 * (1 - least) / least * F.col("n"))) + 1
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy(name).orderBy("f", "token"))).filter((F.col("r") <= keep) & (F.col("f") > 1)).select(name, "n", "token")
+
+
+def similar_titles(rows: DataFrame, title: str, least: float = 0.95) -> DataFrame:
+    """(a, b, similarity, n_a, n_b): all pairs a < b of distinct titles whose
+    blended similarity is ``least`` or more, and how many rows have each.
+
+    The blend is half token-sort ratio, so that ratio must be 2 least - 1 or
+    more (``least`` from .93 on): candidates share a rare bigram of their sorted
+    words, which misses nothing. Equal titles are one title."""
+    spread = rows.filter(F.col(title).isNotNull()).groupBy(F.col(title).alias("_t")).agg(F.count("*").alias("_n"))
+    names = spread.withColumn("_s", F.array_join(F.array_sort(F.filter(F.split("_t", r"\s+"), lambda w: w != "")), " "))
+    ratio = 2 * least - 1
+    grams = _bigrams(names.select("_s").distinct(), "_s", ratio)
+    x, y = grams.select(F.col("_s").alias("x"), F.col("n").alias("nx"), "token"), grams.select(F.col("_s").alias("y"), F.col("n").alias("ny"), "token")
+    met = x.join(y, "token").filter((F.col("x") < F.col("y")) & (2 * F.least("nx", "ny") >= ratio * (F.col("nx") + F.col("ny")))).select("x", "y").distinct()
+    met = met.unionByName(names.select(F.col("_s").alias("x"), F.col("_s").alias("y")).distinct())
+    a, b = (names.select(F.col("_t").alias(k), F.col("_n").alias(f"n_{k}"), F.col("_s").alias(s)) for k, s in (("a", "x"), ("b", "y")))
+    one = met.unionByName(met.filter("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y")))
+    pairs = one.join(a, "x").join(b, "y").filter("a < b")
+    return pairs.withColumn("similarity", fuzzy.similarity("title")("a", "b")).filter(F.col("similarity") >= least).select("a", "b", "similarity", "n_a", "n_b")
+
+
+def fuzzy_pairs(papers: DataFrame, ident: str, title: str, authors: str, title_least: float = 0.95, author_least: float = 0.85, venue_year=None) -> DataFrame:
+    """Pairs of rows whose titles, and then authors, are alike, with the
+    confidence of the match. Rows of one title and one author list are linked
+    to the first of them, not to each other."""
+    p = papers.withColumn("_t", title_key(F.col(title))).withColumn("_k", F.xxhash64("_t", authors, *(venue_year or [])))
+    p = p.withColumn("_first", F.min(ident).over(Window.partitionBy("_k")))
+    copies = p.filter(F.col(ident) > F.col("_first")).select(F.col("_first").alias("a"), F.col(ident).alias("b"), F.lit(1.0).alias("title_similarity"), F.lit(1.0).alias("author_similarity"), match_confidence(F.lit(1.0), F.lit(1.0), F.lit(venue_year is not None)).alias("confidence"))
+    firsts = p.filter(F.col(ident) == F.col("_first")).drop("_first", "_k")
+    titles = similar_titles(firsts, "_t", title_least).select("a", "b", "similarity")
+    same = firsts.select(F.col("_t").alias("a"), F.col("_t").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    x, y = (firsts.select([F.col(c).alias(f"{c}_{s}") for c in firsts.columns]) for s in "ab")
+    met = titles.unionByName(same).join(x, F.col("a") == F.col("_t_a")).join(y, F.col("b") == F.col("_t_b")).filter((F.col("a") != F.col("b")) | (F.col(f"{ident}_a") < F.col(f"{ident}_b")))
+    met = met.withColumn("author_similarity", fuzzy.similarity("authors")(f"{authors}_a", f"{authors}_b")).filter(F.col("author_similarity") >= author_least)
+    equal = F.lit(False) if venue_year is None else reduce(lambda a, b: a & b, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in venue_year])
+    ends = [f(f"{ident}_a", f"{ident}_b") for f in (F.least, F.greatest)]
+    return met.select(ends[0].alias("a"), ends[1].alias("b"), F.col("similarity").alias("title_similarity"), "author_similarity", match_confidence(F.col("similarity"), F.col("author_similarity"), equal).alias("confidence")).unionByName(copies)
+
+
+#: Weights of titles, authors, years and venues, and what years that differ are worth.
+BLEND, OTHER_YEAR = (0.6, 0.2, 0.1, 0.1), 0.5
+
+
+def blended_pairs(papers: DataFrame, ident: str, title: str, authors: str, year: str, venue: str, least: float = 0.85) -> DataFrame:
+    """(a, b, score): pairs a < b whose blend of title ratio, author Jaccard,
+    year and venue ratio is ``least`` or more. Above .8 that takes a common
+    author, so pairs meet under their authors' names and none is missed."""
+    p = papers.select(F.col(ident).alias("id"), F.lower(title).alias("t"), F.array_distinct(F.transform(authors, lambda x: F.lower(x))).alias("au"), F.col(year).alias("y"), F.lower(venue).alias("v"))
+    x, y = (p.select([F.col(c).alias(f"{c}_{s}") for c in p.columns]) for s in "ab")
+    met = x.withColumn("n", F.explode("au_a")).join(y.withColumn("n", F.explode("au_b")), "n").filter("id_a < id_b").drop("n").dropDuplicates(["id_a", "id_b"])
+    jaccard = F.size(F.array_intersect("au_a", "au_b")) / F.size(F.array_union("au_a", "au_b"))
+    rest = BLEND[1] * jaccard + BLEND[2] * F.when(F.col("y_a").eqNullSafe(F.col("y_b")), 1.0).otherwise(OTHER_YEAR)
+    met = met.withColumn("rest", rest).filter(F.col("rest") >= least - BLEND[0] - BLEND[3])
+    like = fuzzy.similarity("difflib")
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), (BLEND[0] * like("t_a", "t_b") + F.col("rest") + BLEND[3] * like("v_a", "v_b")).alias("score")).filter(F.col("score") >= least)
+
+
+def led_groups(rows: DataFrame, ident: str, pairs: DataFrame) -> DataFrame:
+    """``rows`` with ``leader``: in order of ``ident``, a row that no leader has
+    taken leads all later free rows it is paired with. Folded per connected
+    component of the pairs, links only; other rows lead themselves."""
+    comp = connected(pairs)
+    links = pairs.select("a", "b").join(comp.withColumnRenamed("node", "a"), "a")
+
+    def fold(pdf):
+        later = pdf.groupby("a").b.apply(list).to_dict()
+        leader = {}
+        for a in sorted(set(pdf.a) | set(pdf.b)):
+            if a not in leader:
+                leader[a] = a
+                for b in later.get(a, ()):
+                    leader.setdefault(b, a)
+        return pd.DataFrame({"node": list(leader), "leader": list(leader.values())})
+
+    found = links.groupBy("root").applyInPandas(fold, "node long, leader long")
+    return rows.join(found.withColumnRenamed("node", ident), ident, "left").withColumn("leader", F.coalesce("leader", ident))
 
 
 def best_of_groups(rows: DataFrame, ident: str, pairs: DataFrame, order: list) -> DataFrame:

@@ -106,3 +106,37 @@ def authorship(types: Column) -> Column:
     n = F.size(types)
     share = lambda t: F.try_divide(F.size(F.filter(types, lambda x: x == t)), n)
     return F.when(n == 0, "needs_review").when(share("unknown") >= 0.5, "needs_review").when(share("industry") > 0, F.when(share("industry") >= 0.25, "industry").otherwise("collaborative")).when(share("academic") >= 0.6, "academic").otherwise("mixed")
+
+
+# Affiliations whose type is known, and the weights of a validation.
+KNOWN_AFFILIATIONS = [("MIT Computer Science", "academic"), ("Stanford University AI Lab", "academic"), ("Carnegie Mellon University", "academic"), ("University of Toronto Vector Institute", "academic"), ("Mila - Quebec AI Institute", "academic"),
+                      ("Google Research", "industry"), ("OpenAI", "industry"), ("Microsoft Research", "industry"), ("Meta AI Research", "industry"), ("DeepMind", "industry")]
+VALIDATION_WEIGHTS = (0.4, 0.3, 0.3)
+
+
+def edge_cases(papers: DataFrame, ident: str, academic: Column, industry: Column, unknown: Column, confidence: Column) -> DataFrame:
+    """(ident, reason, value) for papers that need a look: confidence under .5,
+    more than half of the authors unknown, an industry share of .2 to .3."""
+    share = F.try_divide(industry, academic + industry)
+    missing = F.try_divide(unknown, academic + industry + unknown)
+    found = F.array(F.when(confidence < 0.5, F.struct(F.lit("low_confidence").alias("reason"), confidence.cast("double").alias("value"))),
+                    F.when(missing > 0.5, F.struct(F.lit("high_unknown_percentage").alias("reason"), missing.cast("double").alias("value"))),
+                    F.when((share >= 0.2) & (share <= 0.3), F.struct(F.lit("borderline_threshold").alias("reason"), share.cast("double").alias("value"))))
+    return papers.select(ident, F.explode(F.array_compact(found)).alias("_x")).select(ident, "_x.*")
+
+
+def classification_validation(papers: DataFrame, category: str, confidence: Column, classify) -> DataFrame:
+    """One row: papers, mean, least and largest confidence, how many are low
+    (under .5) or high (over .8), the share for review, the accuracy of
+    ``classify`` (affiliation -> type) on affiliations whose type is known, and
+    the weighted score."""
+    known = papers.sparkSession.createDataFrame(KNOWN_AFFILIATIONS, "affiliation string, type string")
+    right = known.select((classify(F.col("affiliation")) == F.col("type")).alias("ok"), "type")
+    right = right.groupBy().agg(*[F.avg(F.when(F.col("type") == t, F.col("ok").cast("double"))).alias(f"{t}_accuracy") for t in ("academic", "industry")])
+    c = confidence
+    facts = papers.agg(F.count("*").alias("papers"), F.coalesce(F.avg(c), F.lit(0.0)).alias("average_confidence"), F.min(c).alias("min_confidence"), F.max(c).alias("max_confidence"), F.count_if(c < 0.5).alias("low_confidence"),
+                       F.count_if(c > 0.8).alias("high_confidence"), F.coalesce(F.avg((F.col(category) == "needs_review").cast("double")), F.lit(1.0)).alias("review_share"))
+    a, b, d = VALIDATION_WEIGHTS
+    out = facts.crossJoin(F.broadcast(right))  # one row each
+    score = a * (F.col("academic_accuracy") + F.col("industry_accuracy")) / 2 + b * F.col("average_confidence") + d * F.greatest(F.lit(0.0), 1 - F.col("review_share"))
+    return out.withColumn("score", F.least(F.lit(1.0), score))

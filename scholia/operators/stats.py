@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,3 +140,86 @@ def adapt_thresholds(rows: DataFrame, venue: str, order: str, target: str, got:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", threshold double"
     return rows.groupBy(venue).applyInPandas(fold, schema)
+
+
+# Known extremes, usual values, and title words that explain an outlier.
+KNOWN_EXTREMES = {"parameters": {"gpt3": 175e9, "palm": 540e9, "gpt4": 1.76e12}, "gpu_hours": {"gpt3": 3.64e6, "palm": 6e6}}
+USUAL = {"gpu_hours": 1000, "parameters": 1e8, "training_time": 24, "batch_size": 32, "gpu_count": 8, "epochs": 100, "gpu_memory": 32}
+NOVEL, LARGE, SMALL = ["novel", "new", "introducing", "proposing"], ["large", "giant", "massive", "billion"], ["efficient", "lightweight", "tiny", "small"]
+EARLY = {"parameters": (2018, 1e10, "Unusually large for "), "gpu_hours": (2015, 1e5, "Very high GPU hours for ")}
+
+
+def outlier_context(field: str, value: Column, title: Column, year: Column, citations: Column) -> Column:
+    """struct<reasons, severity> of an outlying value. Each test that holds adds
+    its reason; a test moves the severity only from those named with it."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    any_of = lambda words: F.greatest(*[low.contains(w) for w in words])
+    extreme = F.coalesce(*[F.when(F.abs(value - k) / k < 0.3, F.lit(f"Similar to known extreme: {n}")) for n, k in KNOWN_EXTREMES.get(field, {}).items()], F.lit(None).cast("string"))
+    before, beyond, words = EARLY.get(field, (0, 0.0, ""))
+    tests = [
+        (extreme.isNotNull(), extreme, "expected", None),
+        (extreme.isNull() & any_of(NOVEL), F.lit("Paper describes novel architecture"), "possible", ["unknown"]),
+        (extreme.isNull() & any_of(LARGE), F.lit("Paper explicitly mentions large scale"), "expected", ["unknown", "possible"]),
+        (any_of(SMALL) & (value > 2 * USUAL.get(field, 1.0)), F.lit("High value despite efficiency claims"), "suspicious", None),
+        ((year < before) & (value > beyond), F.concat(F.lit(words), year.cast("string")), "suspicious", None),
+        (citations > 1000, F.lit("Highly cited paper - might be breakthrough"), "possible", ["unknown", "possible"]),
+    ]
+    severity = F.lit("unknown")
+    for test, _, to, only in tests:
+        moves = F.coalesce(test, F.lit(False)) & (severity.isin(*only) if only else F.lit(True))
+        severity = F.when(moves, to).otherwise(severity)
+    reasons = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), reason) for test, reason, _, _ in tests]))
+    return F.struct(F.when(F.size(reasons) == 0, F.array(F.lit("No specific context identified"))).otherwise(reasons).alias("reasons"), severity.alias("severity"))
+
+
+def corroborated(field: str, value: Column, of: dict[str, Column]) -> Column:
+    """Whether other extracted values support an extreme one; absent ones are 0."""
+    v = lambda n, d=0.0: F.coalesce(of[n].cast("double"), F.lit(d)) if n in of else F.lit(d)
+    against = {"parameters": (value > 1e10) & (v("gpu_hours") < 1000), "gpu_hours": (value > 1e5) & (v("parameters") < 1e8) & (v("training_time") < 100), "batch_size": (value > 1000) & (v("gpu_memory") < 16)}
+    return ~against.get(field, F.lit(False))
+
+
+def consistent(field: str, value: Column, of: dict[str, Column]) -> Column:
+    """Whether a value fits what other fields let expect: hours by accelerators
+    and days, parameters by the size of the model (.25e9 a GB)."""
+    v = lambda n, d=0.0: F.coalesce(of[n].cast("double"), F.lit(d)) if n in of else F.lit(d)
+    if field == "gpu_hours":
+        expected, most = v("gpu_count", 1.0) * v("training_time"), 0.5
+    elif field == "parameters":
+        expected, most = v("model_size_gb") * 0.25e9, 1.0
+    else:
+        return F.lit(True)
+    return ~F.coalesce((expected > 0) & (F.abs(value - expected) / F.nullif(expected, F.lit(0.0)) > most), F.lit(False))
+
+
+def keep_outlier(field: str, value: Column, severity: Column, of: dict[str, Column]) -> Column:
+    """Uncorroborated and suspicious values go, expected ones stay, the rest
+    stay if they are consistent."""
+    return corroborated(field, value, of) & F.when(severity == "expected", True).when(severity == "suspicious", False).otherwise(consistent(field, value, of))
+
+
+def sample_by_strata(rows: DataFrame, stratum: str, ident: str, size: int, how: str = "equal", seed: int = 42) -> DataFrame:
+    """``size`` rows, chosen by a hash of (ident, seed). how: "equal" gives each
+    stratum the same quota and the first ones, in order, the remainder;
+    "proportional" gives each its share rounded down and fills up from all other
+    rows; "random" knows no strata. Tables of at most ``size`` rows stay whole."""
+    key = F.xxhash64(ident, F.lit(seed))
+    if how == "random":
+        return rows.orderBy(key, ident).limit(size)
+    if how == "equal":
+        rows = rows.filter(F.col(stratum).isNotNull())
+    rows = rows.withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit("unknown")) if how == "proportional" else F.col(stratum))
+    counts = rows.groupBy("_s").agg(F.count("*").alias("_n"))  # one row a stratum
+    total, strata = counts.agg(F.sum("_n"), F.count("*")).first()
+    if not total or total <= size:
+        return rows.drop("_s")
+    if how == "equal":
+        quota = F.lit(size // strata) + F.when(F.row_number().over(Window.orderBy("_s")) <= size % strata, 1).otherwise(0)
+    else:
+        quota = F.floor(F.col("_n") * size / F.lit(total))
+    ranked = rows.join(counts.select("_s", quota.alias("_q")), "_s").withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(key, ident)))
+    chosen = ranked.filter("_r <= _q").select(rows.columns)
+    if how == "proportional":
+        rest = ranked.filter("_r > _q").select(rows.columns).orderBy(key, ident).limit(size - chosen.count())
+        chosen = chosen.unionByName(rest)
+    return chosen.drop("_s")

@@ -106,11 +106,14 @@ def quality_thresholds(spark, d):
     return x.agg(F.count_if("passed").alias("passed"), F.count_if(F.array_contains("reasons", "citations")).alias("low_citations"), F.count_if(F.array_contains("reasons", "balance")).alias("low_balance"))
 
 
-@query("inverted_abstracts", "select doc_id, array_to_string(regexp_extract_all(substr(text, 1, 60), '[^ ]+'), ' ') as text from documents where not regexp_matches(substr(text, 1, 60), '^ |  ')")
+@query("inverted_abstracts", "select doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '[^ ]+'), ' ') as text from documents")
 def inverted_abstracts(spark, d):
-    x = table(spark, d, "documents").filter(~F.substring("text", 1, 60).rlike("^ |  ")).select("doc_id", F.filter(F.split(F.substring("text", 1, 60), " "), lambda w: w != "").alias("w"))
-    index = F.map_from_entries(F.transform(F.array_distinct("w"), lambda w: F.struct(w, F.filter(F.transform("w", lambda v, i: F.when(v == w, i)), lambda i: i.isNotNull()))))
-    return x.select("doc_id", tx.inverted_text(index).alias("text"))
+    """Each whole text to its inverted index (word, places), and back."""
+    x = table(spark, d, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "").alias("w"))
+    places = x.select("doc_id", F.posexplode("w").alias("i", "w")).groupBy("doc_id", "w").agg(F.collect_list("i").alias("at"))
+    index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
+    out = x.select("doc_id").join(index, "doc_id", "left")
+    return out.select("doc_id", F.coalesce(tx.inverted_text(F.col("index")), F.lit("")).alias("text"))
 
 
 @query("cost_estimates", "select l_orderkey, l_linenumber, round(round_even(l_extendedprice, 0) / 3.06, 6) as gpu_hours from lineitem")

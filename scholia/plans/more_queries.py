@@ -129,19 +129,29 @@ def first_by_any_key(spark, d):
     return dedup.first_by_any(x, ["hash", "words"], "doc_id").select("doc_id")
 
 
+def _parts(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title"), "p_retailprice", F.array(F.concat_ws(" ", "p_brand", "p_size")).alias("authors"), (F.col("p_partkey") % 3).alias("year"), "p_type")
+
+
 @query("fuzzy_duplicates")
 def fuzzy_duplicates(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", F.array("p_brand").alias("authors"), "p_brand")
-    return rounded(dedup.fuzzy_pairs(p, "p_partkey", "p_name", "authors", F.concat_ws("|", "p_brand", F.substring("p_name", 1, 3)), 0.9))
+    return rounded(dedup.fuzzy_pairs(_parts(spark, d), "p_partkey", "title", "authors"))
 
 
 @query("fuzzy_best_versions")
 def fuzzy_best_versions(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice", F.array("p_brand").alias("authors"), "p_brand")
-    pairs = dedup.fuzzy_pairs(p, "p_partkey", "p_name", "authors", F.concat_ws("|", "p_brand", F.substring("p_name", 1, 3)), 0.9)
+    p = _parts(spark, d)
+    pairs = dedup.fuzzy_pairs(p, "p_partkey", "title", "authors")
     return dedup.statistics(p, dedup.best_of_groups(p, "p_partkey", pairs, [F.desc("p_retailprice")]))
 
 
+@query("blended_duplicates")
+def blended_duplicates(spark, d):
+    p = _parts(spark, d)
+    led = dedup.led_groups(p.drop("authors"), "p_partkey", dedup.blended_pairs(p, "p_partkey", "title", "authors", "year", "p_type"))
+    return led.groupBy("leader").agg(F.count("*").alias("n"), F.max_by("p_partkey", F.struct("p_retailprice", -F.col("p_partkey"))).alias("kept"))
+
+
 # ---------------------------------------------------------------- reports
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import extract, fuzzy, scores
 from scholia.functions import text as tx
-from scholia.operators import joins
+from scholia.operators import dedup, joins
 from scholia.operators.graph import connected
 from scholia.plans.base import papers, query, rounded, table
 from scholia.streaming import alerts
@@ -64,10 +64,9 @@ def keyword_counts(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", *[tx.occurrences(low, w).alias(f"n_{w}") for w in WORDS])
 
 
-@query("word_counts", "select doc_id, len(regexp_extract_all(text, '(?i)\\b(?:the|und|que)\\b'))::bigint as n from documents where text is not null and regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("word_counts", r"select doc_id, len(list_filter(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+'), lambda w: w in ('the', 'und', 'que')))::bigint as n from documents where text is not null")
 def word_counts(spark, d):
-    rows = table(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return rows.select("doc_id", tx.word_count(F.col("text"), ["the", "und", "que"]).alias("n"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", tx.word_count(F.col("text"), ["the", "und", "que"]).alias("n"))
 
 
 KINDS = {"en": ["the ", " and "], "de": [" der ", " und ", " die "], "es": [" que ", " los "], "fr": [" les ", " et ", " des "]}
@@ -146,22 +145,69 @@ def contained_passages(spark, d):
     return table(spark, d, "documents").select("text").join(b, F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-@query("venue_keys")
+#: Ways to write a venue; {} is a name.
+VENUES = ["Proc. of the 12th Intl. Conf. on {}", "{} 2023", "{} Workshop '24 (poster)", "NIPS {} - 2021", "Journal of {}, vol. 7", "{} Symp. and Tutorials", "ML for {}: main track", "Proceedings of the {} findings"]
+_VENUE_SQL = "select p_partkey, replace([" + ", ".join("'" + v.replace("'", "''") + "'" for v in VENUES) + f"][1 + p_partkey % {len(VENUES)}], '{{}}', p_name) as v from part"
+_BARE = "upper(trim(v))"
+for _p in tx.VENUE_NOISE:
+    _BARE = f"regexp_replace({_BARE}, '{_p.replace(chr(92) + chr(39), chr(39) * 2)}', '', 'gi')"
+_EXPAND = "map {" + ", ".join(f"'{k}': '{v.upper()}'" for k, v in tx.VENUE_ABBREVIATIONS.items()) + "}"
+_KEYS = f"""with v as ({_VENUE_SQL}), w as (select p_partkey, v, unnest(string_split({_BARE}, ' ')) as w, generate_subscripts(string_split({_BARE}, ' '), 1) as i from v),
+ c as (select p_partkey, i, regexp_replace(w, '[^A-Za-z0-9_]', '', 'g') as w from w), e as (select p_partkey, i, coalesce({_EXPAND}[w], w) as w from c),
+ x as (select p_partkey, i, unnest(string_split(w, ' ')) as w, generate_subscripts(string_split(w, ' '), 1) as j from e),
+ k as (select p_partkey, w, row_number() over (partition by p_partkey order by i, j) as r from x where w <> '' and w not in ({', '.join(f"'{w}'" for w in tx.VENUE_STOP_WORDS)}))
+ select p_partkey, coalesce(string_agg(w, ' ' order by r > 1, case when r > 1 then w end), '') as key from part left join k using (p_partkey) group by 1"""
+
+
+def _venues(spark, d):
+    shape = F.get(F.array(*map(F.lit, VENUES)), (F.col("p_partkey") % len(VENUES)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", "p_name", "p_type", F.replace(shape, F.lit("{}"), F.col("p_name")).alias("venue"))
+
+
+@query("venue_keys", _KEYS)
 def venue_keys(spark, d):
-    return table(spark, d, "part").select("p_partkey", tx.venue_key(F.concat(F.lit("Proc. of the 12th Int. Conf. on "), F.col("p_name"))).alias("key"), tx.venue_kind(F.col("p_type")).alias("kind"))
+    return _venues(spark, d).select("p_partkey", tx.venue_key(F.col("venue")).alias("key"))
+
+
+@query("venue_kinds", "select p_partkey, case p_partkey % 5 when 0 then 'workshop' when 1 then 'journal' when 2 then 'conference' when 3 then 'preprint' else 'other' end as kind from part")
+def venue_kinds(spark, d):
+    shape = F.get(F.array(*map(F.lit, ["Journal Workshop of ", "IEEE Transactions on ", "Symposium for ", "bioRxiv ", "Book of "])), (F.col("p_partkey") % 5).cast("int"))
+    return table(spark, d, "part").select("p_partkey", tx.venue_kind(F.concat(shape, F.lit("things"))).alias("kind"))
+
+
+@query("abbreviation_matches", "select p_partkey, p_partkey % 7 = 5 as written_out from part")
+def abbreviation_matches(spark, d):
+    """Keys sort their words and drop stop words, so only expansions that
+    survive that are found."""
+    one, two = (F.get(F.array(*map(F.lit, x)), (F.col("p_partkey") % 7).cast("int")) for x in (["KD", "x", "y", "WWWISE machine LEARNING", "z", "SAID intelligence ARTIFICIAL", "q"], ["a", "KDDX", "b", "ANY HTML machine learning", "c", "FAIR artificial intelligence", "d"]))
+    return table(spark, d, "part").select("p_partkey", tx.abbreviation_match(one, two).alias("written_out"))
+
+
+@query("loose_titles", r"select p_partkey, regexp_replace(regexp_replace(regexp_replace(trim(lower(['The  ', 'An ', '', 'a: '][1 + p_partkey % 4] || p_name || [' (study)', ' Method', '!', ' analysis paper'][1 + p_partkey % 4])), '[^a-z0-9_ ]', '', 'g'), '^(the|a|an) +', ''), ' +(paper|study|analysis|approach|method)$', '') as key from part")
+def loose_titles(spark, d):
+    pick = lambda *words: F.get(F.array(*map(F.lit, words)), (F.col("p_partkey") % 4).cast("int"))
+    title = F.concat(pick("The  ", "An ", "", "a: "), F.col("p_name"), pick(" (study)", " Method", "!", " analysis paper"))
+    return table(spark, d, "part").select("p_partkey", tx.loose_title(title).alias("key"))
+
+
+def _names(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("title"))
 
 
 @query("fuzzy_pairs")
 def fuzzy_pairs(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    pairs = joins.blocked_pairs(p, "p_partkey", F.concat_ws("|", "p_brand", F.substring("p_name", 1, 4)))
-    return rounded(pairs.select("p_partkey_a", "p_partkey_b", fuzzy.similarity("title")("p_name_a", "p_name_b").alias("similarity")).filter("similarity >= 0.9"))
+    """Pairs of distinct titles, with how many parts have each."""
+    return rounded(dedup.similar_titles(_names(spark, d), "title", 0.95))
 
 
 @query("fuzzy_groups")
 def fuzzy_groups(spark, d):
-    pairs = fuzzy_pairs(spark, d).select(F.col("p_partkey_a").alias("a"), F.col("p_partkey_b").alias("b"), "similarity")
-    return connected(pairs).groupBy("root").agg(F.count("*").alias("n"))
+    """Groups of titles under the least title, with their parts."""
+    names = _names(spark, d)
+    pairs = dedup.similar_titles(names, "title", 0.95)
+    known = connected(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+    out = names.withColumn("h", F.xxhash64("title")).join(known.withColumnRenamed("node", "h"), "h", "left")
+    return out.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("title").alias("title"), F.count("*").alias("n")).select("title", "n")
 
 
 @query("best_venue_match")

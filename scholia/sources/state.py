@@ -3,6 +3,7 @@ system that Spark reaches, and a seeded generator of test papers."""
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable
 
@@ -69,13 +70,13 @@ def blob_errors(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return x.select("path", F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") != F.col("want"), "damaged").alias("error")).filter("error is not null")
 
 
-def notify(alerts: DataFrame, channels: dict[str, Callable[[list[str]], None]], checkpoint: str, limit: int = 1000):
+def notify(alerts: DataFrame, channels: dict[str, Callable[[list[str]], None]], checkpoint: str, chunk: int = 1000):
     """A stream's alerts to channels by severity, in micro-batches; a channel
-    gets JSON lines, at most ``limit`` a batch."""
+    gets all of them as JSON lines, at most ``chunk`` a call."""
     def send(batch: DataFrame, _: int) -> None:
         for severity, channel in channels.items():
-            lines = [r[0] for r in batch.filter(F.col("severity") == severity).select(F.to_json(F.struct("*"))).limit(limit).collect()]
-            if lines:
+            rows = batch.filter(F.col("severity") == severity).select(F.to_json(F.struct("*"))).toLocalIterator()
+            while lines := [r[0] for r in itertools.islice(rows, chunk)]:
                 channel(lines)
 
     return alerts.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

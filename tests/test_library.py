@@ -1,14 +1,17 @@
 """Functions, sources, joins and streams on small, hand-made rows."""
 
+import collections
 import datetime as dt
+import difflib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions import extract, fuzzy, scores
 from scholia.functions import text as tx
-from scholia.operators import aggregates, filters, joins, stats, windows
+from scholia.operators import aggregates, dedup, filters, joins, stages, stats, windows
 from scholia.operators.graph import connected
 from scholia.schema import PAPER_DDL, best_abstract, best_pdf_url, best_urls, latest_citations, promote_identifiers
 from scholia.sources import offline, papers
@@ -233,3 +236,57 @@ def test_first_by_any_key_reads_whole_texts(spark, tmp_path):
             seen |= keys
             want.append(i)
     assert sorted(r["doc_id"] for r in QUERIES["first_by_any_key"](spark, str(tmp_path)).collect()) == want == [0, 1, 4, 5, 6, 9, 10]
+
+
+def test_similar_titles_miss_nothing(spark):
+    """Against all pairs: typos, swapped words, copies."""
+    rng = np.random.default_rng(3)
+    words = ["deep", "learning", "for", "graphs", "vision", "transformers", "scaling", "laws", "of", "robust", "models", "survey"]
+    titles = []
+    for _ in range(40):
+        base = list(rng.choice(words, int(rng.integers(3, 9))))
+        titles.append(" ".join(base))
+        for _ in range(3):
+            t = list(" ".join(rng.permutation(base) if rng.random() < 0.3 else base))
+            for _ in range(int(rng.integers(0, 3))):
+                t[int(rng.integers(0, len(t)))] = str(rng.choice(list("xyz")))
+            titles.append("".join(t))
+    titles += ["a", "b", "ab", "abc", titles[0], ""]
+    frame = spark.createDataFrame([(t,) for t in [*titles, None]], "t string")
+    got = {(r["a"], r["b"]): (r["n_a"], r["n_b"]) for r in dedup.similar_titles(frame, "t", 0.95).collect()}
+    names, n = sorted(set(titles)), collections.Counter(titles)
+    want = {(a, b): (n[a], n[b]) for i, a in enumerate(names) for b in names[i + 1:] if fuzzy.blend(a, b) >= 0.95}
+    assert got == want and len(want) > 20
+
+
+def test_blended_duplicates(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"paper about topic {i % 7} {'x' * int(rng.integers(0, 3))}", [str(a) for a in rng.choice(["Ann", "ann", "Bob", "Cy", "Di"], int(rng.integers(0, 3)))], int(2000 + rng.integers(0, 2)), str(rng.choice(["ICML", "ICLR"]))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id long, t string, au array<string>, y int, v string")
+    like = lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    want = {}
+    for i, one in enumerate(rows):
+        for two in rows[i + 1:]:
+            a, b = {x.lower() for x in one[2]}, {x.lower() for x in two[2]}
+            score = 0.6 * like(one[1], two[1]) + (0.2 * len(a & b) / len(a | b) if a and b else 0) + (0.1 if one[3] == two[3] else 0.05) + 0.1 * like(one[4], two[4])
+            if score >= 0.85:
+                want[one[0], two[0]] = round(score, 6)
+    pairs = dedup.blended_pairs(frame, "id", "t", "au", "y", "v")
+    assert {(r["a"], r["b"]): round(r["score"], 6) for r in pairs.collect()} == want and len(want) > 10
+    leader = {}
+    for i in range(60):
+        if i not in leader:
+            leader[i] = i
+            for j in range(i + 1, 60):
+                if (i, j) in want:
+                    leader.setdefault(j, i)
+    assert {r["id"]: r["leader"] for r in dedup.led_groups(frame.select("id"), "id", pairs).collect()} == leader
+
+
+def test_registries():
+    known = stages.Extractors()
+    known.register("x", lambda c: c)
+    with pytest.raises(ValueError):
+        known.register("x", lambda c: c)
+    with pytest.raises(ValueError):
+        stages.Checks().run("none", None)
