@@ -39,6 +39,8 @@ def scratch_dir(spark: SparkSession) -> str:
     session names none (tests, a laptop)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="scholia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm.common import (U64, components, long_lists, materialize, mix, shuffle_partitions, slices_by_bytes, table, text_shingles, tidy)
@@ -189,13 +189,19 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+def locator(doc_id: Column, text: Column) -> Column:
+    """What tells rows that share a doc_id apart."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, located: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``
     (doc_id, text); documents with 100 * intersection >= percent * union of
-    their shingle sets are linked, and links are followed."""
+    their shingle sets are linked, and links are followed. ``located``: with
+    ``loc``, each row's locator."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("loc"), text.alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), locator(F.col("doc_id"), F.col("text")).alias("loc"), text.alias("text"))
     sig = materialize(base.mapInArrow(tidy(_signed), "doc_id long, loc long, n long, h1 long, h2 long, bands array<long>"), "signatures")
     worded = sig.filter("n > 0")
     reps = worded.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.min("loc").alias("loc"))
@@ -226,8 +232,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     names = materialize(named.groupBy("root").agg(F.min("id").alias("cid")), "group-names")
     by_v = found.join(names, "root").select(F.col("node").alias("v"), "cid")
     final = materialize(reps.join(by_v, "v", "left").select("h1", "h2", "n", F.coalesce("cid", "id").alias("component_id")), "set-groups")
-    out = sig.select("doc_id", "n", "h1", "h2").join(final, ["h1", "h2", "n"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sig.select("doc_id", *(["loc"] if located else []), "n", "h1", "h2").join(final, ["h1", "h2", "n"], "left")
+    out = out.select("doc_id", *(["loc"] if located else []), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -498,3 +498,27 @@ def test_pipeline_judges_rows_without_id(spark, tmp_path):
     kept = [x for t in texts(lines) if t for x in t.split("\n")]
     assert lines.columns == read.columns and lines.count() == read.count()
     assert kept.count(prose(600, 20)) == 1 and all(kept.count(prose(k, 20)) == 1 for k in (601, 602, 603, 604))
+
+
+def test_pipeline_judges_rows_that_share_an_id(spark, tmp_path):
+    import corpus_pipeline as cp
+    docs = [(i, prose(i, 60), "en", "s", 1) for i in range(60)] + [(200 + i, prose(300 + i, 50) + " idiot moron idiot scum you idiot", "en", "s", 1) for i in range(20)]
+    docs += [(300, prose(900, 60), "en", "s", 1), (300, prose(901, 40) + " you idiot moron idiot scum you idiot", "en", "s", 1), (300, "intro. " + prose(999, 30), "en", "s", 1), (301, prose(900, 60) + " tail", "en", "s", 1), (301, prose(902, 60), "en", "s", 1)]
+    docs += [(302, prose(903, 60), "en", "s", 1)] * 3
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(200 + i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, prose(999, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    read, d = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    left = lambda df: sorted((r["doc_id"], r["text"]) for r in df.filter("doc_id between 300 and 302").collect())
+    late = docs[80:]
+    assert left(cp.drop_toxic(spark, read, d)) == sorted((x[0], x[1]) for x in late if "idiot" not in x[1])
+    assert left(cp.drop_leaks(spark, read, d)) == sorted((x[0], x[1]) for x in late if "intro" not in x[1])
+    assert left(cp.drop_near_duplicates(spark, read, d)) == sorted({(x[0], x[1]) for x in late if "tail" not in x[1]})
+
+
+def test_pipeline_over_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
