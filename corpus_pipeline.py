@@ -6,11 +6,12 @@ before it kept, and returns the columns of ``documents``; the last returns the
 packed pieces. Between stages the rows are written as Parquet and read again.
 
 Nulls, empty and very long texts, repeated rows, empty tables and further
-columns are handled as each operator's docstring says; a stage that filters
-drops rows by doc_id, so rows that share an id share their fate. A row without
-an id is named by its text, so each stage judges it like any other: in the line
-stage it comes before all rows with an id, and of near duplicates it stays only
-if no other has an id (below 2^62), then as one row.
+columns are handled as each operator's docstring says. Verdicts are about rows
+(id and text), so rows that share an id are judged one by one; rows that repeat
+another in both share its fate, and only one of them passes the near-duplicate
+stage. A row without an id is named by its text: in the line stage it comes
+before all rows with an id, and of near duplicates it stays only if no other has
+an id (below 2^62), then as one row.
 """
 
 from __future__ import annotations
@@ -37,18 +38,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(_key().alias("doc_id"), "text")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without those whose key is a doc_id of ``ids``."""
-    ids = materialize(ids.select(F.col("doc_id").alias("_gone")).distinct(), "documents-to-drop")
-    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
-    return docs.join(ids, _key() == F.col("_gone"), "left_anti")
+def _row() -> Column:
+    """What a verdict is about: the id, whether there is one, and the text."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("bare"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tie"))
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    return docs.select(_row().alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without those whose key is among the one column of ``gone``."""
+    gone = materialize(gone.toDF("_gone").distinct(), "documents-to-drop")
+    gone = F.broadcast(gone) if gone.count() <= SMALL else gone
+    return docs.join(gone, key == F.col("_gone"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the linear model scores at the threshold or above go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    bad = toxicity.scored(_keyed(docs), model).filter(F.col("score") >= toxicity.THRESHOLD)
-    return _without(docs, bad)
+    bad = toxicity.scored(_by_row(docs), model).filter(F.col("score") >= toxicity.THRESHOLD)
+    return _without(docs, bad.select("doc_id"), _row())
 
 
 def drop_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,22 +70,27 @@ def drop_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id stays; of
-    equal texts without ids one row."""
-    found = materialize(neardup.near_duplicates(_keyed(docs)).filter(~F.col("kept")), "near-duplicates")
-    left = _without(docs, found)
-    bare = F.col("doc_id").isNull() & F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
-    if docs.filter("doc_id is null").isEmpty():
+    """Of each group of near duplicates the document of smallest id stays, as
+    one row."""
+    key = F.struct(_key().alias("id"), neardup.locator(_key(), F.col("text")).alias("loc"))
+    found = neardup.near_duplicates(_keyed(docs), located=True).filter(~F.col("kept"))
+    left = _without(docs, found.select(F.struct(F.col("doc_id").alias("id"), "loc")), key)
+    # rows that repeat another in id and text, or in text if they have no id
+    worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
+    again = left.filter(worded).groupBy(key.alias("_again")).count().filter("count > 1").select("_again")
+    again = materialize(again, "repeated-documents")
+    if again.isEmpty():
         return left
     name = free_name(docs, "_name")
-    once = left.filter(bare).withColumn(name, _key()).dropDuplicates([name]).select(*docs.columns)
-    return left.filter(~bare).unionByName(once)
+    again = F.broadcast(again) if again.count() <= SMALL else again
+    once = left.filter(worded).join(again, key == F.col("_again"), "left_semi").withColumn(name, key).dropDuplicates([name]).select(*docs.columns)
+    return left.join(again, worded & (key == F.col("_again")), "left_anti").unionByName(once)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which a benchmark item has leaked go."""
     benchmark = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return _without(docs, decontam.leaks(_keyed(docs), benchmark))
+    return _without(docs, decontam.leaks(_by_row(docs), benchmark).select("doc_id"), _row())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
