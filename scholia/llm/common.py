@@ -26,7 +26,7 @@ U64 = np.uint64
 
 
 #: Bytes of rows that go to a Python worker at a time.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -258,7 +258,7 @@ def text_shingles(column: pa.Array, width: int = 5):
     return h[fresh], r[fresh]
 
 
-def slices_by_bytes(batch: pa.RecordBatch, text: str, limit: int = 2 << 20):
+def slices_by_bytes(batch: pa.RecordBatch, text: str, limit: int = 1 << 20):
     """The batch in runs of whole rows of about ``limit`` bytes of text."""
     col = batch.column(batch.schema.get_field_index(text))
     _, offsets = text_bytes(col)

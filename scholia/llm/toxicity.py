@@ -164,11 +164,14 @@ def own_features() -> np.ndarray:
 def proposed(featured: DataFrame, toxic: int, clean: int, most: int = FEATURES, least: int = 3) -> np.ndarray:
     """Features whose rate among toxic rows clearly exceeds that among others,
     by a lower bound of the log odds ratio. featured: toxic (1, 0 or -1), f."""
-    counts = featured.filter("toxic >= 0").select("toxic", F.explode("f").alias("h")).groupBy("h").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    firing = lambda k: featured.filter(F.col("toxic") == k).select(F.explode("f").alias("h"))
+    often = materialize(firing(1).groupBy("h").agg(F.count("*").alias("pos")).filter(F.col("pos") >= least), "toxic-features")
+    others = firing(0).join(often, "h", "left_semi").groupBy("h").agg(F.count("*").alias("neg"))
+    counts = often.join(others, "h", "left").na.fill(0, ["neg"])
     pos, neg = F.col("pos"), F.col("neg")
     odds = F.log((pos + 0.5) / (toxic - pos + 0.5)) - F.log((neg + 0.5) / (clean - neg + 0.5))
     good = odds - 1.64 * F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    best = counts.filter(pos >= least).withColumn("good", good).filter("good > 0.7").orderBy(F.desc(F.col("good") * F.log1p("pos")), "h").limit(most)
+    best = counts.withColumn("good", good).filter("good > 0.7").orderBy(F.desc(F.col("good") * F.log1p("pos")), "h").limit(most)
     return np.array([r["h"] for r in best.select("h").collect()], np.int64).view(np.uint64)
 
 
