@@ -71,7 +71,14 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     atexit.register(_remove, weakref.ref(spark), path)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._files = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files that ``materialize`` wrote for ``df``."""
+    _remove(weakref.ref(df.sparkSession), df._files)
 
 
 _SCRATCH: list[list[str]] = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import chat, decontam, licenses, linededup, neardup, packing, quality, sharding, tokenfile, toxicity
+from scholia.llm import bpe, chat, codes, decontam, licenses, linededup, neardup, packing, quality, sharding, tokenfile, toxicity
 
 QUERIES = {
     "op1_kd_shards": sharding.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_weak_supervision": toxicity.op8,
     "op9_line_similarity_join": linededup.op9,
     "op10_token_files": tokenfile.op10,
+    "op11_rank_array_bpe": bpe.op11,
+    "op12_active_entry_lloyd": codes.op12,
 }
 
 _LOWER = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
@@ -38,6 +40,28 @@ _OP9 = r"""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(
  kept as (select l.doc_id, count(g.i) as n, coalesce(string_agg(line, chr(10) order by l.i) filter (g.i is null), '') as t from l left join gone g on g.doc_id = l.doc_id and g.i = l.i group by 1)
  select doc_id, n::bigint as n_removed, length(t)::bigint as n_chars, md5(t) as text_md5 from kept"""
 
+def _op12() -> str:
+    """Six full rounds, each with all distances; a part's code is the least of
+    distance * entries + entry."""
+    k, parts = codes.ENTRIES, codes.PARTS
+    near = f"min(list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i])))::bigint * {k} + b.e)"
+    steps = [f"""v as materialized (select vec_id, label, list_transform(embedding, lambda c: floor({codes.SCALE} * c::double)::bigint) as x from embeddings
+ where len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+ p as materialized (select vec_id, label, k.k as p, x[k.k * (len(x) // {parts}) + 1:(k.k + 1) * (len(x) // {parts})] as x from v, range({parts}) k(k)),
+ b0 as materialized (select p, e, x from p join (select vec_id, row_number() over (order by vec_id) - 1 as e from v qualify e < {k}) using (vec_id))"""]
+    for i in range(codes.ROUNDS + 1):
+        steps.append(f"a{i} as materialized (select v.vec_id, v.p, any_value(v.label) as label, any_value(v.x) as x, {near} as m from p v join b{i} b using (p) group by 1, 2)")
+        if i < codes.ROUNDS:
+            steps.append(f"""b{i + 1} as materialized (select p, e, coalesce(s.x, b.x) as x from b{i} b left join
+ (select p, e, list((s - ((s % n) + n) % n) // n order by c) as x from (select p, e, c, sum(y)::bigint as s, count(*) as n from
+ (select p, m % {k} as e, unnest(x) as y, generate_subscripts(x, 1) as c from a{i}) group by 1, 2, 3) group by 1, 2) s using (p, e))""")
+    last = codes.ROUNDS
+    return f"""with {", ".join(steps)},
+ r as (select vec_id, any_value(label) as label, string_agg(printf('%02x', m % {k}), '' order by p) as code, sum(m // {k})::bigint as error from a{last} group by 1)
+ select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+ (select sha256(string_agg(y, ',' order by p, e, c)) from (select p, e, unnest(x)::varchar as y, generate_subscripts(x, 1) as c from b{last})) as codebooks_sha256 from r"""
+
+
 #: The others rest on learned models, tokenizers or encodings, which SQL doesn't
 #: have; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_superminhash": _OP4.replace("\\\\", "\\"), "op9_line_similarity_join": _OP9.replace("\\\\", "\\")}
+ORACLE_SQL: dict[str, str] = {"op4_superminhash": _OP4.replace("\\\\", "\\"), "op9_line_similarity_join": _OP9.replace("\\\\", "\\"), "op12_active_entry_lloyd": _op12()}
