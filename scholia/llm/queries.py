@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import bpe, chat, codes, decontam, licenses, linededup, neardup, packing, quality, sharding, tokenfile, toxicity
+from scholia.llm import bpe, chat, codes, decontam, lexical, licenses, linededup, neardup, packing, quality, sharding, tokenfile, toxicity
 
 QUERIES = {
     "op1_kd_shards": sharding.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_files": tokenfile.op10,
     "op11_rank_array_bpe": bpe.op11,
     "op12_active_entry_lloyd": codes.op12,
+    "op13_geometric_blocks": lexical.op13,
 }
 
 _LOWER = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
@@ -40,6 +41,19 @@ _OP9 = r"""with l as (select doc_id, unnest(range(1, len(string_split(text, chr(
  kept as (select l.doc_id, count(g.i) as n, coalesce(string_agg(line, chr(10) order by l.i) filter (g.i is null), '') as t from l left join gone g on g.doc_id = l.doc_id and g.i = l.i group by 1)
  select doc_id, n::bigint as n_removed, length(t)::bigint as n_chars, md5(t) as text_md5 from kept"""
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+#: Every document against every item that shares a term with it.
+_OP13 = rf"""with t as materialized (select d, doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) as t from (select row_number() over () as d, * from documents)),
+ tf as (select d, any_value(doc_id) as doc_id, t, count(*) as tf from t group by d, t), dl as (select d, count(*) as n from t group by 1),
+ g as (select count(*) as n_docs, sum(n)::bigint as n_words from dl), df as (select t, count(*) as df from tf group by 1),
+ q as (select distinct item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) as t from benchmark),
+ w as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as w from df, g where t in (select t from q)),
+ c as (select d, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_words))) as c from tf join dl using (d) join w using (t), g),
+ s as (select item_id, d, any_value(doc_id) as doc_id, sum(c)::bigint as score from q join c using (t) group by 1, 2 having sum(c) > 0)
+ select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from s qualify rank <= {lexical.BEST}"""
+
+
 def _op12() -> str:
     """Six full rounds, each with all distances; a part's code is the least of
     distance * entries + entry."""
@@ -64,4 +78,4 @@ def _op12() -> str:
 
 #: The others rest on learned models, tokenizers or encodings, which SQL doesn't
 #: have; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_superminhash": _OP4.replace("\\\\", "\\"), "op9_line_similarity_join": _OP9.replace("\\\\", "\\"), "op12_active_entry_lloyd": _op12()}
+ORACLE_SQL: dict[str, str] = {"op4_superminhash": _OP4.replace("\\\\", "\\"), "op9_line_similarity_join": _OP9.replace("\\\\", "\\"), "op12_active_entry_lloyd": _op12(), "op13_geometric_blocks": _OP13}
