@@ -37,6 +37,8 @@ from scholia.llm.tokens import Vocabulary
 
 #: Bytes up to which a word is scanned.
 SHORT = 96
+#: Words after which a worker forgets what it has merged (some 40 bytes each).
+MOST_WORDS = 500_000
 #: Parts of the matrices that are merged at a time.
 CELLS = 1 << 20
 NONE = np.int32(2**31 - 1)
@@ -165,6 +167,8 @@ class RankArrays(Vocabulary):
         return out, kind, odd
 
     def _lookup(self, raw, s, e):
+        if len(self.known) > MOST_WORDS:
+            self.forget()
         self.in_words = True
         try:
             return super()._lookup(raw, s, e)
@@ -214,10 +218,11 @@ def _schema(df: DataFrame, into: str, kind: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{into}` {kind}"])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", style: str = "words", specials: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", style: str = "words", specials: bool = True, back: str | None = None) -> DataFrame:
     """``docs`` with the ids of each text: binary, four bytes an id, little-endian.
-    style: "words" or "gpt", see ``tokens.Vocabulary``."""
-    docs = docs.drop(into)
+    style: "words" or "gpt", see ``tokens.Vocabulary``. ``back``: a further
+    column for the text that those ids decode to, made by the same worker."""
+    docs = docs.drop(into, *([back] if back else []))
 
     def run(batches):
         known = arrays(path, style, specials)
@@ -226,10 +231,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", st
                 ids, counts = known.encode(piece.column(text))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 ends = (np.cumsum(counts) * 4).tolist()
-                values = pa.array([raw[a:b] for a, b in zip([0, *ends], ends)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*piece.columns, values], names=[*piece.schema.names, into])
+                new = [pa.array([raw[a:b] for a, b in zip([0, *ends], ends)], pa.binary())]
+                if back:
+                    new.append(_texts(known, new[0]))
+                yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=[*piece.schema.names, into, *([back] if back else [])])
 
-    return docs.mapInArrow(tidy(run), _schema(docs, into, "binary"))
+    return docs.mapInArrow(tidy(run), _schema(docs, into, "binary") + (f", `{back}` string" if back else ""))
+
+
+def _texts(known: RankArrays, ids: pa.Array) -> pa.Array:
+    return pa.array((None if x is None else known.decode(np.frombuffer(x, "<u4")) for x in ids.to_pylist()), pa.string())
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded", style: str = "words", specials: bool = True) -> DataFrame:
@@ -240,8 +251,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     def run(batches):
         known = arrays(path, style, specials)
         for batch in batches:
-            texts = [None if x is None else known.decode(np.frombuffer(x, "<u4")) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts(known, batch.column(ids))], names=[*batch.schema.names, into])
 
     return encoded.mapInArrow(tidy(run), _schema(encoded, into, "string"))
 
@@ -249,5 +259,5 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
 def op11(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
     path = public_tokenizers.path("word_bpe_49k.json")
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    both = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, back="decoded")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
