@@ -52,13 +52,13 @@ from scholia.llm.common import LOWER, materialize, slices_by_bytes, span_hashes,
 
 BEST = 10
 #: Postings that make a segment, documents that make a block on average.
-SEGMENT, BLOCK = 400_000, 16
+SEGMENT, BLOCK = 200_000, 8
 #: Documents from which thresholds are taken.
-SEEDS = 16_384
+SEEDS = 32_768
 #: Term occurrences of the items that are broadcast at a time (16 bytes each).
 ITEMS_AT_A_TIME = 500_000
 #: Numbers in a scratch array.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: Dimensions of the projections by which a list is clustered.
 PROJECTED = 16
 
