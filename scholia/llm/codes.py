@@ -47,7 +47,7 @@ def integers(rows: DataFrame, vector: Column, scale: int = SCALE, parts: int = P
     x = vector.cast("array<double>")
     out = rows.withColumn("_v", x).filter(F.size("_v") > 0).filter(~F.exists("_v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
     out = out.withColumn("_x", F.transform("_v", lambda c: F.floor(c * scale)))
-    bound = F.sqrt(F.lit(2.0**57 * parts) / F.size("_x"))  # a part's distance stays below 2^59
+    bound = F.sqrt(F.try_divide(F.lit(2.0**57 * parts), F.size("_x")))  # a part's distance stays below 2^59
     return out.drop("_v").filter((F.array_max("_x") < bound) & (F.array_min("_x") > -bound))
 
 
