@@ -4,6 +4,7 @@ blocking join has already narrowed down."""
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -64,55 +65,91 @@ def blend(a: str, b: str) -> float:
     return 1.0 if a == b else (0.5 * token_sort_ratio(a, b) + 0.3 * token_set_ratio(a, b) + 0.2 * partial_ratio(a, b)) / 100
 
 
+def blend_rest(a: str, b: str) -> float:
+    """.4 token sort, .3 token set, .2 partial, .1 ratio; 0 to 1."""
+    return (0.4 * token_sort_ratio(a, b) + 0.3 * token_set_ratio(a, b) + 0.2 * partial_ratio(a, b) + 0.1 * ratio(a, b)) / 100
+
+
 def blend_wide(a: str, b: str) -> float:
-    """.4 token sort, .3 token set, .2 partial, .1 ratio; containment is .98."""
+    """1 if equal, .98 if one contains the other, else ``blend_rest``."""
     if a == b:
         return 1.0
-    if a and b and (a in b or b in a):
-        return 0.98
-    return (0.4 * token_sort_ratio(a, b) + 0.3 * token_set_ratio(a, b) + 0.2 * partial_ratio(a, b) + 0.1 * ratio(a, b)) / 100
+    return 0.98 if a and b and (a in b or b in a) else blend_rest(a, b)
+
+
+# What may follow a last name.
+NAME_SUFFIX = r"\b(jr|sr|iii|ii|iv|v)\.?$"
 
 
 def name_parts(name: str) -> tuple[str, str]:
-    """(first initial, last name); "Last, First" is understood."""
-    name = name.strip().lower()
+    """(first initial, last name), "Last, First" understood; a last name that is
+    a suffix only is empty."""
     if "," in name:
-        last, first = (x.strip() for x in name.split(",", 1))
+        last, _, first = name.lower().partition(",")
+        last, first = last.strip(), first.split()
     else:
-        words = name.split()
-        last, first = (words[-1], " ".join(words[:-1])) if words else ("", "")
-    return first[:1], last
-
-
-def author_overlap(one: list[str], two: list[str]) -> float:
-    """Greedy one-to-one matches of last name and initial (an initial may be
-    missing), over the smaller list."""
-    left, used, hits = [name_parts(x) for x in one], set(), 0
-    right = [name_parts(x) for x in two]
-    for first, last in left:
-        for j, (f, lname) in enumerate(right):
-            if j not in used and last and last == lname and (not first or not f or first == f):
-                used.add(j)
-                hits += 1
-                break
-    return hits / min(len(left), len(right)) if left and right else 0.0
+        *first, last = name.lower().split() or [""]
+    return (first[0].rstrip(".")[:1] if first else ""), re.sub(NAME_SUFFIX, "", last).strip()
+
+
+def author_overlap(one: list[str], two: list[str]) -> float | None:
+    """Authors with a last name, the shorter list's matched in order to the
+    first free one of the longer with the same last name and initial (a missing
+    initial fits any): matches over the smaller of the first list's length and
+    the second's with the matches added. None if that is 0."""
+    a, b = ([p for p in map(name_parts, names) if p[1]] for names in (one, two))
+    few, free = (a, list(b)) if len(a) <= len(b) else (b, list(a))
+    hits = 0
+    for initial, last in few:
+        fits = next((j for j, (i, n) in enumerate(free) if n == last and (not initial or not i or i == initial)), None)
+        if fits is not None:
+            free.pop(fits)
+            hits += 1
+    least = min(len(a), len(b) + hits)
+    return hits / least if least else None
+
+
+def plain_name(name: str) -> str:
+    return " ".join(re.sub(r"\.\s*", " ", name.lower()).split())
+
+
+def initials_match(a: str, b: str) -> bool:
+    """Word by word equal, or one an initial of the other."""
+    x, y = a.split(), b.split()
+    return len(x) == len(y) and all(p == q or (len(p) == 1 and q.startswith(p)) or (len(q) == 1 and p.startswith(q)) for p, q in zip(x, y))
 
 
 def author_similarity(one: list[str], two: list[str]) -> float:
-    """Greedy: equal names count 1, equal initials and last name .9, a ratio
-    over 85 its value; over the longer list."""
-    rest, score = list(two), 0.0
-    for name in one:
-        best, at = 0.0, None
-        for j, other in enumerate(rest):
-            a, b = name_parts(name), name_parts(other)
-            r = 1.0 if name.lower() == other.lower() else 0.9 if a == b and a[1] else (s / 100 if (s := ratio(name.lower(), other.lower())) > 85 else 0.0)
-            if r > best:
+    """Equal names first, one to one, 1 each. Then, for each name left of the
+    first list, the names left of the second in order: the first that matches by
+    initials counts .9 and ends the search; the best ratio met on the way counts
+    itself if it is above .85. Over the longer list, 1 at most."""
+    if not one or not two:
+        return 0.0
+    a, b = list(map(plain_name, one)), list(map(plain_name, two))
+    free, rest, score = dict(enumerate(b)), [], 0.0
+    for name in a:
+        same = next((j for j, other in free.items() if other == name), None)
+        if same is None:
+            rest.append(name)
+        else:
+            del free[same]
+            score += 1
+    for name in rest:
+        best, at, taken = 0.0, None, None
+        for j, other in free.items():
+            if initials_match(name, other):
+                taken = j
+                break
+            if (r := ratio(name, other) / 100) > best:
                 best, at = r, j
-        if at is not None:
+        if taken is not None:
+            score += 0.9
+            del free[taken]
+        if best > 0.85:
             score += best
-            rest.pop(at)
-    return score / max(len(one), len(two)) if one and two else 0.0
+            del free[at]
+    return min(1.0, score / max(len(a), len(b)))
 
 
 def _pairwise(f, kind="double"):
@@ -126,5 +163,5 @@ def similarity(name: str):
     """A Column function of two columns by scorer name."""
     known = {"ratio": lambda a, b: ratio(a, b) / 100, "token_sort": lambda a, b: token_sort_ratio(a, b) / 100, "token_set": lambda a, b: token_set_ratio(a, b) / 100,
              "partial": lambda a, b: partial_ratio(a, b) / 100, "title": blend, "title_wide": blend_wide, "difflib": lambda a, b: difflib.SequenceMatcher(None, a, b).ratio(),
-             "authors": lambda a, b: author_similarity(list(a), list(b)), "author_overlap": lambda a, b: author_overlap(list(a), list(b))}
+             "authors": lambda a, b: author_similarity(list(a), list(b)), "author_overlap": lambda a, b: author_overlap(list(a), list(b)), "title_rest": blend_rest}
     return _pairwise(known[name])

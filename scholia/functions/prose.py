@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholia.functions.text import affiliation_key, collapsed, text_or_empty, word_count
+from scholia.functions.text import collapsed, text_or_empty, word_count
 
 # Phrases of experiments by strength, and terms behind three flags.
 PHRASES = {
@@ -62,33 +61,11 @@ def experimental(text: Column) -> Column:
     return F.struct(score.alias("score"), is_.alias("is_experimental"), F.least(F.lit(1.0), sure).alias("confidence"))
 
 
-# Metrics of language, vision and control papers.
-METRICS = {
-    "tokens": r"(?i)(\d+(?:\.\d+)?)\s*(billion|million|B|M)\s+tokens", "vocabulary": r"(?i)vocabulary (?:size )?of (\d[\d,]*)", "sequence": r"(?i)sequence length (?:of )?(\d+)",
-    "resolution": r"(\d{2,4})\s*[x×]\s*\d{2,4}", "fps": r"(?i)(\d+(?:\.\d+)?)\s*fps", "steps": r"(?i)(\d+(?:\.\d+)?)\s*(billion|million|B|M)?\s*(?:environment |training )?steps", "environments": r"(?i)(\d+)\s+(?:parallel )?environments",
-}
-
-
-def metric(text: Column, name: str) -> Column:
-    """The first value of a metric; its unit word multiplies."""
-    value = F.replace(F.nullif(F.regexp_extract(text, METRICS[name], 1), F.lit("")), F.lit(","), F.lit("")).cast("double")
-    if name not in ("tokens", "steps"):
-        return value
-    unit = F.lower(F.regexp_extract(text, METRICS[name], 2))
-    return value * F.when(unit.isin("billion", "b"), 1e9).when(unit.isin("million", "m"), 1e6).otherwise(1.0)
-
-
-# Benchmark names as they are written.
-BENCHMARKS = {"ImageNet": r"(?i)\bimagenet\b", "CIFAR": r"(?i)\bcifar-?10", "COCO": r"\bCOCO\b", "GLUE": r"\bGLUE\b", "SuperGLUE": r"\bSuperGLUE\b", "SQuAD": r"(?i)\bsquad\b", "WMT": r"\bWMT", "Atari": r"(?i)\batari\b", "MuJoCo": r"(?i)\bmujoco\b", "MNIST": r"(?i)\bmnist\b"}
 # Phrases of records, and papers that are landmarks by name.
 SOTA = [r"state[- ]of[- ]the[- ]art", r"sota", r"new\s+record", r"surpass(?:es|ed)?\s+previous", r"outperform(?:s|ed)?", r"best\s+performance", r"achieve(?:s|d)?\s+new", r"superior\s+to\s+existing", r"achieving\s+sota"]
 LANDMARKS = ["bert", "gpt", "transformer", "resnet", "efficientnet", "yolo", "vit", "vision transformer", "alphago", "alphafold"]
 
 
-def benchmarks(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in BENCHMARKS.items()]))
-
-
 def is_sota(text: Column, citations: Column, year: Column, as_of_year: int) -> Column:
     """By phrase, by a landmark's name, or by more than 50 citations a year
     (papers of earlier years only)."""
@@ -145,44 +122,6 @@ def primary_institution(affiliation: Column) -> Column:
     return F.coalesce(known, F.regexp_replace(F.get(parts, F.lit(0)), r"(?i)^(?:dept\.?|department|faculty|school) of \w+\s*", ""))
 
 
-# Words that tell academic from industrial affiliations.
-ACADEMIC = ["university", "institute", "college", "school", "academy", "faculty", "department", "laboratory", "polytechnic"]
-INDUSTRY = ["google", "microsoft", "facebook", "meta", "amazon", "apple", "nvidia", "ibm", "openai", "deepmind", "corporation", "company", "research lab", "technologies", "gmbh", "ltd"]
-
-
-def affiliation_type(affiliation: Column) -> Column:
-    """type and confidence: keyword hits over 3, .8 at most; industry on more hits."""
-    key = affiliation_key(affiliation)
-    hits = lambda words: sum((key.contains(w).cast("int") for w in words), F.lit(0))
-    a, i = hits(ACADEMIC), hits(INDUSTRY)
-    kind = F.when((a == 0) & (i == 0), "unknown").when(i > a, "industry").otherwise("academic")
-    return F.struct(kind.alias("type"), F.least(F.lit(0.8), F.greatest(a, i) / 3).alias("confidence"))
-
-
-def parse_affiliation():
-    """A pandas UDF: affiliation -> organisation, department, city, country,
-    email domain, and how much was recognised."""
-    import re
-
-    countries = {"usa", "united states", "uk", "united kingdom", "canada", "china", "germany", "france", "japan", "india", "switzerland", "israel", "australia", "korea", "singapore", "italy", "spain", "netherlands"}
-
-    @F.pandas_udf("organisation string, department string, city string, country string, email_domain string, confidence double")
-    def run(col: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in col.fillna(""):
-            mail = re.search(r"\S+@([\w.-]+)", text)
-            parts = [p.strip() for p in re.split(r"[,;]", re.sub(r"\S+@\S+", "", text)) if p.strip()]
-            country = parts.pop() if parts and parts[-1].lower().strip(". ") in countries else None
-            dept = next((p for p in parts if re.match(r"(?i)(dept|department|faculty|school|division)\b", p)), None)
-            org = next((p for p in parts if p != dept and re.search(r"(?i)universit|institut|college|lab|research|inc|corp|google|microsoft", p)), None) or next((p for p in parts if p != dept), None)
-            rest = [p for p in parts if p not in (dept, org)]
-            city = re.sub(r"\b\d[\d-]*\b", "", rest[-1]).strip() or None if rest else None
-            found = [org, dept, city, country, mail]
-            out.append((org, dept, city, country, mail.group(1) if mail else None, sum(x is not None for x in found) / 5))
-        return pd.DataFrame(out, columns=["organisation", "department", "city", "country", "email_domain", "confidence"])
-    return run
-
-
 def density(text: Column, words: list[str]) -> Column:
     """Whole-word hits per 100 words."""
     n = F.size(F.split(collapsed(text_or_empty(text)), " "))

@@ -6,32 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.scores import adaptive_threshold, base_threshold
+from scholia.operators.joins import small
+from scholia.operators.quantiles import counted, quantiles, same_join, with_quantiles
 
 PERCENTS = [10, 25, 50, 75, 80, 90, 95, 99]
 
 
-def percentiles(c: Column, percents=PERCENTS) -> list[Column]:
-    """p10, p25, ... by linear interpolation (exact)."""
-    return [F.percentile(c, F.lit(p / 100)).alias(f"p{p}") for p in percents]
+def shares(percents=PERCENTS) -> dict[str, float]:
+    return {f"p{p}": p / 100 for p in percents}
 
 
 def citation_report(papers: DataFrame, venue="venue", year="year", count="citations") -> DataFrame:
-    """Statistics by venue, by venue and year, by year, and overall, as grouping
-    sets of one aggregate; ``level`` tells which."""
+    """Statistics by venue, by venue and year, by year, and overall; ``level``
+    tells which. Moments come from grouping sets of one aggregate; percentiles
+    from the counted values of all levels' groups at once, so that neither the
+    whole nor a large venue meets in a task."""
     v, y, c = F.col(venue), F.col(year), F.col(count)
-    stats = [F.count("*").alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), *percentiles(c)]
     level = F.when(F.grouping(v) + F.grouping(y) == 2, "overall").when(F.grouping(v) == 1, "year").when(F.grouping(y) == 1, "venue").otherwise("venue_year")
-    return papers.groupingSets([[v], [v, y], [y], []], v, y).agg(level.alias("level"), *stats)
+    sets = [[v], [v, y], [y], []]
+    stats = papers.groupingSets(sets, v, y).agg(level.alias("level"), F.count("*").alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"))
+    once = counted(papers, [venue, year], count)
+    levels = F.explode(F.array(*[F.struct((v if a else F.lit(None)).alias("v"), (y if b else F.lit(None)).alias("y"), F.lit(name).alias("level")) for a, b, name in ((1, 0, "venue"), (1, 1, "venue_year"), (0, 1, "year"), (0, 0, "overall"))]))
+    rolled = once.select(levels.alias("_l"), c, "n").groupBy("_l", c).agg(F.sum("n").alias("n")).select(F.col("_l.v").alias(venue), F.col("_l.y").alias(year), F.col("_l.level").alias("level"), c, "n")
+    return same_join(stats, quantiles(rolled, ["level", venue, year], count, shares()), ["level", venue, year], "left")
 
 
 def adaptive_thresholds(papers: DataFrame, as_of_year: int, venue="venue", year="year", count="citations", tier="tier") -> DataFrame:
     """Per venue and year: threshold, confidence, how many reach it, alternatives."""
-    c = F.col(count)
-    per = papers.groupBy(venue, year).agg(F.count("*").alias("n"), F.max(tier).alias("tier"), F.max(c).alias("most"), *percentiles(c, [50, 70, 75, 80, 90]))
+    once = counted(papers, [venue, year], count)
+    per = papers.groupBy(venue, year).agg(F.count("*").alias("n"), F.max(tier).alias("tier"), F.max(count).alias("most"))
+    per = same_join(per, quantiles(once, [venue, year], count, shares([50, 70, 75, 80, 90])), [venue, year], "left")
     base = base_threshold(F.col("tier"), F.col(year), as_of_year)
     per = per.withColumn("threshold", adaptive_threshold(base, F.col("p75"), F.col("p70"), F.col("most")))
-    above = papers.join(per.select(venue, year, "threshold"), [venue, year]).groupBy(venue, year).agg(F.count_if(c >= F.col("threshold")).alias("above"))
-    return per.join(above, [venue, year]).select(venue, year, "n", "threshold", F.least(F.lit(1.0), F.col("n") / 50).alias("confidence"), "above",
+    # what reaches a threshold is counted on the counted values
+    above = once.withColumnRenamed("n", "_k").join(small(per.select(venue, year, "threshold")), [venue, year]).groupBy(venue, year).agg(F.sum(F.when(F.col(count) >= F.col("threshold"), F.col("_k")).otherwise(0)).alias("above"))
+    return per.join(small(above), [venue, year]).select(venue, year, "n", "threshold", F.least(F.lit(1.0), F.col("n") / 50).alias("confidence"), "above",
                                                   *[F.col(f"p{p}").cast("long").alias(f"alternative_{p}") for p in (50, 80, 90)])
 
 
@@ -50,8 +59,8 @@ def sample_skewness(c: Column) -> Column:
 
 def collection_statistics(papers: DataFrame, value: str) -> DataFrame:
     c = F.col(value)
-    return papers.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.stddev_pop(c).alias("std"), F.min(c).alias("least"),
-                      F.max(c).alias("most"), F.percentile(c, F.lit(0.25)).alias("q25"), F.percentile(c, F.lit(0.75)).alias("q75"), sample_skewness(c).alias("skew"), F.sum(c).alias("total"))
+    out = papers.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"), sample_skewness(c).alias("skew"), F.sum(c).alias("total"))
+    return with_quantiles(out, papers, [], value, {"median": 0.5, "q25": 0.25, "q75": 0.75})
 
 
 def h_index(papers: DataFrame, by: str, count: str) -> DataFrame:
@@ -95,8 +104,9 @@ def venue_statistics(papers: DataFrame, venue: str, year: str, count: str, autho
 
 def quality_indicators(papers: DataFrame, as_of_year: int, venue: str, year: str, count: str, breakthrough: Column) -> DataFrame:
     c = F.col(count)
-    return papers.agg(F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.var_pop(c).alias("variance"), F.avg((c == 0).cast("double")).alias("zero_rate"),
-                      F.countDistinct(venue).alias("venues"), F.avg(breakthrough.cast("double")).alias("breakthrough_rate"), F.avg((F.col(year) >= as_of_year - 3).cast("double")).alias("recent_rate"))
+    out = papers.agg(F.avg(c).alias("mean"), F.var_pop(c).alias("variance"), F.avg((c == 0).cast("double")).alias("zero_rate"),
+                     F.countDistinct(venue).alias("venues"), F.avg(breakthrough.cast("double")).alias("breakthrough_rate"), F.avg((F.col(year) >= as_of_year - 3).cast("double")).alias("recent_rate"))
+    return with_quantiles(out, papers, [], count, {"median": 0.5})
 
 
 def confusion(rows: DataFrame, truth: Column, said: Column) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,34 +11,11 @@ from scholia.functions import fuzzy
 from scholia.functions.scores import match_confidence
 from scholia.functions.text import title_key
 from scholia.operators.graph import connected
+from scholia.operators.greedy import first_by_any, leaders as led_groups  # noqa: F401
+from scholia.operators.joins import small
 from scholia.operators.windows import first_of
 
 
-def first_by_any(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """In order, a row is kept unless a *kept* earlier row shares one of its
-    keys. Rows with no earlier row in any key are settled by windows; the others
-    are folded per connected component, which bounds a task."""
-    long = reduce(lambda a, b: a.unionByName(b), [rows.filter(F.col(k).isNotNull()).select(F.lit(k).alias("kind"), F.col(k).cast("string").alias("v"), F.col(ordinal).alias("o")) for k in keys])
-    shared = long.withColumn("_first", F.min("o").over(Window.partitionBy("kind", "v")))
-    links = shared.filter("o > _first").select(F.col("_first").alias("a"), F.col("o").alias("b")).distinct()
-    comp = connected(links)
-    members = rows.join(comp, F.col(ordinal) == F.col("node")).drop("node")
-
-    def fold(pdf):
-        seen, keep = set(), []
-        pdf = pdf.sort_values(ordinal)
-        for row in pdf[keys].itertuples(index=False):
-            mine = {(k, v) for k, v in zip(keys, row) if v is not None and v == v}
-            ok = not (mine & seen)
-            if ok:
-                seen |= mine
-            keep.append(ok)
-        return pdf[keep]
-
-    kept = members.groupBy("root").applyInPandas(fold, members.schema).drop("root")
-    return rows.join(comp.select(F.col("node").alias(ordinal)), ordinal, "left_anti").select(rows.columns).unionByName(kept.select(rows.columns))
-
-
 def _bigrams(names: DataFrame, name: str, least: float) -> DataFrame:
     """(name, n, token) of the prefix of each name: its bigrams (the k-th of a
     kind is a token of its own), rarest first, as many as any other name of an
@@ -48,11 +24,23 @@ def _bigrams(names: DataFrame, name: str, least: float) -> DataFrame:
     n = F.length(name)
     rows = names.select(name, n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(F.col(name), i, F.lit(2)))).alias("g"))
     rows = rows.groupBy(name, "n", "g").agg(F.count("*").alias("c")).select(name, "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda k: F.concat("g", F.lit("#"), k))).alias("token"))
-    rows = rows.withColumn("f", F.count("*").over(Window.partitionBy("token")))
+    rows = rows.join(small(rows.groupBy("token").agg(F.count("*").alias("f"))), "token")
     keep = (F.col("n") - 1) - F.greatest(F.lit(1), F.floor(F.col("n") - 1 - 4 * (1 - least) / least * F.col("n"))) + 1
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(name).orderBy("f", "token"))).filter((F.col("r") <= keep) & (F.col("f") > 1)).select(name, "n", "token")
 
 
+def near_names(left: DataFrame, right: DataFrame, name: str, least: float) -> DataFrame:
+    """(a, b, ratio): names of ``left`` and of ``right`` whose indel ratio is
+    ``least`` or more, equal ones included. Names meet under a rare bigram."""
+    x, y = (t.select(F.col(name).alias("_s")).filter("_s is not null").distinct() for t in (left, right))
+    grams = _bigrams(x.unionByName(y).distinct(), "_s", least)
+    a = grams.join(x, "_s", "left_semi").select(F.col("_s").alias("a"), F.col("n").alias("na"), "token")
+    b = grams.join(y, "_s", "left_semi").select(F.col("_s").alias("b"), F.col("n").alias("nb"), "token")
+    met = a.join(small(b), "token").filter((F.col("a") != F.col("b")) & (2 * F.least("na", "nb") >= least * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
+    far = met.withColumn("ratio", fuzzy.similarity("ratio")("a", "b")).filter(F.col("ratio") >= least)
+    return far.unionByName(x.join(y, "_s").select(F.col("_s").alias("a"), F.col("_s").alias("b"), F.lit(1.0).alias("ratio")))
+
+
 def similar_titles(rows: DataFrame, title: str, least: float = 0.95) -> DataFrame:
     """(a, b, similarity, n_a, n_b): all pairs a < b of distinct titles whose
     blended similarity is ``least`` or more, and how many rows have each.
@@ -109,27 +97,6 @@ def blended_pairs(papers: DataFrame, ident: str, title: str, authors: str, year:
     return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), (BLEND[0] * like("t_a", "t_b") + F.col("rest") + BLEND[3] * like("v_a", "v_b")).alias("score")).filter(F.col("score") >= least)
 
 
-def led_groups(rows: DataFrame, ident: str, pairs: DataFrame) -> DataFrame:
-    """``rows`` with ``leader``: in order of ``ident``, a row that no leader has
-    taken leads all later free rows it is paired with. Folded per connected
-    component of the pairs, links only; other rows lead themselves."""
-    comp = connected(pairs)
-    links = pairs.select("a", "b").join(comp.withColumnRenamed("node", "a"), "a")
-
-    def fold(pdf):
-        later = pdf.groupby("a").b.apply(list).to_dict()
-        leader = {}
-        for a in sorted(set(pdf.a) | set(pdf.b)):
-            if a not in leader:
-                leader[a] = a
-                for b in later.get(a, ()):
-                    leader.setdefault(b, a)
-        return pd.DataFrame({"node": list(leader), "leader": list(leader.values())})
-
-    found = links.groupBy("root").applyInPandas(fold, "node long, leader long")
-    return rows.join(found.withColumnRenamed("node", ident), ident, "left").withColumn("leader", F.coalesce("leader", ident))
-
-
 def best_of_groups(rows: DataFrame, ident: str, pairs: DataFrame, order: list) -> DataFrame:
     """One row of each group of linked rows, by ``order``; unlinked rows stay."""
     comp = connected(pairs)

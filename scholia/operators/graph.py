@@ -1,16 +1,14 @@
-"""Connected components by alternating minima."""
+"""Connected components by alternating minima, and greedy choices by rounds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def connected(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): every node's smallest reachable node. Labels are passed
-    along links and through labels, so long chains close fast; each round is cut
-    with a checkpoint in the cluster's shared folder."""
-    spark = pairs.sparkSession
+def shared_folder(spark: SparkSession) -> None:
+    """Checkpoints go where the session says; to a folder of our own only in
+    local mode."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         import tempfile
         if not spark.sparkContext.master.startswith("local"):
@@ -18,6 +16,13 @@ def connected(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scholia-"))
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+
+
+def connected(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): every node's smallest reachable node. Labels are passed
+    along links and through labels, so long chains close fast; each round is cut
+    with a checkpoint in the cluster's shared folder."""
+    shared_folder(pairs.sparkSession)
     links = pairs.select(F.col(a).alias("x"), F.col(b).alias("y"))
     links = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
     labels = links.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node").checkpoint()

@@ -68,22 +68,9 @@ def blocked_pairs(rows: DataFrame, ident: str, block: Column) -> DataFrame:
 
 
 def greedy_groups(pairs: DataFrame, order: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    """Pairs are taken in order; a pair that touches a grouped row is skipped.
-    Done per connected component, whose size bounds a task."""
-    from scholia.operators.graph import connected
-    comp = connected(pairs, a, b)
-    rows = pairs.join(comp.withColumnRenamed("node", a), a)
-
-    def take(pdf):
-        used, keep = set(), []
-        for i, (x, y) in enumerate(zip(pdf.sort_values(order)[a], pdf.sort_values(order)[b])):
-            ok = x not in used and y not in used
-            keep.append(ok)
-            if ok:
-                used |= {x, y}
-        return pdf.sort_values(order)[keep]
-
-    return rows.groupBy("root").applyInPandas(take, rows.schema).drop("root")
+    """Pairs are taken in order; a pair that touches a grouped row is skipped."""
+    from scholia.operators.greedy import matching
+    return matching(pairs, order, a, b)
 
 
 def best_match(rows: DataFrame, name: Column, candidates: DataFrame, candidate: str, score, least: float, arms: list[tuple[str, Column]]) -> DataFrame:

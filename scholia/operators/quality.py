@@ -100,14 +100,6 @@ def field_coverage(rows: DataFrame, by: str, fields: list[str]) -> DataFrame:
     return long.groupBy(by, "field").agg(F.count("*").alias("n"), F.avg(F.col("v").isNotNull().cast("double")).alias("coverage"), F.countDistinct("v").alias("values"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
 
 
-def authorship(types: Column) -> Column:
-    """From an array of author types: half unknown needs review; any industry;
-    60 percent academic; else mixed."""
-    n = F.size(types)
-    share = lambda t: F.try_divide(F.size(F.filter(types, lambda x: x == t)), n)
-    return F.when(n == 0, "needs_review").when(share("unknown") >= 0.5, "needs_review").when(share("industry") > 0, F.when(share("industry") >= 0.25, "industry").otherwise("collaborative")).when(share("academic") >= 0.6, "academic").otherwise("mixed")
-
-
 # Affiliations whose type is known, and the weights of a validation.
 KNOWN_AFFILIATIONS = [("MIT Computer Science", "academic"), ("Stanford University AI Lab", "academic"), ("Carnegie Mellon University", "academic"), ("University of Toronto Vector Institute", "academic"), ("Mila - Quebec AI Institute", "academic"),
                       ("Google Research", "industry"), ("OpenAI", "industry"), ("Microsoft Research", "industry"), ("Meta AI Research", "industry"), ("DeepMind", "industry")]

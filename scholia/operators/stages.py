@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -89,3 +89,32 @@ def form_errors(fields: dict[str, dict]) -> Column:
 def phase(done: dict[str, Column]) -> Column:
     """The first phase, in order, whose condition doesn't hold yet; "complete"."""
     return F.coalesce(*[F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in done.items()], F.lit("complete"))
+
+
+def detected(spark: SparkSession, path: str) -> list[str]:
+    """The stages that a data layout allows. A folder with "collected_papers"
+    and a JSON file that holds a list, or an object with "papers" or
+    "collection_metadata", allow "collection"; anything else, unreadable and
+    missing files too, allows none. Any file system that Spark knows; only the
+    head of a file and its field names are looked at."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return []
+    if system.getFileStatus(where).isDirectory():
+        return ["collection"] if system.exists(jvm.org.apache.hadoop.fs.Path(where, "collected_papers")) else []
+    if not path.endswith(".json"):
+        return []
+    rows = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    if "_corrupt_record" in rows.columns:
+        return []
+    begins = spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    is_list = begins is not None and begins["c"] == "["
+    return ["collection"] if is_list or {"papers", "collection_metadata"} & set(rows.columns) else []
+
+
+def run_detected(spark: SparkSession, path: str, checks: Checks, rows: DataFrame) -> DataFrame | None:
+    """The checks of each detected stage that has any, with its name."""
+    parts = [checks.run(stage, rows).withColumn("stage", F.lit(stage)) for stage in detected(spark, path) if stage in checks.stages()]
+    return reduce(DataFrame.unionByName, parts) if parts else None

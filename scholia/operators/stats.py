@@ -9,20 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.operators.joins import small
+from scholia.operators.quantiles import counted, quantiles, with_quantiles
+
 
 def _spread(rows: DataFrame, by: str, value: str) -> DataFrame:
     v = F.col(value)
-    return rows.groupBy(by).agg(F.count(v).alias("_n"), F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"), F.percentile(v, F.lit(0.25)).alias("_q1"), F.percentile(v, F.lit(0.5)).alias("_med"), F.percentile(v, F.lit(0.75)).alias("_q3"))
+    moments = rows.groupBy(by).agg(F.count(v).alias("_n"), F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"))
+    return with_quantiles(moments, rows, [by], value, {"_q1": 0.25, "_med": 0.5, "_q3": 0.75})
 
 
 def outliers(rows: DataFrame, by: str, value: str, z: float = 3.0, iqr: float = 1.5, mad: float = 3.5) -> DataFrame:
     """is_z, is_iqr, is_mad and is_outlier (two votes of three). Too small or
     spreadless groups: z needs 3 values, quartiles 4 (without a spread: z), the
-    median deviation 10 (below: quartiles)."""
+    median deviation 10 (below: quartiles). Rows without a group are left out."""
+    rows = rows.filter(F.col(by).isNotNull())
     s = _spread(rows, by, value)
-    x = rows.join(s, by)
-    dev = x.withColumn("_dev", F.abs(F.col(value) - F.col("_med"))).groupBy(by).agg(F.percentile("_dev", F.lit(0.5)).alias("_mad"))
-    x = x.join(dev, by)
+    x = rows.join(small(s), by)
+    far = x.select(by, F.abs(F.col(value) - F.col("_med")).alias("_dev"))
+    x = x.join(small(quantiles(counted(far, [by], "_dev"), [by], "_dev", {"_mad": 0.5})), by, "left")
     v = F.col(value)
     is_z = (F.col("_n") >= 3) & (F.col("_std") > 0) & F.coalesce(F.abs(F.try_divide(v - F.col("_mean"), F.col("_std"))) > z, F.lit(False))
     width = F.col("_q3") - F.col("_q1")
@@ -125,23 +130,6 @@ def text_clusters(rows: DataFrame, text: str, k: int, seed: int = 42, features:
     return Pipeline(stages=stages).fit(rows).transform(rows).drop("_w", "_2", "_c1", "_c2", "_c", "_features")
 
 
-def adapt_thresholds(rows: DataFrame, venue: str, order: str, target: str, got: str, start: float, rate: float = 0.1, momentum: float = 0.9, step: float = 0.2) -> DataFrame:
-    """The threshold after each observation: a momentum step against the gap
-    between wanted and seen, clipped to ``step`` and to [0, 1]. A fold in time
-    order, so each venue is one task's group; venues are many and short."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        t, v, out = start, 0.0, []
-        for want, seen in zip(pdf[target], pdf[got]):
-            v = momentum * v + rate * (want - seen)
-            t = min(1.0, max(0.0, t + min(step, max(-step, v))))
-            out.append(t)
-        return pdf.assign(threshold=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", threshold double"
-    return rows.groupBy(venue).applyInPandas(fold, schema)
-
-
 # Known extremes, usual values, and title words that explain an outlier.
 KNOWN_EXTREMES = {"parameters": {"gpt3": 175e9, "palm": 540e9, "gpt4": 1.76e12}, "gpu_hours": {"gpt3": 3.64e6, "palm": 6e6}}
 USUAL = {"gpu_hours": 1000, "parameters": 1e8, "training_time": 24, "batch_size": 32, "gpu_count": 8, "epochs": 100, "gpu_memory": 32}

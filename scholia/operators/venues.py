@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.scores import ladder, weighted
+from scholia.operators.contain import found_inside
+from scholia.operators.dedup import near_names
 from scholia.operators.joins import best_match, small
 from scholia.operators.windows import first_of
 
@@ -40,24 +42,59 @@ def mapping_statistics(normalized: DataFrame, confidence: str = "confidence") ->
     return normalized.agg(F.count("*").alias("n"), F.count_if(c == 1).alias("exact"), F.count_if((c >= 0.95) & (c < 1)).alias("high"), F.count_if((c >= 0.9) & (c < 0.95)).alias("medium"), F.count_if(c.isNull()).alias("unmapped"))
 
 
-#: Confidence of each way to recognise an organisation, in order.
-ARMS = [("name", 0.95), ("email", 0.85), ("alias", 0.9), ("domain", 0.85), ("keyword", 0.6)]
-
-
-def organisations(rows: DataFrame, text: Column, email: Column, dimension: DataFrame) -> DataFrame:
-    """``org``, ``org_type``, ``org_by`` and ``org_confidence`` of a distinct
-    affiliation. dimension (bounded): ordinal, name, type, aliases, domains,
-    keywords; arms are tried in order, organisations in theirs."""
-    low = F.lower(text)
-    long = dimension.select("ordinal", "name", "type", F.explode(F.array(
-        F.struct(F.lit(0).alias("arm"), F.array(F.lower("name")).alias("v")), F.struct(F.lit(1).alias("arm"), F.col("domains").alias("v")), F.struct(F.lit(2).alias("arm"), F.transform("aliases", F.lower).alias("v")),
-        F.struct(F.lit(3).alias("arm"), F.col("domains").alias("v")), F.struct(F.lit(4).alias("arm"), F.col("keywords").alias("v")))).alias("x")).select("ordinal", "name", "type", "x.arm", F.explode("x.v").alias("needle"))
-    known = rows.select(low.alias("_low"), F.lower(email).alias("_mail")).distinct()
-    hit = F.when(F.col("arm") == 1, F.coalesce(F.col("_mail").endswith(F.concat(F.lit("@"), F.col("needle"))), F.lit(False))).otherwise(F.col("_low").contains(F.col("needle")))
-    best = first_of(known.join(small(long), hit), ["_low", "_mail"], ["arm", "ordinal", "needle"])
-    names, conf = F.array(*[F.lit(a) for a, _ in ARMS]), F.array(*[F.lit(c) for _, c in ARMS])
-    found = best.select(F.col("_low").alias("_l"), F.col("_mail").alias("_m"), F.col("name").alias("org"), F.col("type").alias("org_type"), F.element_at(names, F.col("arm") + 1).alias("org_by"), F.element_at(conf, F.col("arm") + 1).alias("org_confidence"))
-    return rows.join(found, (low == F.col("_l")) & F.lower(email).eqNullSafe(F.col("_m")), "left").drop("_l", "_m")
+# How sure each way to recognise an organisation is, and the types in order.
+SURE = {"exact": 0.95, "email": 0.85, "alias": 0.9, "domain": 0.85}
+FUZZY_FROM, FUZZY_SURE, FUZZY_GAIN, KEYWORD_EACH, KEYWORD_MOST = 0.8, 0.7, 0.15, 0.2, 0.7
+TYPES = ["academic", "industry", "government", "non_profit"]
+
+
+def organisations(rows: DataFrame, text: Column, dimension: DataFrame) -> DataFrame:
+    """``org``, ``org_type``, ``org_by`` and ``org_confidence`` of affiliations.
+    dimension: ordinal, name, type, aliases, domains, keywords.
+
+    In order: a name inside the text; an e-mail's domain, then a domain inside
+    the text, where there is an "@"; an alias inside; a domain inside, where
+    there is none; a name or an alias whose ratio to the whole text is .8 or
+    more, the best one (confidence .7 to .85); the type of whose organisations
+    most keywords are inside (no organisation, .2 a keyword, .7 at most). Within
+    one way the first organisation counts; an alias or domain that several have
+    keeps its first place and belongs to the last. Null and blank texts and
+    those that nothing recognises have none, and confidence 0."""
+    low = F.lower(F.trim(text))
+    known = rows.select(low.alias("low")).filter("low <> ''").distinct()
+    at = F.col("low").contains("@")
+
+    def needles(arm: str, values: Column, by_org: bool = False) -> DataFrame:
+        x = dimension.select("ordinal", "name", "type", F.posexplode(values).alias("i", "needle")).withColumn("needle", F.lower("needle"))
+        if by_org:
+            return x.select(F.lit(arm).alias("arm"), "ordinal", "i", "name", "type", "needle")
+        one = x.groupBy("needle").agg(F.min(F.struct("ordinal", "i")).alias("_f"), F.max_by(F.struct("name", "type"), F.struct("ordinal", "i")).alias("_o"))
+        return one.select(F.lit(arm).alias("arm"), "_f.ordinal", "_f.i", "_o.name", "_o.type", "needle")
+
+    names, aliases, domains = needles("exact", F.array("name")), needles("alias", F.col("aliases")), needles("domain", F.col("domains"))
+    words = needles("keyword", F.col("keywords"), by_org=True)
+    every = names.unionByName(aliases).unionByName(domains)
+    inside = found_inside(known, "low", every.unionByName(words), "needle")
+    hit = inside.join(small(every), "needle")
+    mail = known.filter(at).select("low", F.posexplode(F.regexp_extract_all("low", F.lit(r"@([\w.-]+\.\w+)"), 1)).alias("_k", "needle")).join(small(domains), "needle")
+    mail = mail.select("low", F.lit("email").alias("arm"), F.col("_k").alias("ordinal"), F.lit(0).alias("i"), "name", "type")
+    found = hit.select("low", "arm", "ordinal", "i", "name", "type").unionByName(mail)
+    order = F.when(F.col("arm") == "exact", 0).when(F.col("arm") == "email", 1).when(F.col("arm") == "alias", F.when(at, 3).otherwise(2)).otherwise(F.when(at, 2).otherwise(3))
+    best = first_of(found.withColumn("_o", order), ["low"], ["_o", "ordinal", "i"])
+    sure = F.coalesce(*[F.when(F.col("arm") == k, v) for k, v in SURE.items()])
+    best = best.select("low", F.col("name").alias("org"), F.col("type").alias("org_type"), F.when(F.col("arm") == "email", "domain").otherwise(F.col("arm")).alias("org_by"), sure.alias("org_confidence"))
+    rest = known.join(best.select("low"), "low", "left_anti")
+    whole = names.unionByName(aliases).withColumnRenamed("needle", "low")
+    near = near_names(rest, whole, "low", FUZZY_FROM).join(small(whole.withColumnRenamed("low", "b")), "b")
+    near = first_of(near.withColumn("_l", (F.col("arm") == "alias").cast("int")), ["a"], [F.desc("ratio"), "_l", "ordinal", "i"])
+    fuzzy = near.select(F.col("a").alias("low"), F.col("name").alias("org"), F.col("type").alias("org_type"), F.lit("fuzzy").alias("org_by"), (FUZZY_SURE + FUZZY_GAIN * (F.col("ratio") - FUZZY_FROM) / (1 - FUZZY_FROM)).alias("org_confidence"))
+    rest = rest.join(fuzzy.select("low"), "low", "left_anti")
+    counts = inside.join(small(words), "needle").join(rest, "low", "left_semi").groupBy("low", "type").agg(F.count("*").alias("n"))
+    top = first_of(counts, ["low"], [F.desc("n"), F.array_position(F.array(*map(F.lit, TYPES)), F.col("type"))])
+    keyword = top.select("low", F.lit(None).cast("string").alias("org"), F.col("type").alias("org_type"), F.lit("keyword").alias("org_by"), F.least(F.lit(KEYWORD_MOST), F.col("n") * KEYWORD_EACH).alias("org_confidence"))
+    told = best.unionByName(fuzzy).unionByName(keyword).withColumnRenamed("low", "_low")
+    out = rows.join(told, low == F.col("_low"), "left").drop("_low")
+    return out.withColumns({"org_type": F.coalesce("org_type", F.lit("unknown")), "org_by": F.coalesce("org_by", F.lit("none")), "org_confidence": F.coalesce("org_confidence", F.lit(0.0))})
 
 
 def coverage(rows: DataFrame, names: Column, expected: DataFrame, org: str) -> DataFrame:

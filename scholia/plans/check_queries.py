@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia.functions import prose
+from scholia.functions import affiliations
 from scholia.operators import quality, stages, stats
 from scholia.plans.base import papers, query, rounded, table
 
@@ -59,7 +59,7 @@ def classification_edge_cases(spark, d):
  round(avg((u > a + i)::int), 6) as review_share, .8 as academic_accuracy, 1.0 as industry_accuracy, round(least(1.0, .4 * .9 + .3 * avg(c) + .3 * (1 - avg((u > a + i)::int))), 6) as score from a""")
 def classification_validation(spark, d):
     x = _authors(spark, d).withColumn("category", F.when(F.col("u") > F.col("a") + F.col("i"), "needs_review").otherwise("other"))
-    return rounded(quality.classification_validation(x, "category", F.col("c"), lambda a: prose.affiliation_type(a)["type"]))
+    return rounded(quality.classification_validation(x, "category", F.col("c"), lambda a: affiliations.affiliation_class(a, industry=["Google", "OpenAI", "Microsoft", "Meta", "DeepMind"])["type"]))
 
 
 FORM = {"o_orderstatus": {"required": True, "options": ["F", "O"]}, "o_totalprice": {"kind": "double", "least": 2000, "most": 400000}, "o_orderpriority": {"pattern": r"^[1-4]-", "needs": "note"}}

@@ -82,16 +82,6 @@ def mapping_checks(spark, d):
     return venues.mapping_errors(mapping, table(spark, d, "nation").select(F.col("n_name").alias("canonical")))
 
 
-ORGS = [(0, "Furniture Guild", "industry", ["furniture"], ["furn.org"], []), (1, "State Building Office", "government", ["building"], [], []), (2, "Machine Works", "industry", [], [], ["mach"])]
-
-
-@query("organisation_cascade", "select c_custkey, case c_mktsegment when 'FURNITURE' then 'Furniture Guild' when 'BUILDING' then 'State Building Office' when 'MACHINERY' then 'Machine Works' end as org, case c_mktsegment when 'FURNITURE' then 'alias' when 'BUILDING' then 'alias' when 'MACHINERY' then 'keyword' end as org_by from customer")
-def organisation_cascade(spark, d):
-    dim = spark.createDataFrame(ORGS, "ordinal int, name string, type string, aliases array<string>, domains array<string>, keywords array<string>")
-    x = venues.organisations(table(spark, d, "customer"), F.col("c_mktsegment"), F.lit(None).cast("string"), dim)
-    return x.select("c_custkey", "org", "org_by")
-
-
 @query("institution_coverage", "select * from (values ('furn', (select count(*) from customer where contains(lower(c_mktsegment), 'furn'))), ('nothing', 0)) t(org, n)")
 def institution_coverage(spark, d):
     expected = spark.createDataFrame([("furn",), ("nothing",)], "org string")

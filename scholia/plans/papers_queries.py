@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import scores
 from scholia.operators import aggregates as agg
-from scholia.operators import filters, joins, quality, stats, windows
+from scholia.operators import filters, joins, optimizer, quality, stats, windows
 from scholia.plans.base import AS_OF, papers, query, rounded, table
 
 PCT = ", ".join(f"round(quantile_cont(citations, {p / 100}), 6) as p{p}" for p in agg.PERCENTS)
@@ -265,8 +265,10 @@ def text_clusters(spark, d):
 
 @query("threshold_adaptation")
 def threshold_adaptation(spark, d):
-    y = papers(spark, d).groupBy("venue", "year").agg(F.avg((F.col("citations") >= 150).cast("double")).alias("got")).withColumn("want", F.lit(0.5))
-    return rounded(stats.adapt_thresholds(y, "venue", "year", "want", "got", 0.5))
+    c = F.col("citations")
+    seen = papers(spark, d).groupBy("venue", "year").agg(F.avg((c >= 150).cast("double")).alias("precision"), F.avg((c >= 50).cast("double")).alias("recall"), F.avg((c >= 100).cast("double")).alias("efficiency"))
+    seen = seen.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+    return rounded(optimizer.adapted(seen, "venue", "year", {"paper": 0.5, "combined": 0.5, "citations": 10, "venue": 0.5}))
 
 
 # ---------------------------------------------------------------- predicates
@@ -387,15 +389,6 @@ def field_coverage(spark, d):
     return rounded(quality.field_coverage(table(spark, d, "lineitem"), "l_returnflag", ["l_quantity", "l_discount", "l_tax"]))
 
 
-@query("authorship_categories", """with c as (select author_id, list(case source when '1-URGENT' then 'industry' when '5-LOW' then 'unknown' else 'academic' end) as t from (with {papers} select * from papers) group by 1),
- s as (select author_id, len(t) as n, len(list_filter(t, lambda x: x = 'unknown')) as u, len(list_filter(t, lambda x: x = 'industry')) as i, len(list_filter(t, lambda x: x = 'academic')) as a from c)
- select case when u / n >= .5 then 'needs_review' when i > 0 then case when i / n >= .25 then 'industry' else 'collaborative' end when a / n >= .6 then 'academic' else 'mixed' end as category, count(*) as n from s group by 1""")
-def authorship_categories(spark, d):
-    kind = F.when(F.col("source") == "1-URGENT", "industry").when(F.col("source") == "5-LOW", "unknown").otherwise("academic")
-    x = papers(spark, d).groupBy("author_id").agg(F.collect_list(kind).alias("t"))
-    return x.groupBy(quality.authorship(F.col("t")).alias("category")).agg(F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------- joins
 
 

@@ -8,16 +8,6 @@ from scholia.functions import prose
 from scholia.plans.base import AS_OF, papers, query, rounded, table
 from scholia.streaming import alerts
 
-TEXT = "'Our experiments on ImageNet: results improve accuracy. We used ' || l_linenumber || '.5 billion tokens, ' || l_quantity::int || ' environments and ' || (100 + l_linenumber) || ' fps.'"
-TEXT_SPARK = "concat('Our experiments on ImageNet: results improve accuracy. We used ', l_linenumber, '.5 billion tokens, ', cast(l_quantity as int), ' environments and ', 100 + l_linenumber, ' fps.')"
-
-
-@query("domain_metrics", "select l_orderkey, l_linenumber, (l_linenumber + .5) * 1e9 as tokens, l_quantity::int::double as environments, 100.0 + l_linenumber as fps, 'ImageNet' as benchmarks from lineitem")
-def domain_metrics(spark, d):
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(TEXT_SPARK).alias("t"))
-    return x.select("l_orderkey", "l_linenumber", *[prose.metric(F.col("t"), m).alias(m) for m in ("tokens", "environments", "fps")], F.array_join(prose.benchmarks(F.col("t")), ",").alias("benchmarks"))
-
-
 def _hits(words):
     return "(" + " + ".join(f"contains(low, '{w}')::int" for w in words) + ")"
 
@@ -80,21 +70,6 @@ def field_agreement(spark, d):
                  F.count_if(prose.field_agreement("list", F.array("c_mktsegment"), F.array(F.lit("BUILDING")))).alias("list"))
 
 
-AFF = "case c_custkey % 4 when 0 then 'Dept of Physics, ' || c_mktsegment || ' University, Paris' when 1 then 'Google Research' when 2 then c_name else 'Nvidia Corporation, Ltd' end"
-
-
-@query("affiliation_types", "select c_custkey, case c_custkey % 4 when 0 then 'academic' when 2 then 'unknown' else 'industry' end as type, round(case c_custkey % 4 when 0 then 2 / 3 when 1 then 1 / 3 when 2 then 0 else .8 end, 6) as confidence, case c_custkey % 4 when 0 then c_mktsegment || ' University' when 1 then 'Google Research' when 2 then c_name else 'Nvidia Corporation' end as institution from customer")
-def affiliation_types(spark, d):
-    x = table(spark, d, "customer").select("c_custkey", F.expr(AFF).alias("a"))
-    return rounded(x.select("c_custkey", prose.affiliation_type(F.col("a")).alias("t"), prose.primary_institution(F.col("a")).alias("institution")).select("c_custkey", "t.*", "institution"))
-
-
-@query("parsed_affiliations")
-def parsed_affiliations(spark, d):
-    x = table(spark, d, "customer").select("c_custkey", F.expr(AFF).alias("a"))
-    return x.select("c_custkey", prose.parse_affiliation()("a").alias("p")).select("c_custkey", "p.*")
-
-
 @query("request_waits")
 def request_waits(spark, d):
     x = alerts.request_waits(table(spark, d, "events"), "event_type", "ts", "event_id", F.col("value") >= 20, 3, 3600)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import extract, fuzzy, scores
 from scholia.functions import text as tx
-from scholia.operators import dedup, joins
+from scholia.operators import contain, dedup, joins
 from scholia.operators.graph import connected
 from scholia.plans.base import papers, query, rounded, table
 from scholia.streaming import alerts
@@ -58,15 +58,15 @@ def title_year_hashes(spark, d):
 WORDS = ["license", "the", "email", "contact"]
 
 
-@query("keyword_counts", "select doc_id, " + ", ".join(f"((length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)})::bigint as n_{w}" for w in WORDS) + " from documents where text is not null")
+@query("keyword_counts", "select doc_id, " + ", ".join(f"((length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)})::bigint as n_{w}" for w in WORDS) + " from (select doc_id, coalesce(text, '') as text from documents)")
 def keyword_counts(spark, d):
-    low = F.lower("text")
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", *[tx.occurrences(low, w).alias(f"n_{w}") for w in WORDS])
+    low = F.lower(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", *[tx.occurrences(low, w).alias(f"n_{w}") for w in WORDS])
 
 
-@query("word_counts", r"select doc_id, len(list_filter(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+'), lambda w: w in ('the', 'und', 'que')))::bigint as n from documents where text is not null")
+@query("word_counts", r"select doc_id, len(list_filter(regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+'), lambda w: w in ('the', 'und', 'que')))::bigint as n from (select doc_id, coalesce(text, '') as text from documents)")
 def word_counts(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", tx.word_count(F.col("text"), ["the", "und", "que"]).alias("n"))
+    return table(spark, d, "documents").select("doc_id", tx.word_count(F.coalesce("text", F.lit("")), ["the", "und", "que"]).alias("n"))
 
 
 KINDS = {"en": ["the ", " and "], "de": [" der ", " und ", " die "], "es": [" que ", " los "], "fr": [" les ", " et ", " des "]}
@@ -141,8 +141,8 @@ def url_parts(spark, d):
 
 @query("contained_passages", "select b.item_id, count(*) as documents from benchmark b join documents d on contains(d.text, b.text) group by 1")
 def contained_passages(spark, d):
-    b = F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))  # a benchmark's items, few at any scale
-    return table(spark, d, "documents").select("text").join(b, F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.count("*").alias("documents"))
+    found = contain.containing(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 #: Ways to write a venue; {} is a name.

@@ -46,19 +46,9 @@ def deduplicated(alerts: DataFrame, ts: str, keys: list[str], within: str = "300
 
 def cooled_down(alerts: DataFrame, by: list[str], ts: str, tie: str, seconds: int) -> DataFrame:
     """The alerts that fire when each fired one silences its key for ``seconds``
-    (batch form: a fold in time order over each key)."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, tie], kind="stable")
-        last, keep = None, []
-        for t in pdf[ts]:
-            fire = last is None or (t - last).total_seconds() >= seconds
-            keep.append(fire)
-            last = t if fire else last
-        return pdf[keep]
-
-    return alerts.groupBy(*by).applyInPandas(fold, alerts.schema)
+    (batch form; see ``greedy.spaced``)."""
+    from scholia.operators.greedy import spaced
+    return spaced(alerts, by, ts, tie, seconds)
 
 
 def cooled_down_stream(alerts: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:

@@ -218,12 +218,6 @@ def test_notifications(spark, tmp_path):
     assert [json.loads(x)["k"] for x in got] == [2]
 
 
-def test_parse_affiliation(spark):
-    from scholia.functions import prose
-    row = spark.createDataFrame([("Dept of Physics, Stanford University, Palo Alto 94305, USA a@cs.stanford.edu",)], "a string").select(prose.parse_affiliation()("a").alias("p")).first()["p"]
-    assert (row["organisation"], row["department"], row["country"], row["email_domain"]) == ("Stanford University", "Dept of Physics", "USA", "cs.stanford.edu")
-
-
 def test_first_by_any_key_reads_whole_texts(spark, tmp_path):
     from scholia.plans import QUERIES
     head = "a shared header of more than sixty characters, the same in all of these texts: "
