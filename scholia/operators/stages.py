@@ -118,3 +118,39 @@ def run_detected(spark: SparkSession, path: str, checks: Checks, rows: DataFrame
     """The checks of each detected stage that has any, with its name."""
     parts = [checks.run(stage, rows).withColumn("stage", F.lit(stage)) for stage in detected(spark, path) if stage in checks.stages()]
     return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+# Where to look next for an extraction: step, then the step after yes, no, and without an answer.
+DECISIONS = {
+    "start": ("extract_abstract", "check_experimental_section", None),
+    "extract_abstract": ("verify_main_text", "check_experimental_section", None),
+    "verify_main_text": ("extract_main_text", "flag_inconsistency", None),
+    "check_experimental_section": ("extract_experimental", "check_appendix", None),
+    "extract_experimental": ("proceed_validation", "check_appendix", None),
+    "check_appendix": ("extract_appendix", "check_github", None),
+    "extract_appendix": ("proceed_validation", "check_github", None),
+    "check_github": ("extract_github", "limited_extraction", None),
+    "extract_github": ("proceed_validation", "limited_extraction", None),
+    "limited_extraction": (None, None, "proceed_validation"),
+    "flag_inconsistency": (None, None, "check_experimental_section"),
+}
+LAST_STEP = "proceed_validation"
+
+
+def extraction_path(answers: Column) -> Column:
+    """The steps from "start" to "proceed_validation" that a map of answers
+    (step to yes, y, no or n, whatever the case) leads through. Where the tree
+    says nothing for an answer, or an answer is missing, the next step is the
+    last. The tree has no circle, so a path is no longer than it."""
+    def arm(i: int) -> Column:
+        return F.create_map(*[F.lit(x) for step, to in DECISIONS.items() if to[i] for x in (step, to[i])])
+
+    yes, no, other = arm(0), arm(1), arm(2)
+
+    def step(path: Column, _: Column) -> Column:
+        now = F.element_at(path, -1)
+        answer = F.lower(answers[now])
+        to = F.when(answer.isin("yes", "y"), yes[now]).when(answer.isin("no", "n"), no[now]).otherwise(other[now])
+        return F.when(now == LAST_STEP, path).otherwise(F.concat(path, F.array(F.coalesce(to, F.lit(LAST_STEP)))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(DECISIONS) + 1)), F.array(F.lit("start")), step)

@@ -70,7 +70,12 @@ def field_agreement(spark, d):
                  F.count_if(prose.field_agreement("list", F.array("c_mktsegment"), F.array(F.lit("BUILDING")))).alias("list"))
 
 
-@query("request_waits")
+@query("request_waits", """with x as (select event_id, event_type, ts, (value >= 20)::int as ok, row_number() over w as n, count(*) over f as in_window, min(epoch(ts)) over f as oldest from events
+  window w as (partition by event_type order by ts, event_id), f as (partition by event_type order by epoch(date_trunc('second', ts))::bigint range between 3600 preceding and current row)),
+ y as (select *, n - coalesce(max(case when ok = 1 then n end) over (partition by event_type order by n), 0) as e, avg(ok) over (partition by event_type order by n rows between 49 preceding and current row) as r from x),
+ z as (select *, case when e >= 10 then 'offline' when e >= 5 or r < .5 then 'critical' when e >= 3 or r < .8 then 'degraded' else 'healthy' end as health from y)
+ select event_id, health, in_window, round(least(60.0, greatest(case when in_window >= 3 then oldest + 3600 - epoch(ts) else 0 end * case health when 'healthy' then 1 when 'degraded' then 2 when 'critical' then 5 else 10 end,
+  case when e > 0 then least(60.0, 2.0 ^ least(e, 16)) else 0 end) * case when event_id % 40 > 0 then least((1 + event_id % 40) / 10, 3.0) else 1 end), 6) as wait from z""")
 def request_waits(spark, d):
-    x = alerts.request_waits(table(spark, d, "events"), "event_type", "ts", "event_id", F.col("value") >= 20, 3, 3600)
+    x = alerts.request_waits(table(spark, d, "events"), "event_type", "ts", "event_id", F.col("value") >= 20, 3, 3600, size=1 + F.col("event_id") % 40)
     return rounded(x.select("event_id", "health", "in_window", "wait"))

@@ -111,15 +111,23 @@ def eta_hours(done: Column, total: Column, rate_per_minute: Column, each: int =
     return F.coalesce(F.try_divide((total - done) * each, rate_per_minute * 60), F.lit(None).cast("double"))
 
 
-def request_waits(requests: DataFrame, by: str, ts: str, tie: str, ok: Column, per_window: int = 100, window: int = 300, base: float = 1.0, cap: float = 60.0) -> DataFrame:
+# How health stretches a wait, and what large requests add.
+HEALTH_FACTORS = {"healthy": 1.0, "degraded": 2.0, "critical": 5.0, "offline": 10.0}
+SIZE_DIVISOR, SIZE_MOST = 10.0, 3.0
+
+
+def request_waits(requests: DataFrame, by: str, ts: str, tie: str, ok: Column, per_window: int = 100, window: int = 300, base: float = 1.0, cap: float = 60.0, size: Column | None = None) -> DataFrame:
     """How long the next request should wait: until the rolling window has a
-    slot, longer the worse the health, or base * 2^failures in a row; ``cap`` at
-    most. Everything comes from the rows before, so it is one window per key."""
+    slot, longer the worse the health, or base * 2^failures in a row, ``cap`` at
+    most; a request of more than one item times a tenth of its ``size``, 3 at
+    most; ``cap`` at most again. Everything comes from the rows before, so it is
+    one window per key."""
     x = health(requests, by, ts, tie, ok)
     t = F.col(ts).cast("timestamp").cast("double")
     frame = Window.partitionBy(by).orderBy(F.col(ts).cast("timestamp").cast("long")).rangeBetween(-window, 0)
     x = x.withColumns({"in_window": F.count("*").over(frame), "_oldest": F.min(t).over(frame)})
     slot = F.when(F.col("in_window") >= per_window, F.col("_oldest") + window - t).otherwise(0.0)
-    factor = F.when(F.col("health") == "healthy", 1.0).when(F.col("health") == "degraded", 1.5).when(F.col("health") == "critical", 2.0).otherwise(3.0)
-    back = F.when(F.col("trailing_errors") > 0, base * F.pow(F.lit(2.0), F.least(F.col("trailing_errors"), F.lit(16)))).otherwise(0.0)
-    return x.withColumn("wait", F.least(F.lit(cap), F.greatest(slot * factor, back))).drop("_oldest")
+    factor = F.coalesce(*[F.when(F.col("health") == k, v) for k, v in HEALTH_FACTORS.items()])
+    back = F.when(F.col("trailing_errors") > 0, F.least(F.lit(cap), base * F.pow(F.lit(2.0), F.least(F.col("trailing_errors"), F.lit(16))))).otherwise(0.0)
+    large = F.lit(1.0) if size is None else F.when(size > 1, F.least(size / SIZE_DIVISOR, F.lit(SIZE_MOST))).otherwise(1.0)
+    return x.withColumn("wait", F.least(F.lit(cap), F.greatest(slot * factor, back) * large)).drop("_oldest")

@@ -356,3 +356,20 @@ def test_detected_stages(spark, tmp_path):
     checks.register("collection", "rows", lambda df: df.agg(F.count("*").cast("double").alias("score")))
     assert stages.run_detected(spark, str(tmp_path / "run"), checks, spark.range(3)).count() == 2 and stages.run_detected(spark, str(tmp_path / "bare"), checks, spark.range(3)) is None
     assert json.loads("[]") == []
+
+
+def test_extraction_path(spark):
+    def walk(answers):
+        path = ["start"]
+        while path[-1] != stages.LAST_STEP:
+            yes, no, other = stages.DECISIONS.get(path[-1], (None, None, None))
+            said = (answers.get(path[-1]) or "").lower()
+            path.append((yes if said in ("yes", "y") else no if said in ("no", "n") else other) or stages.LAST_STEP)
+        return path
+
+    rnd = random.Random(2)
+    made = [{step: rnd.choice(["yes", "Y", "no", "N", "maybe", None]) for step in stages.DECISIONS if rnd.random() < 0.9} for _ in range(300)] + [{}]
+    frame = spark.createDataFrame([(i, a) for i, a in enumerate(made)], "i long, a map<string,string>")
+    got = {r["i"]: r["p"] for r in frame.select("i", stages.extraction_path(F.col("a")).alias("p")).collect()}
+    assert all(got[i] == walk(a) for i, a in enumerate(made)) and len({tuple(p) for p in got.values()}) > 15
+    assert max(map(len, got.values())) > 6
