@@ -29,9 +29,9 @@ ones are joined by shuffling.
 
 Results for special input: null text stays null; empty lines stay; rows that
 share a doc_id, or have none, are documents of their own, in order of their
-texts' hashes; rows that repeat another wholly get its verdicts; a null doc_id
-is the smallest; very long lines are ordinary; an empty table gives an empty
-result; other columns pass through.
+texts' hashes; of rows that repeat another wholly, all but one lose all their
+lines; a null doc_id is the smallest; very long lines are ordinary; an empty
+table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -215,20 +215,52 @@ def later_lines(docs: DataFrame, rows: _Rows, least_words: int = 1) -> DataFrame
     return materialize(gone.select(*rows.parts()), "later-lines")
 
 
+def _removed(docs: DataFrame, goes) -> DataFrame:
+    """(doc_id, text, n_removed, _rest) without the lines for which
+    ``goes(line, number)`` holds; texts that lose none are left as they are."""
+    lines = F.split(F.col("text").cast("string"), "\n", -1)
+    lost = F.coalesce(F.size(F.filter(lines, goes)), F.lit(0))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~goes(x, i)), "\n")
+    text = F.when(lost > 0, kept).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"), F.greatest(lost, F.lit(0)).cast("long").alias("n_removed"), "_rest")
+
+
 def without_later_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """``docs`` with its texts' later lines taken out, and ``n_removed``, their
-    number; lines under ``least_words`` words are left alone."""
+    number; lines under ``least_words`` words are left alone. Of rows that repeat
+    another wholly (id and text), one keeps what the first such row keeps, and
+    the others lose all their lines."""
     pair = docs.select("doc_id", "text")
     rows = _Rows(pair)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_removed")]
+    # whatever the other columns are called, they travel under one name
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0)]).alias("_rest"))
+    later = None
     with scratch(docs.sparkSession):
         gone = later_lines(pair, rows, least_words)
         lists = gone.groupBy("key").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("key", "_of")
         lists = keep(materialize(lists, "lines-to-remove"))
+    if not rows.packed:
+        again = materialize(pair.groupBy(rows.key().alias("_of")).count().filter("count > 1").select("_of"), "repeated-documents")
+        if not again.isEmpty():
+            again = _small(again)
+            same = rows.key() == F.col("_of")
+            many = materialize(whole.join(again, same).withColumn("_n", F.monotonically_increasing_id()), "rows-that-repeat")
+            first = materialize(many.groupBy("_of").agg(F.min("_n").alias("_n")).select("_n"), "first-of-repeats")
+            first = _small(first)
+            later = many.join(first, "_n", "left_anti").select(*whole.columns)
+            whole = whole.join(again, same, "left_anti").unionByName(many.join(first, "_n", "left_semi").select(*whole.columns))
     lists = F.broadcast(lists) if lists.count() <= SMALL // 4 else lists
-    out = docs.drop("n_removed").withColumn("_key", rows.key()).join(lists, F.col("_key") == F.col("_of"), "left")
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.withColumn("text", text).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).drop("_key", "_of", "_gone")
+    out = whole.join(lists, rows.key() == F.col("_of"), "left")
+    out = _removed(out, lambda x, i: F.coalesce(F.array_contains(F.col("_gone"), i), F.lit(False)))
+    if later is not None:
+        def worded(x, _):
+            plain = F.trim(F.regexp_replace(x, BREAKS, " "))
+            return (plain != "") & (_spaces(plain) >= least_words - 1)
+
+        out = out.unionByName(_removed(later, worded))
+    told = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    return out.select(*[told[c] if c in told else F.col("_rest")[c].alias(c) for c in docs.columns if c != "n_removed"], "n_removed")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

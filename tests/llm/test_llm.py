@@ -430,9 +430,10 @@ def line_rows(seed, n, pool=30):
 def test_line_join(spark, empty, monkeypatch, crowd):
     monkeypatch.setattr(linededup, "CROWD", crowd)
     rows = line_rows(4, 150) + [(1000, ""), (1001, None)] + ([(1 << 40, prose(1, 30))] if crowd == 2 else [])
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k1", F.lit(1)).withColumn("_GONE", F.lit(1)).drop("_GONE")
-    got = {r["doc_id"]: r["text"] for r in linededup.without_later_lines(docs).collect()}
-    assert got == dict(zip([r[0] for r in rows], brute_lines(rows)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.concat(F.lit(c), "doc_id") for c in ("k1", "_gone", "_of", "_key", "_again", "_rest", "ord", "key", "n_removed")})
+    out = linededup.without_later_lines(docs).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == dict(zip([r[0] for r in rows], brute_lines(rows)))
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in out for c in ("k1", "_gone", "_of", "_key", "_again", "_rest", "ord", "key"))
     assert linededup.without_later_lines(empty).count() == 0
 
 
@@ -445,6 +446,22 @@ def test_line_join_keeps_rows_apart(spark):
     assert {(r["doc_id"], r["was"]): r["text"] for r in got} == dict(zip(rows, brute_lines(rows))) and len(got) == len(rows)
 
 
+def test_line_join_with_repeated_rows(spark):
+    """Of rows that repeat another wholly one keeps its lines: as if the copies
+    came right after it."""
+    some = [(None if i % 6 == 0 else i // 4, t) for i, t in line_rows(9, 60)]
+    rows = some + some[:20] + some[5:9] * 3 + [(1, "L of some words here now\nalpha"), (1, "L of some words here now\nalpha"), (None, "alone line of five words\n\n x"), (None, "alone line of five words\n\n x"), (2, None), (2, None), (3, ""), (3, "")]
+    tie = {r["text"]: r["tie"] for r in spark.createDataFrame([(t,) for _, t in rows if t is not None], "text string").select("text", F.xxhash64("text").alias("tie")).collect()}
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie.get(r[1], 42)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("was", F.col("text")).repartition(3)
+    got = linededup.without_later_lines(frame).collect()
+    want = collections.Counter(zip(rows, brute_lines(rows)))
+    assert collections.Counter(((r["doc_id"], r["was"]), r["text"]) for r in got) == want
+    assert all(r["n_removed"] == ((r["was"] or "").count("\n") - (r["text"] or "").count("\n") if r["text"] else r["n_removed"]) for r in got)
+    short = spark.createDataFrame([(1, "a b\nw x y z v"), (1, "a b\nw x y z v")], "doc_id long, text string")
+    assert sorted(r["text"] for r in linededup.without_later_lines(short, least_words=5).collect()) == ["a b", "a b\nw x y z v"]
+
+
 def test_line_join_leaves_short_lines_if_told(spark):
     docs = spark.createDataFrame([(1, "a b\na b\nw x y z v\nw x y z v")], "doc_id long, text string")
     row, = linededup.without_later_lines(docs, least_words=5).collect()
