@@ -12,7 +12,9 @@ All nodes of a level share their rounds, so the number of jobs depends on the
 tree's depth alone. Cuts and bins are looked up by broadcast joins of one row a
 node (the number of shards bounds it), and a round sends one row a node to the
 driver. A hot source or language is cut like any other run of rows, since ties
-are parted.
+are parted. The levels work on coordinates and weights, which are written anew
+every ``LEVELS`` levels, so no job replays more splits than that; the finished
+tree is then applied to the rows themselves in one pass.
 
 Results for special input: null text has size 1 and checksum 0; a null in a
 dimension sorts first; repeated rows are told apart by row number, so they
@@ -27,11 +29,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.llm.common import materialize, table
+from scholia.llm.common import forget, materialize, table
 
 BINS = 4096
 TIE_BITS = 22
 VALUE_BITS = 26
+#: Levels after which the tree's rows are written anew.
+LEVELS = 2
 
 
 class _Dimension:
@@ -84,6 +88,13 @@ def _cuts(now: DataFrame, wants: dict[int, tuple[int, int]]) -> dict[int, int]:
     return cut
 
 
+def _split(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """``rows`` one level down: cuts are (node, dimension from 1, coordinate, right node)."""
+    found = _known(rows, cuts, "_at long, _dim int, _cut long, _right long")
+    right = F.element_at("_x", F.coalesce("_dim", F.lit(1))) > F.col("_cut")
+    return rows.join(found, F.col("_node") == F.col("_at"), "left").withColumn("_node", F.when(right, F.col("_right")).otherwise(F.col("_node"))).drop("_at", "_dim", "_cut", "_right")
+
+
 def kd_shards(docs: DataFrame, size, dims: dict[str, object], shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """``docs`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in each).
 
@@ -97,7 +108,10 @@ def kd_shards(docs: DataFrame, size, dims: dict[str, object], shards: int | None
     want = shards or max(1, round((facts[0] or 0) / target_bytes))
     known = [_Dimension(*facts[1 + 3 * i:4 + 3 * i]) for i in range(len(cols))]
     x = F.array(*[d.coordinate(i, c) for i, (d, c) in enumerate(zip(known, cols))])
-    now = base.select("_doc", "_row", "_size", x.alias("_x"), F.lit(0).cast("long").alias("_node"))
+    whole = base.select("_doc", "_row", x.alias("_x"), F.lit(0).cast("long").alias("_node"))
+    # the levels work on coordinates and weights alone, written anew every few levels
+    now = materialize(base.select("_size", x.alias("_x"), F.lit(0).cast("long").alias("_node")), "tree-rows")
+    written, steps = now, []
     # a node is named by its first shard; what it becomes follows from how many it holds
     nodes = {0: want}
     while open_ := [n for n, k in nodes.items() if k > 1]:
@@ -111,11 +125,16 @@ def kd_shards(docs: DataFrame, size, dims: dict[str, object], shards: int | None
         for n, c in _cuts(now, wants).items():
             rows.append((n, wants[n][0] + 1, c, n + nodes[n] // 2))
         if rows:
-            found = _known(now, rows, "_at long, _dim int, _cut long, _right long")
-            right = F.element_at("_x", F.coalesce("_dim", F.lit(1))) > F.col("_cut")
-            now = now.join(found, F.col("_node") == F.col("_at"), "left").withColumn("_node", F.when(right, F.col("_right")).otherwise(F.col("_node"))).drop("_at", "_dim", "_cut", "_right")
+            steps.append(rows)
+            now = _split(now, rows)
+            if len(steps) % LEVELS == 0:
+                now = materialize(now, "tree-rows")
+                forget(written)
+                written = now
         nodes = {m: j for n, k in nodes.items() for m, j in ([(n, k // 2), (n + k // 2, k - k // 2)] if k > 1 else [(n, k)])}
-    out = now.withColumn("shard", F.col("_node").cast("int"))
+    for rows in steps:  # the whole tree, once, over the rows themselves
+        whole = _split(whole, rows)
+    out = whole.withColumn("shard", F.col("_node").cast("int"))
     # slots: number rows inside small blocks, then add what the blocks before hold
     rows = base.count()
     blocks = max(1, rows // 200_000) * 16

@@ -7,15 +7,18 @@ of voters whose rows mostly lie in a stronger one's, only that one is heard. A g
 EM over labelled *and* unlabelled rows, estimates each voter's sensitivity and
 false-alarm rate and, in every round, the correlations between voters that the
 two classes leave unexplained; voters that repeat each other share their weight.
-It doesn't see the labels, but for those of one labelled row in ``GOLD`` that
-anchor which class is which. Its posteriors, not the labels, are the targets of
-a sparse logistic model over the voters' features, and that model scores every
+Labels enter it in two ways: all of them propose voters and give each voter's
+first beliefs (as many rows' worth as ``label_model`` says), from which EM moves
+away; and one labelled row in ``GOLD`` keeps its label, which anchors which
+class is which. So it is supervision weakened, not done without. Its posteriors,
+not the labels, are the targets of a sparse logistic model over the voters' features, and that model scores every
 row in one map over the whole texts: no shuffle.
 
 Fitting looks at no more than ``SAMPLE`` labelled rows of each class and as many
 unlabelled ones (those with the smallest hashes of doc_id; rows held out take no
 part); the intercept is corrected for that choice. Voters are counted in Spark,
-and the driver sees, for these rows, the at most ``FEATURES`` chosen ones only.
+and the driver sees, for these rows, the at most ``FEATURES`` chosen ones only:
+up to 9,000 rows by 4,096 voters.
 The model is a few tens of kilobytes.
 
 Only the text enters a score. Results for special input: null and empty texts
