@@ -49,9 +49,10 @@ def _by_row(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
     """``docs`` without those whose key is among the one column of ``gone``."""
-    gone = materialize(gone.toDF("_gone").distinct(), "documents-to-drop")
+    name = free_name(docs, "_gone")
+    gone = materialize(gone.toDF(name).distinct(), "documents-to-drop")
     gone = F.broadcast(gone) if gone.count() <= SMALL else gone
-    return docs.join(gone, key == F.col("_gone"), "left_anti")
+    return docs.join(gone, key == F.col(name), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +65,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat or nearly repeat an earlier line go, short ones too;
     documents stay."""
-    out = linededup.without_later_lines(docs)
-    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    own = free_name(docs, "_own")  # a column n_removed of the documents is theirs
+    out = linededup.without_later_lines(docs.withColumnRenamed("n_removed", own)).drop("n_removed").withColumnRenamed(own, "n_removed")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,14 +80,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     left = _without(docs, found.select(F.struct(F.col("doc_id").alias("id"), "loc")), key)
     # rows that repeat another in id and text, or in text if they have no id
     worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
-    again = left.filter(worded).groupBy(key.alias("_again")).count().filter("count > 1").select("_again")
+    held, name = free_name(docs, "_again"), free_name(docs, "_name")
+    again = left.filter(worded).groupBy(key.alias(held)).agg(F.count("*").alias("n")).filter("n > 1").select(held)
     again = materialize(again, "repeated-documents")
     if again.isEmpty():
         return left
-    name = free_name(docs, "_name")
     again = F.broadcast(again) if again.count() <= SMALL else again
-    once = left.filter(worded).join(again, key == F.col("_again"), "left_semi").withColumn(name, key).dropDuplicates([name]).select(*docs.columns)
-    return left.join(again, worded & (key == F.col("_again")), "left_anti").unionByName(once)
+    once = left.filter(worded).join(again, key == F.col(held), "left_semi").withColumn(name, key).dropDuplicates([name]).select(*docs.columns)
+    return left.join(again, worded & (key == F.col(held)), "left_anti").unionByName(once)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
