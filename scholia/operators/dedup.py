@@ -86,15 +86,24 @@ BLEND, OTHER_YEAR = (0.6, 0.2, 0.1, 0.1), 0.5
 def blended_pairs(papers: DataFrame, ident: str, title: str, authors: str, year: str, venue: str, least: float = 0.85) -> DataFrame:
     """(a, b, score): pairs a < b whose blend of title ratio, author Jaccard,
     year and venue ratio is ``least`` or more. Above .8 that takes a common
-    author, so pairs meet under their authors' names and none is missed."""
+    author and titles of a ratio of (least - .4) / .6 at least, so pairs meet
+    under an author and a rare bigram of the title, or the whole title, and none
+    is missed. Only ids travel until a pair's authors and years allow the score."""
     p = papers.select(F.col(ident).alias("id"), F.lower(title).alias("t"), F.array_distinct(F.transform(authors, lambda x: F.lower(x))).alias("au"), F.col(year).alias("y"), F.lower(venue).alias("v"))
-    x, y = (p.select([F.col(c).alias(f"{c}_{s}") for c in p.columns]) for s in "ab")
-    met = x.withColumn("n", F.explode("au_a")).join(y.withColumn("n", F.explode("au_b")), "n").filter("id_a < id_b").drop("n").dropDuplicates(["id_a", "id_b"])
+    titles = p.select(F.col("t").alias("_s")).filter("_s is not null").distinct()
+    tokens = _bigrams(titles, "_s", (least - BLEND[1] - BLEND[2] - BLEND[3]) / BLEND[0]).select("_s", "token").unionByName(titles.select("_s", F.concat(F.lit("= "), "_s").alias("token")))
+    by = p.select("id", "t", F.explode("au").alias("n")).join(tokens, F.col("t") == F.col("_s")).select("id", F.xxhash64("n", "token").alias("k"))
+    met = by.withColumnRenamed("id", "a").join(by.withColumnRenamed("id", "b"), "k").filter("a < b").select("a", "b").distinct()
+    facts = p.select("id", "au", "y")
+    x, y = (facts.select([F.col(c).alias(f"{c}_{s}") for c in facts.columns]) for s in "ab")
     jaccard = F.size(F.array_intersect("au_a", "au_b")) / F.size(F.array_union("au_a", "au_b"))
     rest = BLEND[1] * jaccard + BLEND[2] * F.when(F.col("y_a").eqNullSafe(F.col("y_b")), 1.0).otherwise(OTHER_YEAR)
-    met = met.withColumn("rest", rest).filter(F.col("rest") >= least - BLEND[0] - BLEND[3])
+    met = met.join(x, F.col("a") == F.col("id_a")).join(y, F.col("b") == F.col("id_b")).select("a", "b", rest.alias("rest")).filter(F.col("rest") >= least - BLEND[0] - BLEND[3])
+    names = p.select("id", "t", "v")
+    x, y = (names.select([F.col(c).alias(f"{c}_{s}") for c in names.columns]) for s in "ab")
+    met = met.join(x, F.col("a") == F.col("id_a")).join(y, F.col("b") == F.col("id_b"))
     like = fuzzy.similarity("difflib")
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), (BLEND[0] * like("t_a", "t_b") + F.col("rest") + BLEND[3] * like("v_a", "v_b")).alias("score")).filter(F.col("score") >= least)
+    return met.select("a", "b", (BLEND[0] * like("t_a", "t_b") + F.col("rest") + BLEND[3] * like("v_a", "v_b")).alias("score")).filter(F.col("score") >= least)
 
 
 def best_of_groups(rows: DataFrame, ident: str, pairs: DataFrame, order: list) -> DataFrame:

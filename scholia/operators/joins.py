@@ -109,9 +109,11 @@ def missing_expected(expected: DataFrame, seen: DataFrame, key: str) -> DataFram
 
 
 def grid_coverage(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Every combination of the values of two small dimensions, with its count."""
-    grid = rows.select(a).distinct().crossJoin(F.broadcast(rows.select(b).distinct()))
-    return grid.join(rows.groupBy(a, b).agg(F.count("*").alias("n")), [a, b], "left").na.fill(0, ["n"])
+    """Every combination of the values of two dimensions, with its count; the
+    grid is the result, so both should be small."""
+    n = rows.groupBy(a, b).agg(F.count("*").alias("n"))
+    grid = n.select(a).distinct().crossJoin(small(n.select(b).distinct()))
+    return grid.join(n, [a, b], "left").na.fill(0, ["n"])
 
 
 def priority_routing(rows: DataFrame, routes: DataFrame, key: str, source: str, position: str) -> DataFrame:

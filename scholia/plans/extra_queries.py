@@ -32,11 +32,19 @@ def gpu_configuration(spark, d):
     return table(spark, d, "part").select("p_partkey", scores.gpu_count_verdict(kind, F.col("p_size") * 30).alias("verdict"))
 
 
-@query("mapping_update", "select 'a' as raw, 'NATION_1' as canonical union all select 'b', 'NATION_2'")
+#: What has been learned of each supplier's name: a canonical nation, or one that is none, or itself.
+_LEARNED = "l as (select s_name as raw, case s_suppkey % 5 when 0 then 'nowhere' when 1 then s_name else 'NATION_' || s_nationkey end as canonical, (s_suppkey % 10) / 10 as confidence from supplier)"
+
+
+@query("mapping_update", f"""with {_LEARNED}, old as (select s_name as raw, 'NATION_1' as canonical from supplier where s_suppkey % 9 = 0)
+ select * from old union all select raw, canonical from l where confidence >= .8 and raw <> canonical and canonical in (select n_name from nation) and raw not in (select raw from old)""")
 def mapping_update(spark, d):
-    old = spark.createDataFrame([("a", "NATION_1")], "raw string, canonical string")
-    new = spark.createDataFrame([("a", "NATION_3", 0.9), ("b", "NATION_2", 0.85), ("c", "NATION_2", 0.5), ("d", "nowhere", 0.99), ("NATION_4", "NATION_4", 1.0)], "raw string, canonical string, confidence double")
-    return venues.mapping_update(old, new, table(spark, d, "nation").select(F.col("n_name").alias("canonical")))
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    old = s.filter(k % 9 == 0).select(F.col("s_name").alias("raw"), F.lit("NATION_1").alias("canonical"))
+    canonical = F.when(k % 5 == 0, "nowhere").when(k % 5 == 1, F.col("s_name")).otherwise(F.concat(F.lit("NATION_"), "s_nationkey"))
+    learned = s.select(F.col("s_name").alias("raw"), canonical.alias("canonical"), ((k % 10) / 10).alias("confidence"))
+    return venues.mapping_update(old, learned, table(spark, d, "nation").select(F.col("n_name").alias("canonical")))
 
 
 @query("mapping_statistics", "with {papers}, c as (select case when venue = 'NATION_1' then 1.0 when venue = 'NATION_2' then .96 when venue = 'NATION_3' then .92 end as c from papers) select count(*) as n, count(*) filter (c = 1) as exact, count(*) filter (c >= .95 and c < 1) as high, count(*) filter (c >= .9 and c < .95) as medium, count(*) filter (c is null) as unmapped from c")

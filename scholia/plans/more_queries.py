@@ -171,9 +171,10 @@ def richness_buckets(spark, d):
     return rounded(reports.bucket_report(papers(spark, d).withColumn("bucket", b), "bucket"))
 
 
-@query("venue_recommendations", "with {papers}, v as (select venue, count(*) as n, count(*) filter (citations >= 450) as b, stddev_pop(citations) as s, avg(citations) as m from papers group by 1) select venue, 'few papers' as note from v where n < 20 union all select venue, 'few breakthroughs' from v where b < 2 union all select venue, 'wide spread' from v where s > 2 * m")
+@query("venue_recommendations", """with {papers}, v as (select venue || ' ' || year || ' ' || status as venue, count(*) as n, count(*) filter (citations >= 470) as b, stddev_pop(citations) as s, avg(citations) as m from papers group by 1)
+ select venue, 'few papers' as note from v where n < 20 union all select venue, 'few breakthroughs' from v where b < 2 union all select venue, 'wide spread' from v where s > 2 * m""")
 def venue_recommendations(spark, d):
-    v = papers(spark, d).groupBy("venue").agg(F.count("*").alias("n"), F.count_if(F.col("citations") >= 450).alias("breakthroughs"), F.stddev_pop("citations").alias("std"), F.avg("citations").alias("mean"))
+    v = papers(spark, d).groupBy(F.concat_ws(" ", "venue", "year", "status").alias("venue")).agg(F.count("*").alias("n"), F.count_if(F.col("citations") >= 470).alias("breakthroughs"), F.stddev_pop("citations").alias("std"), F.avg("citations").alias("mean"))
     return reports.recommendations(v, "venue")
 
 

@@ -92,20 +92,35 @@ def letter_grades(spark, d):
     return papers(spark, d).select("paper_id", tx.grade(F.col("citations") / 500).alias("grade"))
 
 
-PROSE = "'We trained on ' || (l_linenumber + 1) || ' V100 GPUs for ' || l_quantity::int || ' days. The model has ' || l_linenumber || '.5 billion parameters and cost $' || l_extendedprice::int || '.'"
-PROSE_SPARK = "concat('We trained on ', l_linenumber + 1, ' V100 GPUs for ', cast(l_quantity as int), ' days. The model has ', l_linenumber, '.5 billion parameters and cost $', cast(l_extendedprice as int), '.')"
 
 
-@query("requirements", "select l_orderkey, l_linenumber, 'V100' as gpu_type, (l_linenumber + 1)::bigint as gpu_count, l_quantity * 24 as training_hours, (l_linenumber + .5) * 1000 as parameters_millions, (l_linenumber + 1) * l_quantity * 24 as gpu_hours, 1.0 as confidence from lineitem")
+#: Sentences by line number: <> is the line's number, [] the number after it, {} its quantity. Each reaches other patterns.
+RESOURCES = ["We trained on [] V100 GPUs for {} days. The model has <>.5 billion parameters.", "{} x A100 for 3 weeks, model size: <> B, total: {},000 GPU-hours following [3]", "trained on [] T4 in parallel on 4 nodes for 2.5 hours, <>00 million parameters",
+             "pre-training, then fine-tuning with cloud credits of 5,000 dollars; {} times more compute", "", "for {} hours"]
+_Q, _N = "l_quantity::int", "l_linenumber"
+
+
+def _told(values: list[str]) -> str:
+    return "case l_linenumber % 6 " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
+
+
+def _resources(spark, d):
+    text = F.get(F.array(*map(F.lit, RESOURCES)), (F.col("l_linenumber") % 6).cast("int"))
+    for mark, value in (("{}", F.col("l_quantity").cast("int")), ("<>", F.col("l_linenumber")), ("[]", F.col("l_linenumber") + 1)):
+        text = F.replace(text, F.lit(mark), value.cast("string"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t"))
+
+
+@query("requirements", f"""select l_orderkey, l_linenumber, {_told(["'V100'", "'A100'", "'T4'", 'null', 'null', 'null'])} as gpu_type, ({_told([f'{_N} + 1', _Q, f'{_N} + 1', 'null', 'null', 'null'])})::bigint as gpu_count,
+ ({_told([f'{_Q} * 24', '504', '2.5', 'null', 'null', _Q])})::double as training_hours, ({_told([f'({_N} + .5) * 1000', f'{_N} * 1000', f'{_N} * 100', 'null', 'null', 'null'])})::double as parameters_millions,
+ ({_told([f'({_N} + 1) * {_Q} * 24', f'{_Q} * 1000', f'({_N} + 1) * 2.5', 'null', 'null', 'null'])})::double as gpu_hours, ({_told(['1', '1', '1', '0', '0', 'round(1 / 6 + .2, 6)'])})::double as confidence from lineitem""")
 def requirements(spark, d):
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", extract.requirements(F.expr(PROSE_SPARK)).alias("r"))
-    return rounded(x.select("l_orderkey", "l_linenumber", "r.*"))
+    return rounded(_resources(spark, d).select("l_orderkey", "l_linenumber", extract.requirements(F.col("t")).alias("r")).select("l_orderkey", "l_linenumber", "r.*"))
 
 
-@query("pattern_kinds", "select l_orderkey, l_linenumber, 'explicit_resource' as first_kind, 2 as kinds from lineitem")
+@query("pattern_kinds", f"""select l_orderkey, l_linenumber, {_told(["'explicit_resource'", "'explicit_resource,implicit_information'", "'distributed_training'", "'multiple_phases,cloud_credits,relative_reference'", "''", "''"])} as kinds from lineitem""")
 def pattern_kinds(spark, d):
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", extract.pattern_kinds(F.expr(PROSE_SPARK)).alias("k"))
-    return x.select("l_orderkey", "l_linenumber", F.get("k", F.lit(0)).alias("first_kind"), F.size("k").alias("kinds"))
+    return _resources(spark, d).select("l_orderkey", "l_linenumber", F.array_join(extract.pattern_kinds(F.col("t")), ",").alias("kinds"))
 
 
 @query("suppression_scores", """with x as (select p_partkey, p_size % 7 as a, nullif(p_size % 6, 5) as s, p_size % 5 as b, p_size as c from part),
@@ -243,7 +258,9 @@ def alert_suppression(spark, d):
     return rounded(alerts.effectiveness(alerts.suppressed(table(spark, d, "events"), "event_type", "ts", "event_id", 2, 3600), "event_type"))
 
 
-@query("alert_cooldown")
+@query("alert_cooldown", """with recursive f as (select event_type, min({'t': ts, 'e': event_id}) as x from events group by 1
+ union all select f.event_type, min({'t': e.ts, 'e': e.event_id}) from f join events e on e.event_type = f.event_type and e.ts >= f.x.t + interval 86400 second group by f.event_type, f.x)
+ select x.e as event_id, event_type, x.t as ts from f""")
 def alert_cooldown(spark, d):
     return alerts.cooled_down(table(spark, d, "events").select("event_id", "event_type", "ts"), ["event_type"], "ts", "event_id", 86400)
 
