@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.scores import adaptive_threshold, base_threshold
-from scholia.operators.joins import small
+from scholia.operators.joins import settled
 from scholia.operators.quantiles import counted, quantiles, same_join, with_quantiles
 
 PERCENTS = [10, 25, 50, 75, 80, 90, 95, 99]
@@ -37,10 +37,10 @@ def adaptive_thresholds(papers: DataFrame, as_of_year: int, venue="venue", year=
     per = papers.groupBy(venue, year).agg(F.count("*").alias("n"), F.max(tier).alias("tier"), F.max(count).alias("most"))
     per = same_join(per, quantiles(once, [venue, year], count, shares([50, 70, 75, 80, 90])), [venue, year], "left")
     base = base_threshold(F.col("tier"), F.col(year), as_of_year)
-    per = per.withColumn("threshold", adaptive_threshold(base, F.col("p75"), F.col("p70"), F.col("most")))
+    per = settled(per.withColumn("threshold", adaptive_threshold(base, F.col("p75"), F.col("p70"), F.col("most"))))
     # what reaches a threshold is counted on the counted values
-    above = once.withColumnRenamed("n", "_k").join(small(per.select(venue, year, "threshold")), [venue, year]).groupBy(venue, year).agg(F.sum(F.when(F.col(count) >= F.col("threshold"), F.col("_k")).otherwise(0)).alias("above"))
-    return per.join(small(above), [venue, year]).select(venue, year, "n", "threshold", F.least(F.lit(1.0), F.col("n") / 50).alias("confidence"), "above",
+    above = once.withColumnRenamed("n", "_k").join(per.select(venue, year, "threshold"), [venue, year]).groupBy(venue, year).agg(F.sum(F.when(F.col(count) >= F.col("threshold"), F.col("_k")).otherwise(0)).alias("above"))
+    return per.join(above, [venue, year]).select(venue, year, "n", "threshold", F.least(F.lit(1.0), F.col("n") / 50).alias("confidence"), "above",
                                                   *[F.col(f"p{p}").cast("long").alias(f"alternative_{p}") for p in (50, 80, 90)])
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.operators.graph import shared_folder
 from scholia.operators.joins import SMALL, small
 
 WIDTH = 3
@@ -43,7 +44,8 @@ def containing(texts: DataFrame, ident: str, text: str, passages: DataFrame, key
     often = said.join(small(own.select("_g").distinct()), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_n"))
     # a gram that no text has is the rarest, and its passage is nowhere
     rare = own.join(often, "_g", "left").groupBy("_k", "_p").agg(F.min_by(F.struct("_g", "_n"), F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_r"))
-    rare = rare.filter("_r._n is not null").select("_k", "_p", F.col("_r._g").alias("_g"))
+    shared_folder(texts.sparkSession)
+    rare = rare.filter("_r._n is not null").select("_k", "_p", F.col("_r._g").alias("_g")).checkpoint()  # the count over the texts is done once
     if rare.limit(SMALL + 1).count() <= SMALL:
         met = t.select("_i", "_t", F.explode(_grams(_words(F.col("_t")))).alias("_g")).join(F.broadcast(rare), "_g")
     else:  # texts travel once, behind the pairs
@@ -74,8 +76,9 @@ def found_inside(texts: DataFrame, text: str, needles: DataFrame, needle: str) -
     said = t.select("_t", F.explode(_letters(F.col("_t"))).alias("_g"))
     own = p.filter(F.length("_p") >= LETTERS).select("_p", F.explode(_letters(F.col("_p"))).alias("_g"))
     often = said.join(small(own.select("_g").distinct()), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_n"))
-    rare = own.join(small(often), "_g", "left").groupBy("_p").agg(F.min_by(F.struct("_g", "_n"), F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_r")).filter("_r._n is not null")
-    found = said.join(small(rare.select("_p", F.col("_r._g").alias("_g"))), "_g").filter(F.contains("_t", "_p")).select("_t", "_p")
+    shared_folder(texts.sparkSession)
+    rare = own.join(often, "_g", "left").groupBy("_p").agg(F.min_by(F.struct("_g", "_n"), F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_r")).filter("_r._n is not null").select("_p", F.col("_r._g").alias("_g")).checkpoint()
+    found = said.join(small(rare), "_g").filter(F.contains("_t", "_p")).select("_t", "_p")
     short = p.filter(F.length("_p") < LETTERS)
     if not short.isEmpty():
         found = found.unionByName(t.join(small(short), F.contains("_t", "_p")).select("_t", "_p"))

@@ -12,7 +12,6 @@ from scholia.functions.scores import match_confidence
 from scholia.functions.text import title_key
 from scholia.operators.graph import connected
 from scholia.operators.greedy import first_by_any, leaders as led_groups  # noqa: F401
-from scholia.operators.joins import small
 from scholia.operators.windows import first_of
 
 
@@ -24,7 +23,7 @@ def _bigrams(names: DataFrame, name: str, least: float) -> DataFrame:
     n = F.length(name)
     rows = names.select(name, n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(F.col(name), i, F.lit(2)))).alias("g"))
     rows = rows.groupBy(name, "n", "g").agg(F.count("*").alias("c")).select(name, "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda k: F.concat("g", F.lit("#"), k))).alias("token"))
-    rows = rows.join(small(rows.groupBy("token").agg(F.count("*").alias("f"))), "token")
+    rows = rows.join(rows.groupBy("token").agg(F.count("*").alias("f")), "token")
     keep = (F.col("n") - 1) - F.greatest(F.lit(1), F.floor(F.col("n") - 1 - 4 * (1 - least) / least * F.col("n"))) + 1
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(name).orderBy("f", "token"))).filter((F.col("r") <= keep) & (F.col("f") > 1)).select(name, "n", "token")
 
@@ -36,7 +35,7 @@ def near_names(left: DataFrame, right: DataFrame, name: str, least: float) -> Da
     grams = _bigrams(x.unionByName(y).distinct(), "_s", least)
     a = grams.join(x, "_s", "left_semi").select(F.col("_s").alias("a"), F.col("n").alias("na"), "token")
     b = grams.join(y, "_s", "left_semi").select(F.col("_s").alias("b"), F.col("n").alias("nb"), "token")
-    met = a.join(small(b), "token").filter((F.col("a") != F.col("b")) & (2 * F.least("na", "nb") >= least * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
+    met = a.join(b, "token").filter((F.col("a") != F.col("b")) & (2 * F.least("na", "nb") >= least * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
     far = met.withColumn("ratio", fuzzy.similarity("ratio")("a", "b")).filter(F.col("ratio") >= least)
     return far.unionByName(x.join(y, "_s").select(F.col("_s").alias("a"), F.col("_s").alias("b"), F.lit(1.0).alias("ratio")))
 

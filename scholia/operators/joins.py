@@ -18,6 +18,14 @@ def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A small aggregate, computed once and written down: its count, its
+    broadcast and its readers don't compute it again. Hinted as ``small``."""
+    from scholia.operators.graph import shared_folder
+    shared_folder(df.sparkSession)
+    return small(df.checkpoint())
+
+
 def lookup_cascade(rows: DataFrame, steps: list[tuple[DataFrame, Column, str]], key: str, value: str, name: str = "found") -> DataFrame:
     """Left joins in order; the first step that knows the key wins. steps:
     (dimension with ``key`` and ``value``, lookup expression, label)."""

@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.operators.graph import shared_folder
-from scholia.operators.joins import small
 
 
 def same_join(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """``a`` and ``b`` joined by ``by``, nulls equal; b's copies of it go."""
+    """``a`` and ``b`` joined by ``by``, nulls equal; b's copies of it go. ``b``
+    is an aggregate, so adaptive execution knows its size before it joins; with
+    an empty ``by`` it is one row."""
     renamed = b.select(*[F.col(c).alias(f"_{c}_") for c in by], *[c for c in b.columns if c not in by])
     on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in by], F.lit(True))
-    return a.join(small(renamed), on, how).drop(*[f"_{c}_" for c in by])
+    return a.join(renamed if by else F.broadcast(renamed), on, how).drop(*[f"_{c}_" for c in by])
 
 
 def counted(rows: DataFrame, by: list[str], value: str) -> DataFrame:

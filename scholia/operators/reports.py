@@ -67,3 +67,30 @@ def filtering_quality(before: DataFrame, after: DataFrame, key: str, venue: str,
 def source_metrics(rows: DataFrame, source: str, hit: Column, latency: Column, fields: list[str]) -> DataFrame:
     cover = [F.avg(F.col(f).isNotNull().cast("double")).alias(f"has_{f}") for f in fields]
     return rows.groupBy(source).agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("hit_rate"), F.avg(latency).alias("latency"), *cover)
+
+
+# The sources that enrich papers, and the kinds of identifiers that are theirs.
+ENRICHERS = {"openalex": "openalex", "semanticscholar": "s2_paper"}
+
+
+def enrichment_statistics(papers: DataFrame) -> DataFrame:
+    """Per source of ENRICHERS: papers that have anything of it (an identifier,
+    a citation record or an abstract), citation records, abstracts. Columns as
+    in ``schema.PAPER_DDL``; nulls have nothing."""
+    parts = []
+    for source, kind in ENRICHERS.items():
+        said = lambda c: F.coalesce(F.exists(c, lambda r: r["source"] == source), F.lit(False))  # noqa: B023,E731
+        named = F.coalesce(F.exists("identifiers", lambda r: r["data"]["identifier_type"] == kind), F.lit(False))  # noqa: B023
+        if source == "openalex":
+            named = named | F.coalesce(F.length("openalex_id") > 0, F.lit(False))
+        cited, told = said("citations"), said("abstracts")
+        parts.append(F.struct(F.lit(source).alias("source"), (named | cited | told).cast("int").alias("e"), cited.cast("int").alias("c"), told.cast("int").alias("a")))
+    x = papers.select(F.explode(F.array(*parts)).alias("_p")).select("_p.*")
+    return x.groupBy("source").agg(F.sum("e").alias("papers_enriched"), F.sum("c").alias("citations_found"), F.sum("a").alias("abstracts_found"))
+
+
+def failures(rows: DataFrame, ident: str, kind: str, permanent: str) -> DataFrame:
+    """Failed rows as they are handed on: permanent failures first, then by kind
+    and id, each with how many its kind has."""
+    n = rows.groupBy(permanent, kind).agg(F.count("*").alias("of_kind"))
+    return rows.join(F.broadcast(n), [permanent, kind]).orderBy(F.desc(permanent), kind, ident)  # kinds of errors, a handful

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholia.operators.joins import small
+from scholia.operators.joins import settled
 from scholia.operators.quantiles import counted, quantiles, with_quantiles
 
 
@@ -24,10 +24,9 @@ def outliers(rows: DataFrame, by: str, value: str, z: float = 3.0, iqr: float =
     spreadless groups: z needs 3 values, quartiles 4 (without a spread: z), the
     median deviation 10 (below: quartiles). Rows without a group are left out."""
     rows = rows.filter(F.col(by).isNotNull())
-    s = _spread(rows, by, value)
-    x = rows.join(small(s), by)
+    x = rows.join(settled(_spread(rows, by, value)), by)
     far = x.select(by, F.abs(F.col(value) - F.col("_med")).alias("_dev"))
-    x = x.join(small(quantiles(counted(far, [by], "_dev"), [by], "_dev", {"_mad": 0.5})), by, "left")
+    x = x.join(settled(quantiles(counted(far, [by], "_dev"), [by], "_dev", {"_mad": 0.5})), by, "left")
     v = F.col(value)
     is_z = (F.col("_n") >= 3) & (F.col("_std") > 0) & F.coalesce(F.abs(F.try_divide(v - F.col("_mean"), F.col("_std"))) > z, F.lit(False))
     width = F.col("_q3") - F.col("_q1")
@@ -211,3 +210,24 @@ def sample_by_strata(rows: DataFrame, stratum: str, ident: str, size: int, how:
         rest = ranked.filter("_r > _q").select(rows.columns).orderBy(key, ident).limit(size - chosen.count())
         chosen = chosen.unionByName(rest)
     return chosen.drop("_s")
+
+
+# What counts as recent on average, and usual means and deviations.
+RECENT = 2020
+NORMS = {"gpu_hours": (500, 300), "parameters": (100, 200), "batch_size": (32, 16)}
+WITHIN = 3.0
+
+
+def outlier_pattern(outliers: DataFrame, papers: DataFrame, field: str = "field", year: str = "year") -> DataFrame:
+    """Per field: how many outliers, of how many papers, their first and last
+    year (0 and null are none) and whether they are recent on average."""
+    y = F.when(F.col(year) != 0, F.col(year))
+    n = outliers.groupBy(F.coalesce(field, F.lit("unknown")).alias("field")).agg(F.count("*").alias("n"), F.min(y).alias("min_year"), F.max(y).alias("max_year"), F.when(F.avg(y) > RECENT, "recent").when(F.count(y) > 0, "historical").alias("concentration"))
+    return n.crossJoin(F.broadcast(papers.agg(F.count("*").alias("papers")))).withColumn("rate", F.col("n") / F.nullif("papers", F.lit(0)))  # one row
+
+
+def within_norms(name: str, value: Column) -> Column:
+    """Whether a value is less than three deviations from its usual mean; null
+    and values up to 0 aren't judged."""
+    mean, std = NORMS[name]
+    return F.when(value > 0, F.abs(value - mean) / std < WITHIN)

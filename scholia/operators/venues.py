@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholia.functions.scores import ladder, weighted
 from scholia.operators.contain import found_inside
 from scholia.operators.dedup import near_names
+from scholia.operators.graph import shared_folder
 from scholia.operators.joins import best_match, small
 from scholia.operators.windows import first_of
 
@@ -61,7 +62,8 @@ def organisations(rows: DataFrame, text: Column, dimension: DataFrame) -> DataFr
     keeps its first place and belongs to the last. Null and blank texts and
     those that nothing recognises have none, and confidence 0."""
     low = F.lower(F.trim(text))
-    known = rows.select(low.alias("low")).filter("low <> ''").distinct()
+    shared_folder(rows.sparkSession)
+    known = rows.select(low.alias("low")).filter("low <> ''").distinct().checkpoint()
     at = F.col("low").contains("@")
 
     def needles(arm: str, values: Column, by_org: bool = False) -> DataFrame:
@@ -74,7 +76,7 @@ def organisations(rows: DataFrame, text: Column, dimension: DataFrame) -> DataFr
     names, aliases, domains = needles("exact", F.array("name")), needles("alias", F.col("aliases")), needles("domain", F.col("domains"))
     words = needles("keyword", F.col("keywords"), by_org=True)
     every = names.unionByName(aliases).unionByName(domains)
-    inside = found_inside(known, "low", every.unionByName(words), "needle")
+    inside = found_inside(known, "low", every.unionByName(words), "needle").checkpoint()
     hit = inside.join(small(every), "needle")
     mail = known.filter(at).select("low", F.posexplode(F.regexp_extract_all("low", F.lit(r"@([\w.-]+\.\w+)"), 1)).alias("_k", "needle")).join(small(domains), "needle")
     mail = mail.select("low", F.lit("email").alias("arm"), F.col("_k").alias("ordinal"), F.lit(0).alias("i"), "name", "type")

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholia.streaming.ordered import Ordered, micros, moment, ready
+
 # The built-in alert rules: name, condition, severity.
 RULES = [("low_rate", "papers_per_minute < 10", "warning"), ("high_memory", "memory_percent > 80", "warning"), ("memory_critical", "memory_percent > 95", "critical"),
          ("high_cpu", "cpu_percent > 90", "warning"), ("error_rate", "errors > 0.1 * (processed + errors)", "error")]
@@ -51,24 +53,37 @@ def cooled_down(alerts: DataFrame, by: list[str], ts: str, tie: str, seconds: in
     return spaced(alerts, by, ts, tie, seconds)
 
 
-def cooled_down_stream(alerts: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
-    """The streaming form, with the last firing as each key's state."""
-    import pandas as pd
-
-    def step(key, batches, state):
-        last = state.get[0] if state.exists else None
-        for pdf in batches:
-            out = []
-            for t in sorted(pdf[ts]):
-                if last is None or (t.timestamp() - last) >= seconds:
-                    last = t.timestamp()
-                    out.append((key[0], t))
-            if out:
-                yield pd.DataFrame(out, columns=["key", "fired_at"])
-        if last is not None:
-            state.update((float(last),))
-
-    return alerts.groupBy(by).applyInPandasWithState(step, "key string, fired_at timestamp", "last double", "append", "NoTimeout")
+class Silenced(Ordered):
+    """A key's state is the time of its last firing; it ends with the silence."""
+
+    row = "seen boolean"
+    state = "fired long"
+
+    def __init__(self, ts: str, seconds: int):
+        self.ts, self.span = ts, seconds * 1_000_000
+
+    def read(self, row):
+        return micros(row[self.ts]), 0, (True,)  # rows of one time are one firing at most
+
+    def take(self, key, us, row, now):
+        if now is not None and us < now[0] + self.span:
+            return now, []
+        return (us,), [{"key": key[0], "fired_at": moment(us)}]
+
+    def due(self, now):
+        return now[0] + self.span
+
+    def lapse(self, key, us, now):
+        return None, []
+
+
+def cooled_down_stream(alerts: DataFrame, by: str, ts: str, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """(key, fired_at): the streaming form of ``cooled_down``, in event-time
+    order whatever order the rows come in; rows later than ``late`` are dropped,
+    and a key that isn't silenced has no state."""
+    ready(alerts.sparkSession)
+    rows = alerts.filter(F.col(ts).isNotNull()).withColumn(by, F.col(by).cast("string")).withWatermark(ts, late)
+    return rows.groupBy(by).transformWithState(Silenced(ts, seconds), "key string, fired_at timestamp", "append", "EventTime")
 
 
 def health(requests: DataFrame, by: str, ts: str, tie: str, ok: Column, recent: int = 50) -> DataFrame:

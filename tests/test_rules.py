@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import affiliations as af
 from scholia.functions import fuzzy, matching
-from scholia.operators import contain, dedup, greedy, optimizer, quantiles, stages, venues
+from scholia.operators import contain, dedup, extend, greedy, optimizer, quantiles, stages, venues
 
 
 # ---------------------------------------------------------------- authors and titles
@@ -373,3 +373,42 @@ def test_extraction_path(spark):
     got = {r["i"]: r["p"] for r in frame.select("i", stages.extraction_path(F.col("a")).alias("p")).collect()}
     assert all(got[i] == walk(a) for i, a in enumerate(made)) and len({tuple(p) for p in got.values()}) > 15
     assert max(map(len, got.values())) > 6
+
+
+# ---------------------------------------------------------------- extension points
+
+
+def test_registries_and_validators(spark):
+    for known in (extend.Registry(), extend.Analyzers(), extend.Collectors()):
+        known.register("x", None)
+        with pytest.raises(ValueError):
+            known.register("x", None)
+    with pytest.raises(ValueError):
+        extend.Analyzers().apply(F.lit("t"))
+    with pytest.raises(ValueError):
+        extend.Collectors().discover(spark.range(1), "id")
+    check = extend.custom(lambda x: 10 / x > 1)
+    got = [r[0] for r in spark.createDataFrame([(0,), (5,), (50,), (None,)], "v int").select(check(F.col("v"))).collect()]
+    assert got == [False, True, False, False]
+
+
+def test_hooks_see_steps(spark, tmp_path):
+    seen, hooks = [], extend.Hooks()
+    hooks.before.append(lambda step, df: seen.append(("before", step, df.columns)))
+    hooks.after.append(lambda step, df, numbers: seen.append(("after", step, numbers)))
+    out = hooks.run("double", lambda df: df.withColumn("d", F.col("id") * 2), spark.range(5), total=F.sum("d"))
+    assert out.count() == 5 and [s[:2] for s in seen] == [("before", "double"), ("after", "double")]
+    assert seen[1][2]() == {"rows": 5, "total": 20}
+    assert extend.chained(spark.range(3), lambda d: d.filter("id > 0"), lambda d: d.limit(1)).count() == 1
+    spark.range(7).write.parquet(f"{tmp_path}/in")
+    got = []
+    extend.per_batch(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), lambda df, n: got.append((n, df.count())), f"{tmp_path}/ck").awaitTermination()
+    assert sum(k for _, k in got) == 7
+
+
+def test_collectors_keep_the_surest(spark):
+    known = extend.Collectors()
+    known.register("b", (F.array(F.lit("u"), F.lit("v")), 0.5))
+    known.register("a", (F.array(F.lit("u"), F.lit(""), F.lit(None)), 0.5))
+    known.register("c", (F.lit(None).cast("array<string>"), 0.9))
+    assert sorted(map(tuple, known.discover(spark.range(1), "id").collect())) == [(0, "u", "a", 0.5), (0, "v", "b", 0.5)]
