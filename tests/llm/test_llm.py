@@ -491,6 +491,24 @@ def test_pipeline(spark, tmp_path, rows, paths):
     assert set(packed.doc_id.dropna()) == {x for x in left["decontamination"] if x is not None}
 
 
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """Whatever further columns are called, they come through every stage."""
+    import corpus_pipeline as cp
+    docs = [(i, prose(i, 60), "en", "s", 1) for i in range(40)] + [(50 + i, prose(300 + i, 50) + " idiot moron idiot scum you idiot", "en", "s", 1) for i in range(20)] + [(90, prose(3, 60), "en", "s", 1), (90, prose(3, 60), "en", "s", 1), (None, prose(999, 30), "en", "s", 1)]
+    odd = ["_gone", "_again", "_name", "_key", "_of", "n_removed", "_rest", "score", "kept", "loc", "n"]
+    frame = spark.createDataFrame(docs, SCHEMA).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in odd})
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(50 <= i < 70)) for i in range(70)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, prose(999, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        now = cp.materialize(stage(spark, now, str(tmp_path)))
+        assert now.columns == frame.columns
+        for r in now.collect():
+            assert all(r[c] == f"{c}{'none' if r['doc_id'] is None else r['doc_id']}" for c in odd)
+    assert {r["doc_id"] for r in now.collect()} >= set(range(40)) and cp.pack(spark, now, str(tmp_path)).count() > 0
+
+
 def test_pipeline_judges_rows_without_id(spark, tmp_path):
     import corpus_pipeline as cp
     toxic = [prose(300 + i, 50) + " idiot moron idiot scum you idiot" for i in range(24)]
