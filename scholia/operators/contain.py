@@ -27,9 +27,13 @@ def _words(text: Column) -> Column:
 
 
 def _grams(words: Column, width: int = WIDTH) -> Column:
-    """The distinct hashes of ``width`` consecutive words."""
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - (width - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(width)), " "))))
+    """The distinct hashes of ``width`` consecutive words. The words are bound
+    by a lambda: read from the expression, a text would be split again for each."""
+    def of(w: Column) -> Column:
+        starts = F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
+
+    return F.array_distinct(F.get(F.transform(F.array(words), of), F.lit(0)))
 
 
 def containing(texts: DataFrame, ident: str, text: str, passages: DataFrame, key: str, passage: str) -> DataFrame:

@@ -8,6 +8,7 @@ import json
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -215,6 +216,15 @@ def test_containing(spark):
         contain.SMALL = kept
 
 
+def test_containing_long_texts(spark):
+    """Work grows with a text's words, not with their square."""
+    texts = [" ".join(f"w{i * j % 977}" for i in range(20_000)) for j in range(1, 9)]
+    t, p = spark.createDataFrame(list(enumerate(texts)), "i long, text string"), spark.createDataFrame([(0, texts[2][5000:5200]), (1, "w1 w2 w3 w4 w5 w6 w8")], "k long, text string")
+    start = time.monotonic()
+    assert sorted(map(tuple, contain.containing(t, "i", "text", p, "k", "text").collect())) == sorted((i, 0) for i, x in enumerate(texts) if texts[2][5000:5200] in x)
+    assert time.monotonic() - start < 40
+
+
 # ---------------------------------------------------------------- choices in order
 
 
