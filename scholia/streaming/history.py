@@ -7,7 +7,7 @@ rejected, the share collected, the mean score (null scores count as no score),
 and from ``least`` outcomes on the estimates of precision (that share) and
 recall (1.2 times it, 1 at most).
 
-``history`` is the batch form, one window by venue; ``history_stream`` keeps
+``history`` is the batch form, by running sums; ``history_stream`` keeps
 the outcomes of the last hours in map state and forgets a venue that has been
 silent that long. Rows without venue or time are left out.
 """
@@ -30,18 +30,33 @@ def venue_key(venue: Column, year: Column) -> Column:
 
 
 def history(outcomes: DataFrame, hours: int = HOURS, least: int = LEAST) -> DataFrame:
+    """A span's sum is what has come in so far without what has aged out. Each
+    time's sums come in at that time and, negated, ``hours`` later; a venue's
+    running sums over both are taken within buckets of that length, on top of
+    the sums of the buckets before. The work grows with the rows, however many
+    a span holds, and one task holds one bucket of one venue."""
+    size = hours * _HOUR
     x = outcomes.filter("venue is not null and at is not null").withColumn("_us", F.unix_micros(F.col("at").cast("timestamp")))
-    span = Window.partitionBy("venue").orderBy("_us").rangeBetween(-hours * _HOUR + 1, 0)
-    same = Window.partitionBy("venue", "_us")
-    upto = same.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    ok = F.col("ok").cast("long")
-
-    def so_far(c: Column) -> Column:
-        """Over the span, without those of the same time that come later."""
-        return F.coalesce(F.sum(c).over(span) - (F.sum(c).over(same) - F.sum(c).over(upto)), F.lit(0))
-
-    n, scored = so_far(F.lit(1).cast("long")), so_far(F.col("score").isNotNull().cast("long"))
-    x = x.withColumns({"evaluated": n, "collected": so_far(F.coalesce(ok, F.lit(0))), "_s": so_far(F.coalesce(F.col("score").cast("decimal(20,6)"), F.lit(0))), "_k": scored})
+    x = x.withColumns({"_n": F.lit(1).cast("long"), "_c": F.coalesce(F.col("ok").cast("long"), F.lit(0)), "_s": F.coalesce(F.col("score").cast("decimal(20,6)"), F.lit(0).cast("decimal(20,6)")), "_k": F.col("score").isNotNull().cast("long")})
+    sums = ["_n", "_c", "_s", "_k"]
+    kept = {c: "decimal(38,6)" if c == "_s" else "long" for c in sums}
+
+    def running(over, c: str) -> Column:
+        return F.coalesce(F.sum(c).over(over), F.lit(0)).cast(kept[c])
+
+    come = x.groupBy("venue", "_us").agg(*[F.sum(c).cast(kept[c]).alias(c) for c in sums])
+    gone = come.select("venue", (F.col("_us") + size).alias("_us"), *[(-F.col(c)).cast(kept[c]).alias(c) for c in sums])
+    moves = come.unionByName(gone).groupBy("venue", "_us").agg(*[F.sum(c).cast(kept[c]).alias(c) for c in sums]).withColumn("_b", F.floor(F.col("_us") / size))
+    # buckets are few: one a venue and span of time
+    earlier = Window.partitionBy("venue").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = moves.groupBy("venue", "_b").agg(*[F.sum(c).cast(kept[c]).alias(c) for c in sums]).select("venue", "_b", *[running(earlier, c).alias(f"{c}0") for c in sums])
+    upto = Window.partitionBy("venue", "_b").orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
+    span = moves.select("venue", "_b", "_us", *[running(upto, c).alias(c) for c in sums]).join(base, ["venue", "_b"]).select("venue", "_us", *[(F.col(c) + F.col(f"{c}0")).cast(kept[c]).alias(f"{c}1") for c in sums])
+    # without those of the same time that come later
+    later = Window.partitionBy("venue", "_us").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.select("venue", "at", "seq", "_us", *[running(later, c).alias(f"{c}2") for c in sums]).join(span, ["venue", "_us"])
+    n, c, s, k = (F.col(f"{v}1") - F.col(f"{v}2") for v in sums)
+    x = x.withColumns({"evaluated": n, "collected": c, "_s": s, "_k": k})
     share = F.col("collected") / F.col("evaluated")
     enough = F.col("evaluated") >= least
     return x.select("venue", "at", "seq", "evaluated", "collected", (F.col("evaluated") - F.col("collected")).alias("rejected"), share.alias("efficiency"), F.try_divide(F.col("_s").cast("double"), F.col("_k")).alias("mean_score"),

@@ -251,6 +251,15 @@ def test_history(spark):
     assert history_rows(history.history(spark.createDataFrame(rows, OUTCOMES), 6)) == plain_history(rows, 6)
 
 
+def test_history_in_one_span(spark):
+    """20,000 outcomes of one venue within a span: sums run, no frame is summed anew for each row."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("'v' as venue", "timestamp_micros(1704067200000000 + (id div 2) * 1000) as at", "id as seq", "id % 4 = 0 as ok", "case when id % 5 > 0 then 0.5 end as score")
+    told = history.history(rows)
+    assert "RangeFrame" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert told.agg(F.count_if(F.col("evaluated") == F.col("seq") + 1), F.count_if(F.col("collected") == F.floor(F.col("seq") / 4) + 1), F.count_if(F.col("mean_score") == 0.5)).first() == (n, n, n - 1)
+
+
 def test_history_stream(spark, tmp_path):
     rows = made_outcomes(200)
     rnd = random.Random(6)
