@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from scholia.functions import fuzzy
 from scholia.functions.scores import match_confidence
 from scholia.functions.text import title_key
-from scholia.operators.graph import connected
+from scholia.operators.graph import connected, shared_folder
 from scholia.operators.greedy import first_by_any, leaders as led_groups  # noqa: F401
+from scholia.operators.joins import small
 from scholia.operators.windows import first_of
 
 
@@ -60,19 +61,39 @@ def similar_titles(rows: DataFrame, title: str, least: float = 0.95) -> DataFram
     return pairs.withColumn("similarity", fuzzy.similarity("title")("a", "b")).filter(F.col("similarity") >= least).select("a", "b", "similarity", "n_a", "n_b")
 
 
+def _all_pairs(classes: DataFrame) -> DataFrame:
+    """Every ordered pair of rows, itself included; for classes counted to be few."""
+    x, y = (classes.select([F.col(c).alias(f"{c}_{s}") for c in classes.columns]) for s in "ab")
+    return x.repartition(64).crossJoin(small(y))
+
+
 def fuzzy_pairs(papers: DataFrame, ident: str, title: str, authors: str, title_least: float = 0.95, author_least: float = 0.85, venue_year=None) -> DataFrame:
     """Pairs of rows whose titles, and then authors, are alike, with the
     confidence of the match. Rows of one title and one author list are linked
-    to the first of them, not to each other."""
+    to the first of them, not to each other. Where many rows share few author
+    lists, the lists are compared once, and rows meet under a pair of lists
+    and a pair of titles that are alike."""
     p = papers.withColumn("_t", title_key(F.col(title))).withColumn("_k", F.xxhash64("_t", authors, *(venue_year or [])))
     p = p.withColumn("_first", F.min(ident).over(Window.partitionBy("_k")))
     copies = p.filter(F.col(ident) > F.col("_first")).select(F.col("_first").alias("a"), F.col(ident).alias("b"), F.lit(1.0).alias("title_similarity"), F.lit(1.0).alias("author_similarity"), match_confidence(F.lit(1.0), F.lit(1.0), F.lit(venue_year is not None)).alias("confidence"))
     firsts = p.filter(F.col(ident) == F.col("_first")).drop("_first", "_k")
     titles = similar_titles(firsts, "_t", title_least).select("a", "b", "similarity")
     same = firsts.select(F.col("_t").alias("a"), F.col("_t").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    shared_folder(papers.sparkSession)
+    titles = titles.unionByName(same).checkpoint()
     x, y = (firsts.select([F.col(c).alias(f"{c}_{s}") for c in firsts.columns]) for s in "ab")
-    met = titles.unionByName(same).join(x, F.col("a") == F.col("_t_a")).join(y, F.col("b") == F.col("_t_b")).filter((F.col("a") != F.col("b")) | (F.col(f"{ident}_a") < F.col(f"{ident}_b")))
-    met = met.withColumn("author_similarity", fuzzy.similarity("authors")(f"{authors}_a", f"{authors}_b")).filter(F.col("author_similarity") >= author_least)
+    lists = firsts.select(F.col(authors).alias("_l")).distinct()
+    each = firsts.groupBy("_t").agg(F.count("*").alias("n"))
+    meetings = titles.join(each.select(F.col("_t").alias("a"), F.col("n").alias("na")), "a").join(each.select(F.col("_t").alias("b"), F.col("n").alias("nb")), "b").agg(F.sum(F.col("na") * F.col("nb"))).first()[0]
+    if lists.count() ** 2 <= (meetings or 0):
+        near = _all_pairs(lists).withColumn("author_similarity", fuzzy.similarity("authors")("_l_a", "_l_b")).filter(F.col("author_similarity") >= author_least).checkpoint()
+        met = x.join(small(near), F.col(f"{authors}_a") == F.col("_l_a")).join(small(titles), F.col("_t_a") == F.col("a"))
+        met = met.join(y, (F.col("b") == F.col("_t_b")) & (F.col("_l_b") == F.col(f"{authors}_b")))
+    else:
+        met = titles.join(x, F.col("a") == F.col("_t_a")).join(y, F.col("b") == F.col("_t_b"))
+    met = met.filter((F.col("a") != F.col("b")) | (F.col(f"{ident}_a") < F.col(f"{ident}_b")))
+    if "author_similarity" not in met.columns:
+        met = met.withColumn("author_similarity", fuzzy.similarity("authors")(f"{authors}_a", f"{authors}_b")).filter(F.col("author_similarity") >= author_least)
     equal = F.lit(False) if venue_year is None else reduce(lambda a, b: a & b, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in venue_year])
     ends = [f(f"{ident}_a", f"{ident}_b") for f in (F.least, F.greatest)]
     return met.select(ends[0].alias("a"), ends[1].alias("b"), F.col("similarity").alias("title_similarity"), "author_similarity", match_confidence(F.col("similarity"), F.col("author_similarity"), equal).alias("confidence")).unionByName(copies)
