@@ -106,24 +106,50 @@ BLEND, OTHER_YEAR = (0.6, 0.2, 0.1, 0.1), 0.5
 def blended_pairs(papers: DataFrame, ident: str, title: str, authors: str, year: str, venue: str, least: float = 0.85) -> DataFrame:
     """(a, b, score): pairs a < b whose blend of title ratio, author Jaccard,
     year and venue ratio is ``least`` or more. Above .8 that takes a common
-    author and titles of a ratio of (least - .4) / .6 at least, so pairs meet
-    under an author and a rare bigram of the title, or the whole title, and none
-    is missed. Only ids travel until a pair's authors and years allow the score."""
-    p = papers.select(F.col(ident).alias("id"), F.lower(title).alias("t"), F.array_distinct(F.transform(authors, lambda x: F.lower(x))).alias("au"), F.col(year).alias("y"), F.lower(venue).alias("v"))
-    titles = p.select(F.col("t").alias("_s")).filter("_s is not null").distinct()
-    tokens = _bigrams(titles, "_s", (least - BLEND[1] - BLEND[2] - BLEND[3]) / BLEND[0]).select("_s", "token").unionByName(titles.select("_s", F.concat(F.lit("= "), "_s").alias("token")))
-    by = p.select("id", "t", F.explode("au").alias("n")).join(tokens, F.col("t") == F.col("_s")).select("id", F.xxhash64("n", "token").alias("k"))
-    met = by.withColumnRenamed("id", "a").join(by.withColumnRenamed("id", "b"), "k").filter("a < b").select("a", "b").distinct()
-    facts = p.select("id", "au", "y")
-    x, y = (facts.select([F.col(c).alias(f"{c}_{s}") for c in facts.columns]) for s in "ab")
-    jaccard = F.size(F.array_intersect("au_a", "au_b")) / F.size(F.array_union("au_a", "au_b"))
-    rest = BLEND[1] * jaccard + BLEND[2] * F.when(F.col("y_a").eqNullSafe(F.col("y_b")), 1.0).otherwise(OTHER_YEAR)
-    met = met.join(x, F.col("a") == F.col("id_a")).join(y, F.col("b") == F.col("id_b")).select("a", "b", rest.alias("rest")).filter(F.col("rest") >= least - BLEND[0] - BLEND[3])
-    names = p.select("id", "t", "v")
-    x, y = (names.select([F.col(c).alias(f"{c}_{s}") for c in names.columns]) for s in "ab")
-    met = met.join(x, F.col("a") == F.col("id_a")).join(y, F.col("b") == F.col("id_b"))
+    author and titles of a ratio of (least - .4) / .6 at least. So distinct
+    (title, venue) texts that an author has both of are compared once each (all
+    texts with each other, where those pairs are fewer), and rows meet under an
+    author and a pair of texts that is alike enough; none is missed."""
+    p = papers.select(F.col(ident).alias("id"), F.lower(title).alias("t"), F.array_distinct(F.transform(authors, lambda x: F.lower(x))).alias("au"), F.col(year).alias("y"), F.lower(venue).alias("v")).filter("t is not null and v is not null")
+    shared_folder(papers.sparkSession)
+    by = p.select("t", "v", F.explode("au").alias("n")).distinct()
+    texts = by.select("t", "v").distinct()
+    meetings = by.groupBy("n").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+    if texts.count() ** 2 <= (meetings or 0):
+        met = _all_pairs(texts)
+    else:
+        x, y = (by.select(F.col("t").alias(f"t_{s}"), F.col("v").alias(f"v_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+        met = x.join(y, F.col("n_a").eqNullSafe(F.col("n_b"))).select("t_a", "v_a", "t_b", "v_b")
+    ratio = (least - BLEND[1] - BLEND[2] - BLEND[3]) / BLEND[0] - 1e-9
+    na, nb = F.length("t_a"), F.length("t_b")
     like = fuzzy.similarity("difflib")
-    return met.select("a", "b", (BLEND[0] * like("t_a", "t_b") + F.col("rest") + BLEND[3] * like("v_a", "v_b")).alias("score")).filter(F.col("score") >= least)
+    met = met.filter(2 * F.least(na, nb) >= ratio * (na + nb)).distinct()
+    alike = met.withColumn("lt", like("t_a", "t_b")).filter(F.col("lt") >= ratio).withColumn("lv", like("v_a", "v_b")).filter(BLEND[0] * F.col("lt") + BLEND[3] * F.col("lv") >= least - BLEND[1] - BLEND[2] - 1e-9).checkpoint()
+    x, y = (p.select(F.col("id").alias(s), F.col("t").alias(f"t_{s}"), F.col("v").alias(f"v_{s}"), F.col("au").alias(f"au_{s}"), F.col("y").alias(f"y_{s}"), F.explode("au").alias(f"n_{s}")) for s in "ab")
+    alike = small(alike.withColumnsRenamed({"t_b": "_t", "v_b": "_v"}))
+    met = x.join(alike, ["t_a", "v_a"]).join(y, F.col("n_a").eqNullSafe(F.col("n_b")) & (F.col("_t") == F.col("t_b")) & (F.col("_v") == F.col("v_b")) & (F.col("a") < F.col("b")))
+    both = F.array_intersect("au_a", "au_b")
+    rest = BLEND[1] * (F.size(both) / F.size(F.array_union("au_a", "au_b"))) + BLEND[2] * F.when(F.col("y_a").eqNullSafe(F.col("y_b")), 1.0).otherwise(OTHER_YEAR)
+    # under the first of the authors they share alone, so that a pair comes once
+    met = met.filter(F.col("n_a").eqNullSafe(F.get(both, F.lit(0)))).withColumn("score", BLEND[0] * F.col("lt") + rest + BLEND[3] * F.col("lv"))
+    return met.select("a", "b", "score").filter(F.col("score") >= least)
+
+
+def blended_groups(papers: DataFrame, ident: str, title: str, authors: str, year: str, venue: str, least: float = 0.85) -> DataFrame:
+    """``papers`` with ``leader``, by ``blended_pairs`` in order of ``ident``.
+    Rows that say the same are taken with the first of them, so only first rows
+    are paired. Without title, venue or authors a row is like none, not even
+    its copies, and leads itself."""
+    keys = {"_t": F.lower(title), "_au": F.array_sort(F.array_distinct(F.transform(authors, lambda x: F.lower(x)))), "_y": F.col(year), "_v": F.lower(venue)}
+    p = papers.withColumns(keys).withColumn("_own", F.when(F.col("_t").isNull() | F.col("_v").isNull() | (F.coalesce(F.size("_au"), F.lit(0)) < 1), F.col(ident)))
+    same = [*keys, "_own"]
+    firsts = p.groupBy(*same).agg(F.min(ident).alias("_first"))
+    shared_folder(papers.sparkSession)
+    pairs = blended_pairs(firsts.filter("_own is null"), "_first", "_t", "_au", "_y", "_v", least).select("a", "b").checkpoint()
+    led = led_groups(firsts, "_first", pairs)
+    of = led.select("leader", *[F.col(c).alias(f"{c}_led") for c in same])
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_led")) for c in same]
+    return p.join(of, on).select(*papers.columns, "leader")
 
 
 def best_of_groups(rows: DataFrame, ident: str, pairs: DataFrame, order: list) -> DataFrame:

@@ -138,7 +138,7 @@ def fuzzy_best_versions(spark, d):
 @query("blended_duplicates")
 def blended_duplicates(spark, d):
     p = _parts(spark, d)
-    led = dedup.led_groups(p.drop("authors"), "p_partkey", dedup.blended_pairs(p, "p_partkey", "title", "authors", "year", "p_type"))
+    led = dedup.blended_groups(p, "p_partkey", "title", "authors", "year", "p_type")
     return led.groupBy("leader").agg(F.count("*").alias("n"), F.max_by("p_partkey", F.struct("p_retailprice", -F.col("p_partkey"))).alias("kept"))
 
 

@@ -3,6 +3,7 @@
 import collections
 import datetime as dt
 import difflib
+import itertools
 import json
 
 import numpy as np
@@ -278,6 +279,55 @@ def test_blended_duplicates(spark):
     assert {r["id"]: r["leader"] for r in dedup.led_groups(frame.select("id"), "id", pairs).collect()} == leader
 
 
+def test_dense_duplicates(spark, monkeypatch):
+    """Many rows over few titles and author lists: lists and texts are compared
+    once each, not once for each pair of rows."""
+    rng, calls = np.random.default_rng(8), []
+    titles, people = ["deep nets for graphs", "deep nets for graph", "deep net for graphs", "shallow trees", "Shallow trees"], ["Ann Lee", "A Lee", "Bo Day", "Cy Fox", "Cy Foxx"]
+    rows = [(i, str(rng.choice(titles)), [str(a) for a in rng.choice(people, int(rng.integers(0, 3)))], int(2000 + rng.integers(0, 2)), "ICML") for i in range(300)] + [(300, None, ["Bo Day"], 2000, "ICML"), (301, None, ["Bo Day"], 2000, "ICML")]
+    frame = spark.createDataFrame(rows, "id long, t string, au array<string>, y int, v string")
+    scored = fuzzy.similarity
+
+    def counted(name):
+        seen, inner = spark.sparkContext.accumulator(0), scored(name)
+        calls.append((name, seen))
+        return lambda a, b: inner(F.udf(lambda x: (seen.add(1), x)[1], frame.schema["au" if name == "authors" else "t"].dataType)(a), b)
+
+    monkeypatch.setattr(fuzzy, "similarity", counted)
+    like = lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    want = {}
+    for one, two in itertools.combinations(rows[:300], 2):
+        a, b = {x.lower() for x in one[2]}, {x.lower() for x in two[2]}
+        score = 0.6 * like(one[1], two[1]) + 0.2 * len(a & b) / max(1, len(a | b)) + (0.1 if one[3] == two[3] else 0.05) + 0.1
+        if a & b and score >= 0.85:
+            want[one[0], two[0]] = round(score, 6)
+    assert {(r["a"], r["b"]): round(r["score"], 6) for r in dedup.blended_pairs(frame, "id", "t", "au", "y", "v").collect()} == want and len(want) > 1000
+    leader = {}
+    for i in range(302):
+        if leader.setdefault(i, i) == i:
+            for j in range(i + 1, 302):
+                if (i, j) in want:
+                    leader.setdefault(j, i)
+    assert {r["id"]: r["leader"] for r in dedup.blended_groups(frame, "id", "t", "au", "y", "v").collect()} == leader
+    got = {(r["a"], r["b"]): round(r["author_similarity"], 9) for r in dedup.fuzzy_pairs(frame, "id", "t", "au").collect()}
+    assert all(n.value <= 4000 for name, n in calls if name in ("difflib", "authors")) and len(calls) == 4
+    first, links = {}, {}
+    for i, t, au, *_ in rows:
+        k = (title_key_of(t), tuple(au))
+        if k in first:
+            links[first[k], i] = 1.0
+        first.setdefault(k, i)
+    for (x, i), (y, j) in itertools.combinations(first.items(), 2):
+        (x, i), (y, j) = sorted(((x, i), (y, j)))
+        if fuzzy.blend(x[0], y[0]) >= 0.95 and (au := fuzzy.author_similarity(list(x[1]), list(y[1]))) >= 0.85:
+            links[tuple(sorted((i, j)))] = round(au, 9)
+    assert got == links and len(links) > 200
+
+
+def title_key_of(title):
+    return (title or "").lower()
+
+
 def test_registries():
     known = stages.Extractors()
     known.register("x", lambda c: c)
