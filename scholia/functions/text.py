@@ -82,6 +82,18 @@ def ids_in_url(url: Column) -> Column:
     return F.struct(hit(DOI).alias("doi"), F.coalesce(hit(ARXIV_NEW), hit(ARXIV_OLD)).alias("arxiv_id"))
 
 
+def inverted_index(words: Column) -> Column:
+    """map<word, positions> of an array of words, within the row: words sorted
+    with their places, cut where the word changes. Each step is bound by a
+    lambda, so that it is done once."""
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
+        return F.transform(F.array(starts), lambda a: F.zip_with(a, F.slice(F.concat(a, F.array(F.size(s))), F.lit(2), F.size(a)), lambda i, j: F.struct(F.get(s, i)["w"].alias("w"), F.transform(F.slice(s, i + 1, j - i), lambda x: x["i"]).alias("at"))))
+
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    return F.map_from_entries(F.flatten(F.flatten(F.transform(F.filter(F.array(placed), lambda s: F.size(s) > 0), cut))))
+
+
 def inverted_text(index: Column) -> Column:
     """map<word, positions> to the text."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

@@ -117,11 +117,9 @@ def quality_thresholds(spark, d):
 @query("inverted_abstracts", "select doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '[^ ]+'), ' ') as text from documents")
 def inverted_abstracts(spark, d):
     """Each whole text to its inverted index (word, places), and back."""
-    x = table(spark, d, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "").alias("w"))
-    places = x.select("doc_id", F.posexplode("w").alias("i", "w")).groupBy("doc_id", "w").agg(F.collect_list("i").alias("at"))
-    index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
-    out = x.select("doc_id").join(index, "doc_id", "left")
-    return out.select("doc_id", F.coalesce(tx.inverted_text(F.col("index")), F.lit("")).alias("text"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")
+    x = table(spark, d, "documents").select("doc_id", tx.inverted_index(words).alias("index"))
+    return x.select("doc_id", F.coalesce(tx.inverted_text(F.col("index")), F.lit("")).alias("text"))
 
 
 @query("cost_estimates", "select l_orderkey, l_linenumber, round(round_even(l_extendedprice, 0) / 3.06, 6) as gpu_hours from lineitem")

@@ -14,6 +14,7 @@ from scholia.functions import extract, fuzzy, scores
 from scholia.functions import text as tx
 from scholia.operators import aggregates, dedup, filters, joins, stages, stats, windows
 from scholia.operators.graph import connected
+from scholia.plans import QUERIES
 from scholia.schema import PAPER_DDL, best_abstract, best_pdf_url, best_urls, latest_citations, promote_identifiers
 from scholia.sources import offline, papers
 from scholia.streaming import alerts
@@ -328,6 +329,18 @@ def title_key_of(title):
     return (title or "").lower()
 
 
+def test_inverted_index_without_shuffle(spark):
+    texts = ["b a b", "", None, " ".join(f"w{i % 700}" for i in range(20_000))]
+    x = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.inverted_index(F.filter(F.split(F.coalesce("t", F.lit("")), " "), lambda w: w != "")).alias("m"))
+    got = {r["t"]: (r["m"], r["back"]) for r in x.withColumn("back", tx.inverted_text(F.col("m"))).collect()}
+    for t in texts:
+        want = {}
+        for i, w in enumerate((t or "").split()):
+            want.setdefault(w, []).append(i)
+        assert got[t] == (want, t or "")
+    assert "Exchange" not in QUERIES["inverted_abstracts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_registries():
     known = stages.Extractors()
     known.register("x", lambda c: c)
