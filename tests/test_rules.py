@@ -225,6 +225,20 @@ def test_containing_long_texts(spark):
     assert time.monotonic() - start < 40
 
 
+def test_patterns_hold():
+    """Whatever matches a pattern holds one of its fixed parts, in any case."""
+    from scholia.functions import extract
+    rnd, met = random.Random(3), collections.Counter()
+    parts = ["1", "2.5", "8 ", " x ", "×", "*", "V100", " a100 ", " GPU", "-HOURS", " hrs", " H ", " Days", " d ", " W ", "weeks", "For ", " Training", "TRAINED on ", " graphics CARDS", " B", " M", " Million ", " PARAMETERS", " params", "Model Size: ", "Total: ", " gpu hours", " GPU-Hours", "-week"]
+    for _ in range(60_000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(2, 7)))
+        for p, held in extract.HOLDS.items():
+            if re.search(f"(?i){p}", text, re.ASCII):
+                met[p] += 1
+                assert any(h in text.lower() for h in held)
+    assert set(met) == set(extract.HOLDS) == {*extract.GPU_COUNT, *extract.TIME, *extract.PARAMETERS, *extract.GPU_HOURS}
+
+
 # ---------------------------------------------------------------- choices in order
 
 
