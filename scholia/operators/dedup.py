@@ -73,13 +73,24 @@ def fuzzy_pairs(papers: DataFrame, ident: str, title: str, authors: str, title_l
     to the first of them, not to each other. Where many rows share few author
     lists, the lists are compared once, and rows meet under a pair of lists
     and a pair of titles that are alike."""
-    p = papers.withColumn("_t", title_key(F.col(title))).withColumn("_k", F.xxhash64("_t", authors, *(venue_year or [])))
-    p = p.withColumn("_first", F.min(ident).over(Window.partitionBy("_k")))
+    p = _with_first(papers, ident, title, authors, venue_year)
     copies = p.filter(F.col(ident) > F.col("_first")).select(F.col("_first").alias("a"), F.col(ident).alias("b"), F.lit(1.0).alias("title_similarity"), F.lit(1.0).alias("author_similarity"), match_confidence(F.lit(1.0), F.lit(1.0), F.lit(venue_year is not None)).alias("confidence"))
-    firsts = p.filter(F.col(ident) == F.col("_first")).drop("_first", "_k")
+    return _first_pairs(p, ident, authors, title_least, author_least, venue_year).unionByName(copies)
+
+
+def _with_first(papers: DataFrame, ident: str, title: str, authors: str, venue_year=None) -> DataFrame:
+    """``papers`` with ``_t``, the title's key, and ``_first``, the first row of
+    the same title and author list; written, since it is read many times."""
+    shared_folder(papers.sparkSession)
+    p = papers.withColumn("_t", title_key(F.col(title))).withColumn("_k", F.xxhash64("_t", authors, *(venue_year or [])))
+    return p.withColumn("_first", F.min(ident).over(Window.partitionBy("_k"))).drop("_k").checkpoint()
+
+
+def _first_pairs(p: DataFrame, ident: str, authors: str, title_least: float, author_least: float, venue_year=None) -> DataFrame:
+    """``fuzzy_pairs`` without copies, of rows from ``_with_first``."""
+    firsts = p.filter(F.col(ident) == F.col("_first")).drop("_first")
     titles = similar_titles(firsts, "_t", title_least).select("a", "b", "similarity")
     same = firsts.select(F.col("_t").alias("a"), F.col("_t").alias("b"), F.lit(1.0).alias("similarity")).distinct()
-    shared_folder(papers.sparkSession)
     titles = titles.unionByName(same).checkpoint()
     x, y = (firsts.select([F.col(c).alias(f"{c}_{s}") for c in firsts.columns]) for s in "ab")
     lists = firsts.select(F.col(authors).alias("_l")).distinct()
@@ -87,8 +98,12 @@ def fuzzy_pairs(papers: DataFrame, ident: str, title: str, authors: str, title_l
     meetings = titles.join(each.select(F.col("_t").alias("a"), F.col("n").alias("na")), "a").join(each.select(F.col("_t").alias("b"), F.col("n").alias("nb")), "b").agg(F.sum(F.col("na") * F.col("nb"))).first()[0]
     if lists.count() ** 2 <= (meetings or 0):
         near = _all_pairs(lists).withColumn("author_similarity", fuzzy.similarity("authors")("_l_a", "_l_b")).filter(F.col("author_similarity") >= author_least).checkpoint()
-        met = x.join(small(near), F.col(f"{authors}_a") == F.col("_l_a")).join(small(titles), F.col("_t_a") == F.col("a"))
-        met = met.join(y, (F.col("b") == F.col("_t_b")) & (F.col("_l_b") == F.col(f"{authors}_b")))
+        # lists and texts as numbers: each row meets all lists near its own
+        near = near.select(F.xxhash64("_l_a").alias("_la"), F.xxhash64("_l_b").alias("_lb"), "author_similarity")
+        met = titles.select("a", "b", "similarity", F.xxhash64("a").alias("_ta"), F.xxhash64("b").alias("_tb"))
+        kept, whole = [ident, *(venue_year or [])], firsts.filter(F.col("_t").isNotNull() & F.col(authors).isNotNull())
+        x, y = (whole.select(*[F.col(c).alias(f"{c}_{e}") for c in kept], F.xxhash64("_t").alias(f"_t{e}"), F.xxhash64(authors).alias(f"_l{e}")) for e in "ab")
+        met = x.join(small(near), "_la").join(small(met), "_ta").join(small(y), ["_tb", "_lb"])
     else:
         met = titles.join(x, F.col("a") == F.col("_t_a")).join(y, F.col("b") == F.col("_t_b"))
     met = met.filter((F.col("a") != F.col("b")) | (F.col(f"{ident}_a") < F.col(f"{ident}_b")))
@@ -96,7 +111,7 @@ def fuzzy_pairs(papers: DataFrame, ident: str, title: str, authors: str, title_l
         met = met.withColumn("author_similarity", fuzzy.similarity("authors")(f"{authors}_a", f"{authors}_b")).filter(F.col("author_similarity") >= author_least)
     equal = F.lit(False) if venue_year is None else reduce(lambda a, b: a & b, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in venue_year])
     ends = [f(f"{ident}_a", f"{ident}_b") for f in (F.least, F.greatest)]
-    return met.select(ends[0].alias("a"), ends[1].alias("b"), F.col("similarity").alias("title_similarity"), "author_similarity", match_confidence(F.col("similarity"), F.col("author_similarity"), equal).alias("confidence")).unionByName(copies)
+    return met.select(ends[0].alias("a"), ends[1].alias("b"), F.col("similarity").alias("title_similarity"), "author_similarity", match_confidence(F.col("similarity"), F.col("author_similarity"), equal).alias("confidence"))
 
 
 #: Weights of titles, authors, years and venues, and what years that differ are worth.
@@ -159,6 +174,15 @@ def best_of_groups(rows: DataFrame, ident: str, pairs: DataFrame, order: list) -
     return first_of(x, ["root"], [*order, ident]).drop("root")
 
 
+def fuzzy_best(papers: DataFrame, ident: str, title: str, authors: str, order: list, title_least: float = 0.95, author_least: float = 0.85) -> DataFrame:
+    """``best_of_groups`` by ``fuzzy_pairs``. Only first rows are grouped; their
+    copies go where they go."""
+    p = _with_first(papers, ident, title, authors)
+    comp = connected(_first_pairs(p, ident, authors, title_least, author_least))
+    x = p.join(comp.withColumnRenamed("node", "_first"), "_first", "left").withColumn("root", F.coalesce("root", "_first"))
+    return first_of(x, ["root"], [*order, ident]).select(*papers.columns)
+
+
 def statistics(before: DataFrame, after: DataFrame) -> DataFrame:
     a, b = before.agg(F.count("*").alias("records")), after.agg(F.count("*").alias("kept"))
     return a.crossJoin(F.broadcast(b)).withColumn("merge_rate", F.coalesce(1 - F.try_divide("kept", "records"), F.lit(0.0)))

@@ -131,8 +131,7 @@ def fuzzy_duplicates(spark, d):
 @query("fuzzy_best_versions")
 def fuzzy_best_versions(spark, d):
     p = _parts(spark, d)
-    pairs = dedup.fuzzy_pairs(p, "p_partkey", "title", "authors")
-    return dedup.statistics(p, dedup.best_of_groups(p, "p_partkey", pairs, [F.desc("p_retailprice")]))
+    return dedup.statistics(p, dedup.fuzzy_best(p, "p_partkey", "title", "authors", [F.desc("p_retailprice")]))
 
 
 @query("blended_duplicates")

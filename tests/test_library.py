@@ -348,3 +348,47 @@ def test_registries():
         known.register("x", lambda c: c)
     with pytest.raises(ValueError):
         stages.Checks().run("none", None)
+
+
+def test_connected_reads_its_pairs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    # two groups dealt out over tasks, in few and in many links, a node by itself, and nulls
+    links = [(i, i + 1) for i in range(50)] + [(100 + i, 100 + j) for i in range(30) for j in range(i)] + [(999, 999), (None, 5), (7, None)]
+    pairs = spark.createDataFrame(links, "a long, b long").repartition(7).mapInArrow(told, "a long, b long")
+    roots = {r["node"]: r["root"] for r in connected(pairs).collect()}
+    assert roots == {i: 0 for i in range(51)} | {100 + i: 100 for i in range(30)} | {999: 999}
+    assert read.value == len(links)
+    names = spark.createDataFrame([("b", "a"), ("c", "b"), ("y", "x")], "a string, b string")
+    assert {r["node"]: r["root"] for r in connected(names).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_links_are_thinned_within_their_task(spark, monkeypatch):
+    from scholia.operators import graph
+
+    links = [(i, j) for i in range(40) for j in range(i)] + [(50, 60), (60, 55)]
+    for held in (graph.HELD, 25):
+        monkeypatch.setattr(graph, "HELD", held)
+        got = [(r["x"], r["y"]) for r in graph.thinned(spark.createDataFrame(links, "x long, y long").coalesce(1)).collect()]
+        assert {r["node"]: r["root"] for r in connected(spark.createDataFrame(got, "a long, b long")).collect()} == {i: 0 for i in range(40)} | {50: 50, 55: 50, 60: 50}
+    monkeypatch.undo()
+    assert graph.thinned(spark.createDataFrame(links, "x long, y long").coalesce(1)).count() == 43
+
+
+def test_fuzzy_best_versions_of_copies_and_gaps(spark):
+    from scholia.operators import dedup
+
+    rows = [(i, "deep learning of graphs", ["Ann Lee"], i) for i in range(6)] + [(10, "deep learning of graph", ["Ann Lee"], 9), (11, None, ["Ann Lee"], 1), (12, None, None, 1), (13, "another thing altogether", None, 1), (14, "another thing altogether", None, 2)]
+    rows += [(20 + i, "deep learning of graphs", [f"Bob Stone {i}"], 0) for i in range(2)]
+    p = spark.createDataFrame(rows, "id long, title string, authors array<string>, price int")
+    pairs = dedup.fuzzy_pairs(p, "id", "title", "authors")
+    want = dedup.best_of_groups(p, "id", pairs, [F.desc("price")])
+    got = dedup.fuzzy_best(p, "id", "title", "authors", [F.desc("price")])
+    assert got.columns == p.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    kept = {r["id"] for r in got.collect()}
+    assert 10 in kept and not kept & set(range(6))
