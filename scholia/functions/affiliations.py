@@ -157,9 +157,11 @@ PLACE_LENGTH, SHORT_LENGTH = 30, 10
 
 
 def _spelled_out(text: Column) -> Column:
+    out = text
     for short, long in (SHORT | MORE_SHORT).items():
-        text = F.regexp_replace(text, rf"(?i)\b{short}\b", long)
-    return text
+        out = F.regexp_replace(out, rf"(?i)\b{short}\b", long)
+    # one look spares the replacements where there is no short form
+    return F.when(text.rlike(rf"(?i)\b(?:{'|'.join(SHORT | MORE_SHORT)})\b"), out).otherwise(text)
 
 
 def clean_organisation(name: Column) -> Column:

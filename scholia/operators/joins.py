@@ -26,6 +26,16 @@ def settled(df: DataFrame) -> DataFrame:
     return small(df.checkpoint())
 
 
+def by_text(rows: DataFrame, text: Column, **made) -> DataFrame:
+    """``rows`` and columns made of ``text``: name=function of a column. Dear
+    functions are worked out once for each distinct text (null is one), dealt
+    out over the tasks however few files hold the rows."""
+    keyed = rows.withColumn("_text", text)
+    each = keyed.select(F.col("_text").alias("_of")).distinct().repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = settled(each.select("_of", *[f(F.col("_of")).alias(name) for name, f in made.items()]))
+    return keyed.join(each, F.col("_text").eqNullSafe(F.col("_of"))).drop("_text", "_of")
+
+
 def lookup_cascade(rows: DataFrame, steps: list[tuple[DataFrame, Column, str]], key: str, value: str, name: str = "found") -> DataFrame:
     """Left joins in order; the first step that knows the key wins. steps:
     (dimension with ``key`` and ``value``, lookup expression, label)."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scholia.functions import affiliations as af
 from scholia.functions import domain_metrics as dm
 from scholia.functions import matching
-from scholia.operators import venues
+from scholia.operators import joins, venues
 from scholia.plans.base import papers, query, rounded, table
 
 _quoted = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
@@ -139,7 +139,7 @@ _CASE = lambda values: "case c_custkey % " + str(len(PARSED)) + " " + " ".join(f
 @query("parsed_affiliations", "select c_custkey, " + ", ".join(f"{_CASE(_SEGMENT(x[1][i]) for x in PARSED)} as {f}" for i, f in enumerate(_FIELDS)) + f", {_CASE(x[1][6] for x in PARSED)} as confidence, {_CASE(_SEGMENT(x[1][7]) for x in PARSED)} as leading from customer")
 def parsed_affiliations(spark, d):
     text = F.replace(_pick([t for t, _ in PARSED], F.col("c_custkey")), F.lit("{}"), F.col("c_mktsegment"))
-    x = table(spark, d, "customer").select("c_custkey", af.parsed_affiliation(text).alias("p"), af.leading_organisation(text).alias("leading"))
+    x = joins.by_text(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), text, p=af.parsed_affiliation, leading=af.leading_organisation)
     return rounded(x.select("c_custkey", "p.*", "leading"))
 
 

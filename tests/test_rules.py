@@ -436,3 +436,20 @@ def test_collectors_keep_the_surest(spark):
     known.register("a", (F.array(F.lit("u"), F.lit(""), F.lit(None)), 0.5))
     known.register("c", (F.lit(None).cast("array<string>"), 0.9))
     assert sorted(map(tuple, known.discover(spark.range(1), "id").collect())) == [(0, "u", "a", 0.5), (0, "v", "b", 0.5)]
+
+
+def test_by_text_works_out_each_text_once(spark):
+    from scholia.operators import joins
+
+    told = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def dear(text):
+        told.add(1)
+        return f"<{text}>"
+
+    rows = spark.createDataFrame([(i, ["a", "b", None, ""][i % 4]) for i in range(40)], "k long, t string").repartition(5)
+    got = joins.by_text(rows, F.col("t"), out=dear, n=F.length)
+    assert got.columns == ["k", "t", "out", "n"]
+    assert {r["k"]: (r["t"], r["out"], r["n"]) for r in got.collect()} == {i: [("a", "<a>", 1), ("b", "<b>", 1), (None, "<None>", None), ("", "<>", 0)][i % 4] for i in range(40)}
+    assert told.value == 4
