@@ -45,8 +45,11 @@ WIDTH, PERCENT, ELL = 5, 75, 4
 BUCKETS = 1 << 16
 #: Lines of one token up to which they are paired.
 CROWD = 32
-#: Rows up to which a list is broadcast (at most 40 bytes each).
-SMALL = 1_500_000
+#: Rows up to which a list is broadcast (at most 40 bytes each); the driver
+#: holds such a list three times while it is made.
+SMALL = 400_000
+#: Bits of the map that tells most tokens of one line alone from shared ones.
+MARKS = 1 << 22
 BREAKS = "[ \\t\\x0B\\f\\r]+"
 
 
@@ -55,6 +58,18 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def _marked(tokens: DataFrame, t: str) -> Column:
+    """Holds for every ``t`` of ``tokens`` and for few others, as long as they
+    are few beside ``MARKS``: a map of bits, of bounded size."""
+    slot = F.col(t).bitwiseAND(MARKS - 1)
+    bit = F.expr(f"shiftleft(1L, `{t}` & 63)")
+    words = [0] * (MARKS >> 6)
+    for w, bits in tokens.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(bit)).collect():  # MARKS / 64 rows at most
+        words[w] = bits
+    of = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    return F.get(of, F.shiftright(slot, 6)).bitwiseAND(bit) != 0
+
+
 class _Rows:
     """How a line is named. ``ord`` orders lines by (doc_id, hash of the text,
     line number), nulls first, and is unique but for repeated rows: one long
@@ -174,7 +189,12 @@ def later_lines(docs: DataFrame, rows: _Rows, least_words: int = 1) -> DataFrame
     prefix = firsts.withColumn("_rank", rank).select("ord", n.alias("n"), F.posexplode_outer(F.slice(ranked, 1, F.least(n, n - _need(n) + _ell(n)))).alias("i", "_t"))
     prefix = materialize(prefix.select("ord", "n", "i", F.shiftright(F.shiftleft("_t", 32), 32).cast("int").alias("t")), "line-prefixes")
     shared = prefix.groupBy("t").count().filter("count > 1").select("t")
-    places = prefix.join(_small(materialize(shared, "shared-tokens")), "t")
+    shared = materialize(shared, "shared-tokens")
+    if shared.count() <= SMALL:
+        places = prefix.join(F.broadcast(shared), "t")
+    else:  # most prefix tokens needn't be dealt out to find that no other line has them
+        places = prefix.filter(_marked(shared, "t")).join(shared, "t")
+    places = materialize(places, "shared-places")
     enough = places.groupBy("ord", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= _ell(F.col("n"))).select("ord")
     enough = materialize(enough, "lines-with-partners")
     places = materialize(places.join(_small(enough), "ord"), "prefix-tokens")
