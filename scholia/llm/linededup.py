@@ -8,9 +8,13 @@ equals an earlier line. A line is removed when an earlier line, in order of
 
 1. Lines with equal words are counted by key with a partial aggregate; only one
    of them, the first, takes part in the join. Short lines end here.
-2. Tokens are ordered by rarity: how many tokens of the whole corpus share the
-   token's bucket of ``BUCKETS`` (an exact count, of bounded size), then hash.
-3. Prefix filter: two lines that match share ``ELL`` tokens or more among their
+2. Of each line some 5-word shingles are selected by the order of their first
+   words (``_meeting``), hashed, and dealt out once. Only lines that share ``ELL``
+   of them or more with lines of other words go on, with their whole sets of
+   64-bit shingle hashes; all compiled, without a lambda over every word.
+3. Tokens are ordered by rarity: how many tokens share the token's bucket of
+   ``BUCKETS`` (a count of bounded size, on a scale of 127 steps), then hash.
+   Prefix filter: two lines that match share ``ELL`` tokens or more among their
    first ``n - ceil(0.75 n) + ELL`` (``ELL`` less for tiny sets). Tokens are
    counted over all prefixes, those of one line drop out, and so do lines with
    fewer than that many others.
@@ -36,7 +40,9 @@ table gives an empty result; other columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.llm.common import keep, materialize, scratch, table
@@ -44,7 +50,7 @@ from scholia.llm.common import keep, materialize, scratch, table
 WIDTH, PERCENT, ELL = 5, 75, 4
 BUCKETS = 1 << 16
 #: Lines of one token up to which they are paired.
-CROWD = 32
+CROWD = 256
 #: Rows up to which a list is broadcast (at most 40 bytes each); the driver
 #: holds such a list three times while it is made.
 SMALL = 400_000
@@ -102,11 +108,12 @@ class _Rows:
 def _split_lines() -> Column:
     """The lower-cased lines of a text, with single spaces for runs of white
     space; rewritten only in texts that have any other than spaces and line ends."""
-    text = F.lower(F.col("text").cast("string"))
+    text = F.col("text").cast("string")
     odd = text.contains("  ")
     for c in "\t\x0b\f\r":
         odd = odd | text.contains(c)
-    return F.split(F.when(odd, F.regexp_replace(text, BREAKS, " ")).otherwise(text), "\n", -1)
+    # lower last: generators evaluate an expression as often as it is written
+    return F.split(F.lower(F.when(odd, F.regexp_replace(text, BREAKS, " ")).otherwise(text)), "\n", -1)
 
 
 def _spaces(line: Column) -> Column:
@@ -132,6 +139,45 @@ def _shingles(hash_) -> Column:
     return F.array_distinct(F.slice(made, 1, F.greatest(F.size("h") - (WIDTH - 1), F.lit(0))))
 
 
+def _line_key() -> Column:
+    """62 bits of a hash of the line; the two lowest are free."""
+    return F.xxhash64("line").bitwiseAND(F.lit(-4))
+
+
+def _meeting(lines: DataFrame) -> DataFrame:
+    """(k): keys of the lines that share ``_ell`` selected shingles or more with
+    lines of other words; among them is every line that has a similar one.
+
+    Selected are the shingles whose first word is at most the line's bound, the
+    ``n - _need(l) + _ell(l)``-th of its n first words in their order, where l, the
+    distinct words (n at most), is no more than its distinct shingles. So at most
+    ``_need(l) - _ell(l)`` distinct shingles are not selected, and of ``_need`` that
+    two similar lines share, ``_ell`` have first words up to the lower of their
+    bounds: those are selected in both."""
+    words = lines.select(_line_key().alias("k"), F.split("line", " ").alias("w"))
+    n = F.greatest(F.size("w") - (WIDTH - 1), F.lit(1))
+    least = words.select("k", "w", n.alias("n"), F.least(n, F.size(F.array_distinct("w"))).alias("l"))
+    bound = F.element_at(F.sort_array(F.slice("w", 1, F.col("n"))), F.col("n") - _need(F.col("l")) + _ell(F.col("l")))
+    least = least.select((F.col("k") + _ell(F.col("l")) - 1).alias("k"), "w", (F.size("w") - (WIDTH - 1)).alias("n"), bound.alias("most"))
+    # outer: else the plan splits each line again to ask whether it has any words
+    each = least.select("k", "w", "n", "most", F.posexplode_outer("w").alias("i", "first"))
+    tokens = each.filter((F.col("i") < F.col("n")) & (F.col("first") <= F.col("most"))).select("k", F.xxhash64(F.slice("w", F.col("i") + 1, WIDTH)).alias("t"))
+    same = Window.partitionBy("t")
+    shared = tokens.select("k", "t", F.min("k").over(same).alias("a"), F.max("k").over(same).alias("b")).filter("a <> b").select("k", "t").distinct()
+    return shared.groupBy("k").count().filter(F.col("count") > F.col("k").bitwiseAND(3)).select(F.col("k").bitwiseAND(F.lit(-4)).alias("k"))
+
+
+def _whole_sets(docs: DataFrame, rows: _Rows, some: DataFrame) -> DataFrame:
+    """(ord, items): the sets of the lines ``some``, from their documents."""
+    wanted = materialize(some.select(*rows.parts()).groupBy("key").agg(F.collect_list("line_no").alias("_wanted")).withColumnRenamed("key", "_of"), "documents-that-meet")
+    texts = docs.select(rows.key().alias("_key"), "text").join(_small(wanted), F.col("_key") == F.col("_of"))
+    texts = texts.select("_key", F.inline(_bound(_split_lines(), lambda x: F.transform("_wanted", lambda i: F.struct(i.alias("_no"), F.trim(F.get(x, i)).alias("_line"))))))
+    full = materialize(_with_words(texts, "_line", rows.place("_key", "_no").alias("ord")).select("ord", _shingles(F.xxhash64).alias("items")), "line-sets")
+    if full.count() != some.count():  # repeated rows
+        full = materialize(full.dropDuplicates(["ord"]), "line-sets")
+    return full
+
+
 def _checked(pairs: DataFrame, full: DataFrame, other: str) -> DataFrame:
     """The lines of written ``pairs`` (ord, other) whose sets are similar. Sets
     are wide and pairs are not: where their count allows, the pairs go to the
@@ -168,33 +214,27 @@ def later_lines(docs: DataFrame, rows: _Rows, least_words: int = 1) -> DataFrame
     lines = found.select(rows.place("_key", "_no").alias("ord"), F.trim("_line").alias("line")).filter("line <> ''")
     if least_words > 1:
         lines = lines.filter(_spaces(F.col("line")) >= least_words - 1)
-    # t: 32 bits of each token, as many as there are tokens; sets are compared on all 64 later
-    worded = _with_words(lines, "line", "ord", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
-    known = materialize(worded.select("ord", "k1", "k2", _shingles(F.hash).alias("t")), "lines")
+    keys = materialize(lines.select("ord", _line_key().alias("k"), F.xxhash64("line", F.lit(1)).alias("k2")), "lines")
     # equal lines
-    again = materialize(known.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter("c > 1").select("k1", "k2", "first"), "equal-lines")
-    small = _small(again)
-    copies = known.select("ord", "k1", "k2").join(small, ["k1", "k2"]).filter("ord > first").select("ord")
-    firsts = known.filter(F.size("t") > 0).join(small, ["k1", "k2"], "left").filter("first is null or ord = first").select("ord", "t")
-    # rarity: the rank of a token's bucket, above the token's own 32 bits
-    counted = firsts.select(F.explode_outer("t").alias("t")).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).count()
-    counts = [0] * BUCKETS
-    for b, c in counted.collect():  # BUCKETS rows at most
-        counts[b] = c
-    order = {c: i for i, c in enumerate(sorted(set(counts)))}
-    rank = F.split(F.lit(",".join(str(order[c] << 33) for c in counts)), ",").cast("array<bigint>")
+    again = materialize(keys.groupBy("k", "k2").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter("c > 1").select("k", "k2", "first"), "equal-lines")
+    copies = keys.join(_small(again), ["k", "k2"]).filter("ord > first").select("ord")
+    # of lines that share selected shingles with others, the first of equal ones, with their whole sets
+    met = materialize(_meeting(lines), "meeting-lines")
+    enough = materialize(keys.join(_small(met), "k", "left_semi").groupBy("k", "k2").agg(F.min("ord").alias("ord")).select("ord"), "lines-that-meet")
+    full = _whole_sets(docs, rows, enough)
+    # rarity: a step for every eighth part of a doubling of its bucket's count, above 32 bits of the token
+    counted = full.select(F.explode("items").alias("t")).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).count()
+    counts = {b: c for b, c in counted.collect()}  # BUCKETS rows at most
+    least = min(counts.values(), default=0)
+    digits = [min(127, int(8 * math.log2(1 + counts.get(b, least) - least))) for b in range(BUCKETS)]
+    rank = F.split(F.lit(",".join(map(str, digits))), ",").cast("array<tinyint>")
     # prefixes
-    n = F.size("t")
-    ranked = F.sort_array(F.transform("t", lambda t: F.coalesce(F.get("_rank", t.bitwiseAND(BUCKETS - 1)) + t, F.lit(0))))
-    prefix = firsts.withColumn("_rank", rank).select("ord", n.alias("n"), F.posexplode_outer(F.slice(ranked, 1, F.least(n, n - _need(n) + _ell(n)))).alias("i", "_t"))
+    n = F.size("items")
+    ranked = F.sort_array(F.transform("items", lambda t: F.coalesce(F.shiftleft(F.get("_rank", t.bitwiseAND(BUCKETS - 1)).cast("long"), 33) + t.bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0))))
+    prefix = full.withColumn("_rank", rank).select("ord", n.alias("n"), F.posexplode(F.slice(ranked, 1, F.least(n, n - _need(n) + _ell(n)))).alias("i", "_t"))
     prefix = materialize(prefix.select("ord", "n", "i", F.shiftright(F.shiftleft("_t", 32), 32).cast("int").alias("t")), "line-prefixes")
-    shared = prefix.groupBy("t").count().filter("count > 1").select("t")
-    shared = materialize(shared, "shared-tokens")
-    if shared.count() <= SMALL:
-        places = prefix.join(F.broadcast(shared), "t")
-    else:  # most prefix tokens needn't be dealt out to find that no other line has them
-        places = prefix.filter(_marked(shared, "t")).join(shared, "t")
-    places = materialize(places, "shared-places")
+    shared = materialize(prefix.groupBy("t").count().filter("count > 1").select("t"), "shared-tokens")
+    places = materialize(prefix.join(_small(shared), "t"), "shared-places")
     enough = places.groupBy("ord", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= _ell(F.col("n"))).select("ord")
     enough = materialize(enough, "lines-with-partners")
     places = materialize(places.join(_small(enough), "ord"), "prefix-tokens")
@@ -205,13 +245,6 @@ def later_lines(docs: DataFrame, rows: _Rows, least_words: int = 1) -> DataFrame
     met = places.filter("hub < ord").join(hub_of, "t").filter(_could(F.col("n"), F.col("hn"), F.col("i"), F.col("hi")))
     pairs = met.groupBy("ord", "hub", "n", "hn").agg(F.count("*").alias("m")).filter(F.col("m") >= F.least(_ell(F.col("n")), _ell(F.col("hn")))).select("ord", "hub")
     pairs = materialize(pairs, "hub-pairs")
-    # whole sets of the lines that have partners, from their documents
-    wanted = materialize(enough.select(*rows.parts()).groupBy("key").agg(F.collect_list("line_no").alias("_wanted")).withColumnRenamed("key", "_of"), "documents-with-partners")
-    texts = docs.select(rows.key().alias("_key"), "text").join(_small(wanted), F.col("_key") == F.col("_of"))
-    texts = texts.select("_key", F.inline(_bound(_split_lines(), lambda x: F.transform("_wanted", lambda i: F.struct(i.alias("_no"), F.trim(F.get(x, i)).alias("_line"))))))
-    full = materialize(_with_words(texts, "_line", rows.place("_key", "_no").alias("ord")).select("ord", _shingles(F.xxhash64).alias("items")), "line-sets")
-    if full.count() != enough.count():  # repeated rows
-        full = materialize(full.dropDuplicates(["ord"]), "line-sets")
     explained = materialize(_checked(pairs, full, "hub"), "explained")
     # the rest, under tokens that few lines have: pairs that share enough of them
     left = materialize(places.join(_small(explained), "ord", "left_anti").select("t", "ord", "n", "i", "m"), "unexplained")
