@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import slices_by_bytes, table, tidy
+from scholia.llm.common import held, slices_by_bytes, table, tidy
 from scholia.llm.tokens import Vocabulary
 
 #: Bytes up to which a word is scanned.
@@ -204,7 +204,7 @@ class RankArrays(Vocabulary):
         return raw.decode(errors="replace")
 
 
-_LOADED: dict[tuple, RankArrays] = {}
+_LOADED: dict[tuple, RankArrays] = held()
 
 
 def arrays(path: str, style: str, specials: bool) -> RankArrays:
@@ -236,7 +236,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", st
                     new.append(_texts(known, new[0]))
                 yield pa.RecordBatch.from_arrays([*piece.columns, *new], names=[*piece.schema.names, into, *([back] if back else [])])
 
-    return docs.mapInArrow(tidy(run), _schema(docs, into, "binary") + (f", `{back}` string" if back else ""))
+    return docs.mapInArrow(tidy(run, holds=True), _schema(docs, into, "binary") + (f", `{back}` string" if back else ""))
 
 
 def _texts(known: RankArrays, ids: pa.Array) -> pa.Array:
@@ -253,7 +253,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, _texts(known, batch.column(ids))], names=[*batch.schema.names, into])
 
-    return encoded.mapInArrow(tidy(run), _schema(encoded, into, "string"))
+    return encoded.mapInArrow(tidy(run, holds=True), _schema(encoded, into, "string"))
 
 
 def op11(spark, sf_dir: str) -> DataFrame:

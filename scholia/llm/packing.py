@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, style: str = "words", max_toke
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part long, place long" + (", ids array<int>" if keep_ids else "")
-    return docs.select("doc_id", text).mapInArrow(tidy(run), schema)
+    return docs.select("doc_id", text).mapInArrow(tidy(run, holds=True), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], max_tokens: int = MAX_TOKENS):
