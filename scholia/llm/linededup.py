@@ -15,17 +15,16 @@ equals an earlier line. A line is removed when an earlier line, in order of
 3. Tokens are ordered by rarity: how many tokens share the token's bucket of
    ``BUCKETS`` (a count of bounded size, on a scale of 127 steps), then hash.
    Prefix filter: two lines that match share ``ELL`` tokens or more among their
-   first ``n - ceil(0.75 n) + ELL`` (``ELL`` less for tiny sets). Tokens are
-   counted over all prefixes, those of one line drop out, and so do lines with
-   fewer than that many others.
-4. Each token's earliest line is its hub. Pairs (line, hub) that share enough
+   first ``n - ceil(0.75 n) + ELL`` (``ELL`` less for tiny sets).
+4. Tokens of one line drop out; of the others the earliest line is the hub. Pairs (line, hub) that share enough
    prefix tokens and pass the length and positional filters are verified on
    full sets; a line that matches its hub is done.
 5. Lines that no hub explains are compared with *all* earlier lines under their
    tokens. Where at most ``CROWD`` lines have a token, pairs that share enough
    such tokens are verified; a pair that misses that count shares a token that
    more lines have, and those are compared by a left semi join whose condition
-   is the filters and the Jaccard test itself: it returns lines, never pairs.
+   is the filters (also by maps of 256 bits of the sets) and the Jaccard test
+   itself: it returns lines, never pairs.
 
 Only DataFrame expressions; a family of thousands of variants costs rows in
 proportion to its lines. Small lists (checked by count) are broadcast, larger
@@ -54,6 +53,8 @@ CROWD = 256
 #: Rows up to which a list is broadcast (at most 40 bytes each); the driver
 #: holds such a list three times while it is made.
 SMALL = 400_000
+#: Line numbers up to which the lists of a text's lines to remove are broadcast.
+LINES = 1_500_000
 #: Bits of the map that tells most tokens of one line alone from shared ones.
 MARKS = 1 << 22
 BREAKS = "[ \\t\\x0B\\f\\r]+"
@@ -208,6 +209,28 @@ def _could(nx, ny, i, j) -> Column:
     return (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)) & (F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1) >= least)
 
 
+def _bits(name: str) -> list[Column]:
+    """A map of 256 bits of the set ``items``: ``name``0 to ``name``3."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def bits(j: int) -> Column:
+        def add(a, t):
+            bit = F.call_function("shiftleft", one, F.shiftright(t, 2).bitwiseAND(63).cast("int"))
+            return a.bitwiseOR(F.when(t.bitwiseAND(3) == j, bit).otherwise(none))
+
+        return F.aggregate("items", none, add).alias(f"{name}{j}")
+
+    return [bits(j) for j in range(4)]
+
+
+def _bits_allow(nx: Column, ny: Column) -> Column:
+    """Holds for all similar sets: a bit of one map alone is an element of that
+    set alone, and similar sets have few of those."""
+    least = F.ceil((nx + ny) * PERCENT / F.lit(100 + PERCENT))
+    alone = lambda a, b: sum((F.bit_count(F.col(f"{a}{j}").bitwiseAND(F.bitwise_not(f"{b}{j}"))) for j in range(4)), F.lit(0))
+    return (alone("x", "y") <= nx - least) & (alone("y", "x") <= ny - least)
+
+
 def later_lines(docs: DataFrame, rows: _Rows, least_words: int = 1) -> DataFrame:
     """(key, line_no) of the lines to remove, as ``rows`` names them."""
     found = docs.select(rows.key().alias("_key"), F.posexplode(_split_lines()).alias("_no", "_line"))
@@ -233,14 +256,9 @@ def later_lines(docs: DataFrame, rows: _Rows, least_words: int = 1) -> DataFrame
     ranked = F.sort_array(F.transform("items", lambda t: F.coalesce(F.shiftleft(F.get("_rank", t.bitwiseAND(BUCKETS - 1)).cast("long"), 33) + t.bitwiseAND(F.lit((1 << 32) - 1)), F.lit(0))))
     prefix = full.withColumn("_rank", rank).select("ord", n.alias("n"), F.posexplode(F.slice(ranked, 1, F.least(n, n - _need(n) + _ell(n)))).alias("i", "_t"))
     prefix = materialize(prefix.select("ord", "n", "i", F.shiftright(F.shiftleft("_t", 32), 32).cast("int").alias("t")), "line-prefixes")
-    shared = materialize(prefix.groupBy("t").count().filter("count > 1").select("t"), "shared-tokens")
-    places = materialize(prefix.join(_small(shared), "t"), "shared-places")
-    enough = places.groupBy("ord", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= _ell(F.col("n"))).select("ord")
-    enough = materialize(enough, "lines-with-partners")
-    places = materialize(places.join(_small(enough), "ord"), "prefix-tokens")
     # hubs: the first line of each token that has others
-    hubs = materialize(places.groupBy("t").agg(F.min("ord").alias("hub"), F.count("*").alias("m")).filter("m > 1"), "hubs")
-    places = materialize(places.join(_small(hubs), "t"), "places")
+    hubs = materialize(prefix.groupBy("t").agg(F.min("ord").alias("hub"), F.count("*").alias("m")).filter("m > 1"), "hubs")
+    places = materialize(prefix.join(_small(hubs), "t"), "places")
     hub_of = places.filter("ord = hub").select("t", F.col("n").alias("hn"), F.col("i").alias("hi"))
     met = places.filter("hub < ord").join(hub_of, "t").filter(_could(F.col("n"), F.col("hn"), F.col("i"), F.col("hi")))
     pairs = met.groupBy("ord", "hub", "n", "hn").agg(F.count("*").alias("m")).filter(F.col("m") >= F.least(_ell(F.col("n")), _ell(F.col("hn")))).select("ord", "hub")
@@ -259,9 +277,10 @@ def later_lines(docs: DataFrame, rows: _Rows, least_words: int = 1) -> DataFrame
     ours = materialize(left.filter(F.col("m") > CROWD).drop("m").join(_small(some), "ord", "left_anti"), "open-places")
     asked = _small(materialize(ours.select(F.col("t").alias("ty")).distinct(), "open-tokens"))
     theirs = materialize(common.join(asked, "ty"), "earlier-places")
-    ours = materialize(full.join(_small(ours), "ord"), "open-lines")
-    theirs = materialize(full.select(F.col("ord").alias("oy"), F.col("items").alias("theirs")).join(_small(theirs), "oy"), "earlier-lines")
-    more = ours.join(theirs, could & similar(F.col("items"), F.col("theirs"), F.col("n"), F.col("ny")), "left_semi").select("ord")
+    ours = materialize(full.join(_small(ours), "ord").select("*", *_bits("x")), "open-lines")
+    theirs = full.select(F.col("ord").alias("oy"), "items", *_bits("y")).withColumnRenamed("items", "theirs").join(_small(theirs), "oy")
+    theirs = materialize(theirs, "earlier-lines")
+    more = ours.join(theirs, could & _bits_allow(F.col("n"), F.col("ny")) & similar(F.col("items"), F.col("theirs"), F.col("n"), F.col("ny")), "left_semi").select("ord")
     near = materialize(explained.unionByName(some).unionByName(more).distinct(), "near-lines")
     # a near line's later copies have gone as copies already
     gone = copies.unionByName(near).distinct()
@@ -303,7 +322,8 @@ def without_later_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
             first = _small(first)
             later = many.join(first, "_n", "left_anti").select(*whole.columns)
             whole = whole.join(again, same, "left_anti").unionByName(many.join(first, "_n", "left_semi").select(*whole.columns))
-    lists = F.broadcast(lists) if lists.count() <= SMALL // 4 else lists
+    size = lists.agg(F.count("*"), F.sum(F.size("_gone"))).first()
+    lists = F.broadcast(lists) if size[0] <= SMALL // 2 and (size[1] or 0) <= LINES else lists
     out = whole.join(lists, rows.key() == F.col("_of"), "left")
     out = _removed(out, lambda x, i: F.coalesce(F.array_contains(F.col("_gone"), i), F.lit(False)))
     if later is not None:

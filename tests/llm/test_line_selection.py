@@ -43,3 +43,20 @@ def test_lines_are_lowered_once(spark):
     frame = spark.createDataFrame([("A  B\n\tC",)], "text string").select(F.explode(linededup._split_lines()).alias("line"))
     assert frame._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     assert [r["line"] for r in frame.collect()] == ["a b", " c"]
+
+
+def test_maps_of_bits_let_all_similar_sets_through(spark):
+    """And hardly any others; sets just at the limit are among them."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in [1, 2, 3, 4, 7, 8, 20, 68, 300]:
+        for _ in range(12):
+            a = rng.integers(-(1 << 62), 1 << 62, n).tolist()
+            for keep in {n, -(-n * 7 // 8), -(-n * 3 // 4), n // 2, 0}:
+                rows.append((a, a[:keep] + rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, n - keep + 1))).tolist()))
+    rows = [(a, b) for a, b in rows if b]
+    both = spark.createDataFrame(rows, "items array<bigint>, other array<bigint>").select("items", "other", *linededup._bits("x"))
+    both = both.withColumnRenamed("items", "mine").withColumnRenamed("other", "items").select("*", *linededup._bits("y"))
+    got = both.select(linededup._bits_allow(F.size("mine"), F.size("items")).alias("may"), linededup.similar(F.col("mine"), F.col("items"), F.size("mine"), F.size("items")).alias("is")).collect()
+    assert sum(r["is"] for r in got) > 100 and all(r["may"] for r in got if r["is"])
+    assert sum(r["may"] for r in got if not r["is"]) < sum(not r["is"] for r in got) / 3
