@@ -316,7 +316,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not here.get(0) or not here.get(1):
         return _list_model()
     names = np.union1d(own_features(), proposed(featured, here[1], here[0]))
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(int(x), i) for i, x in enumerate(names.view(np.int64))], "h long, voter int"))
+    # from Arrow: a list of rows would start Python workers of a second kind
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"h": names.view(np.int64), "voter": np.arange(len(names), dtype=np.int32)})))
     ids = featured.select("doc_id", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(GOLD)) == 0).alias("gold")).orderBy("doc_id").toArrow()
     fired = featured.select("doc_id", F.explode("f").alias("h")).join(wanted, "h").select("doc_id", "voter").toArrow()
     at = np.searchsorted(ids.column("doc_id").to_numpy(), fired.column("doc_id").to_numpy())

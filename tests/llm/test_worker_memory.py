@@ -1,5 +1,7 @@
 """What Python workers keep between tasks."""
 
+import os
+
 import pyarrow as pa
 import public_tokenizers
 
@@ -24,3 +26,22 @@ def test_texts_come_in_slices_of_half_a_megabyte():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 3000})
     parts = list(common.slices_by_bytes(batch, "text"))
     assert sum(p.num_rows for p in parts) == 3000 and max(p.num_rows for p in parts) <= 525
+
+
+def test_the_library_encodes_few_texts_at_once_on_one_thread():
+    words = tokens.vocabulary(public_tokenizers.path("word_bpe_49k.json"), "words")
+    whole, sizes = words.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            sizes.append(len(texts))
+            return whole.encode_batch_fast(texts, **how)
+
+    words.tokenizer = Counted()
+    try:
+        texts = [f"word{i} of some" for i in range(3000)]
+        got = words.library(texts)
+    finally:
+        words.tokenizer = whole
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(sizes) <= tokens.AT_ONCE and os.environ["TOKENIZERS_PARALLELISM"] == "false"
