@@ -44,3 +44,10 @@ PAPERS_SQL = """papers as (select o_orderkey as paper_id, n_name as venue, 'tier
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of additions doesn't show."""
     return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def rounded_as_sql(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded as DuckDB does it, by their product with 10^digits, halves
+    away from zero. ``rounded`` goes by the shortest decimals; halves may differ."""
+    by = float(10 ** digits)
+    return df.select(*[(F.round(F.col(c) * by) / by).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

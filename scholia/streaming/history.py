@@ -29,8 +29,11 @@ def venue_key(venue: Column, year: Column) -> Column:
     return F.concat_ws("_", venue, F.when(year != 0, year.cast("string")))
 
 
-def history(outcomes: DataFrame, hours: int = HOURS, least: int = LEAST) -> DataFrame:
-    """A span's sum is what has come in so far without what has aged out. Each
+def history(outcomes: DataFrame, hours: int = HOURS, least: int = LEAST, together: bool = False) -> DataFrame:
+    """With ``together``, outcomes of one time count for each other, whatever
+    their ``seq``; otherwise each counts those up to its own, as the stream does.
+
+    A span's sum is what has come in so far without what has aged out. Each
     time's sums come in at that time and, negated, ``hours`` later; a venue's
     running sums over both are taken within buckets of that length, on top of
     the sums of the buckets before. The work grows with the rows, however many
@@ -52,10 +55,13 @@ def history(outcomes: DataFrame, hours: int = HOURS, least: int = LEAST) -> Data
     base = moves.groupBy("venue", "_b").agg(*[F.sum(c).cast(kept[c]).alias(c) for c in sums]).select("venue", "_b", *[running(earlier, c).alias(f"{c}0") for c in sums])
     upto = Window.partitionBy("venue", "_b").orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
     span = moves.select("venue", "_b", "_us", *[running(upto, c).alias(c) for c in sums]).join(base, ["venue", "_b"]).select("venue", "_us", *[(F.col(c) + F.col(f"{c}0")).cast(kept[c]).alias(f"{c}1") for c in sums])
-    # without those of the same time that come later
-    later = Window.partitionBy("venue", "_us").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.select("venue", "at", "seq", "_us", *[running(later, c).alias(f"{c}2") for c in sums]).join(span, ["venue", "_us"])
-    n, c, s, k = (F.col(f"{v}1") - F.col(f"{v}2") for v in sums)
+    if together:
+        x = x.select("venue", "at", "seq", "_us").join(span, ["venue", "_us"])
+        n, c, s, k = (F.col(f"{v}1") for v in sums)
+    else:  # without those of the same time that come later
+        later = Window.partitionBy("venue", "_us").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+        x = x.select("venue", "at", "seq", "_us", *[running(later, c).alias(f"{c}2") for c in sums]).join(span, ["venue", "_us"])
+        n, c, s, k = (F.col(f"{v}1") - F.col(f"{v}2") for v in sums)
     x = x.withColumns({"evaluated": n, "collected": c, "_s": s, "_k": k})
     share = F.col("collected") / F.col("evaluated")
     enough = F.col("evaluated") >= least
